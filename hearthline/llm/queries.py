@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import byte_bpe
+from hearthline.llm import byte_bpe, packing, token_store
 from hearthline.llm.common import table
 
 
@@ -21,5 +21,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), max_tokens=2048, end_id=0)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_store.write(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), token_store.new_folder(spark), end_id=1)
+    return token_store.read(spark, shards)
+
+
+QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_token_store": op5_token_store,
+}
 ORACLES: dict[str, str] = {}
