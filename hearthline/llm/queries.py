@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import byte_bpe, packing, token_store
+from hearthline.llm import byte_bpe, packing, quality, token_store
 from hearthline.llm.common import table
 
 
@@ -31,9 +31,14 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, shards)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_store": op5_token_store,
+    "op8_quality": op8_quality,
 }
 ORACLES: dict[str, str] = {}
