@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import byte_bpe, packing, quality, secrets, token_store
+from hearthline.llm import byte_bpe, licenses, packing, quality, secrets, token_store
 from hearthline.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, shards)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_store": op5_token_store,
+    "op7_licenses": op7_licenses,
     "op8_quality": op8_quality,
 }
 ORACLES: dict[str, str] = {}
