@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import byte_bpe, licenses, packing, quality, secrets, token_store
+from hearthline.llm import byte_bpe, jaccard, licenses, packing, quality, secrets, token_store
 from hearthline.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.clustered(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secrets": op3_secrets,
@@ -50,5 +54,6 @@ QUERIES = {
     "op5_token_store": op5_token_store,
     "op7_licenses": op7_licenses,
     "op8_quality": op8_quality,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
