@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import byte_bpe, jaccard, licenses, packing, quality, secrets, token_store
+from hearthline.llm import byte_bpe, html_text, jaccard, licenses, packing, quality, secrets, token_store
 from hearthline.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), max_tokens=2048, end_id=0)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -48,6 +52,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secrets": op3_secrets,
     "op4_byte_bpe": op4_byte_bpe,
