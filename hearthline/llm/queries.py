@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import byte_bpe, html_text, jaccard, licenses, packing, quality, secrets, token_store
+from hearthline.llm import byte_bpe, html_text, jaccard, licenses, packing, quality, secrets, token_store, vectors
 from hearthline.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, shards)
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
@@ -57,8 +61,25 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_store": op5_token_store,
+    "op6_vectors": op6_vectors,
     "op7_licenses": op7_licenses,
     "op8_quality": op8_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+#: At the scale of the oracle's tables all pairs of a label can be compared, and reached vectors listed, in SQL.
+OP6_SQL = """
+WITH RECURSIVE ok AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, x -> NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.r, a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach(x, y) AS (
+  SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), counts AS (SELECT x, count(*) / count(DISTINCT r) AS n FROM links GROUP BY x), lowest AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(e.vec_id, m) AS component_id, e.vec_id = least(e.vec_id, m) AS kept
+FROM embeddings e LEFT JOIN counts ON counts.x = e.vec_id LEFT JOIN lowest ON lowest.x = e.vec_id
+"""
+
+ORACLES = {"op6_vectors": OP6_SQL}
