@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import byte_bpe, html_text, jaccard, licenses, packing, quality, secrets, token_store, vectors
+from hearthline.llm import bm25, byte_bpe, html_text, jaccard, licenses, packing, quality, secrets, token_store, vectors
 from hearthline.llm.common import table
 
 
@@ -51,6 +51,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 100 as a query, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.clustered(table(spark, sf_dir, "documents"))
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op6_vectors": op6_vectors,
     "op7_licenses": op7_licenses,
     "op8_quality": op8_quality,
+    "op9_bm25": op9_bm25,
     "op10_jaccard_join": op10_jaccard_join,
 }
 #: At the scale of the oracle's tables all pairs of a label can be compared, and reached vectors listed, in SQL.
