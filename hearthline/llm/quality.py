@@ -161,3 +161,17 @@ def scored(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Dat
     model = fit(docs, labels.where(~is_held_out(id_column)), id_column=id_column)
     found = score(docs, model, id_column)
     return found.select(id_column, F.coalesce(is_held_out(id_column), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, model: Model, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose score reaches the threshold."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_column)
+
+    def run(batches):
+        use = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([use.score(t or "") >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
