@@ -56,7 +56,7 @@ class Transducer:
     #: Bytes of a piece after which what all live starts agree on is handed out, should no state with one start come before.
     SPAN = 4096
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 220_000, max_memo: int = 300_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000, max_memo: int = 700_000) -> None:
         self.ranks, self.max_states, self.max_memo = ranks, max_states, max_memo
         self.packed = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
         self.beginnings = {t[:n] for t in ranks for n in range(1, len(t))}
