@@ -10,8 +10,8 @@ The global order puts frequent shingles last. Frequencies come from counts of al
 an upper bound for each shingle, and as long as lists differ, enough to tell the long ones. The bound also says into how many
 parts a list may have to be dealt, so that no task gets an unbounded list.
 
-Members of a list are first compared with its least member only. Then, in lists whose members are still in several components,
-all pairs from different components are compared, so no link that could join two components is missed. Comparisons are exact
+Members of a list are first compared with its least member only, each with the one that it meets in most lists before others.
+Then, in lists whose members are still in several components, all pairs from different components are compared, so no link that could join two components is missed. Comparisons are exact
 on the sets, which are rebuilt from the whole texts.
 
 Null and empty texts have empty sets, which link with nothing; a text of fewer than SHINGLE words has one shingle. Null ids
@@ -107,10 +107,12 @@ class Frequencies:
         return np.where(bounds > self.frequent, 1 + bounds // FREQUENT, 1)
 
 
-def postings(found: np.ndarray, use: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a set: list hashes, how many shingles are left from there on (itself included), into how many parts the list is dealt."""
+def postings(found: np.ndarray, use: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a set: the hashes of its inverted lists, rarest first, those of its subsets, and into how many parts each of both is
+    dealt. From list number i on, n - i shingles are left."""
     n = len(found)
-    keys, rest, parts = [], [], []
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    lists, subsets = none, none
     if n and 3 * (use.boundary + 1) <= 4 * n:
         bounds = use.of(found)
         rare = bounds <= use.frequent
@@ -118,18 +120,17 @@ def postings(found: np.ndarray, use: Frequencies) -> tuple[np.ndarray, np.ndarra
             order = np.lexsort((found, np.where(rare, 0, bounds)))
             found, bounds = found[order], bounds[order]
         first = n - -(-3 * n // 4) + 1
-        keys.append(found[:first]), rest.append(n - np.arange(first)), parts.append(use.parts(bounds[:first]))
+        lists = found[:first], use.parts(bounds[:first])
     if 0 < n <= use.boundary:
         own = np.sort(found)
-        bounds = use.of(own)
+        bounds, keys, parts = use.of(own), [], []
         for size in subset_sizes(n, use.boundary):
             if size <= n:
                 rows = np.array(list(combinations(range(n), size)))
                 keys.append(mixed(mixed(own[rows] ^ _FACTORS[1]).sum(axis=1, dtype=np.uint64) + np.uint64(size)))
-                rest.append(np.full(len(rows), n)), parts.append(use.parts(bounds[rows].min(axis=1)))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(rest), np.concatenate(parts)
+                parts.append(use.parts(bounds[rows].min(axis=1)))
+        subsets = np.concatenate(keys), np.concatenate(parts)
+    return *lists, *subsets
 
 
 def _sized(slim: DataFrame) -> DataFrame:
@@ -180,18 +181,22 @@ def _lists(slim: DataFrame, nodes: DataFrame, use: Frequencies) -> DataFrame:
     def run(batches):
         use = shared.value
         for batch in batches:
-            keys, rest, parts, n = [], [], [], []
+            keys, subsets, parts, n = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text)
-                k, r, p = postings(found, use)
-                keys.append(k.view(np.int64)), rest.append(r.astype(np.int32)), parts.append(p.astype(np.int32)), n.append(len(found))
+                k, p, sub, q = postings(found, use)
+                both = np.concatenate([p, q]).astype(np.int32)
+                keys.append(k.view(np.int64)), subsets.append(sub.view(np.int64)), parts.append(both if (both > 1).any() else None), n.append(len(found))
             lists = lambda x, kind: pa.array(x, pa.list_(kind))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), lists(keys, pa.int64()), lists(rest, pa.int32()), lists(parts, pa.int32())], ["doc_id", "n", "keys", "rest", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), lists(keys, pa.int64()), lists(subsets, pa.int64()), lists(parts, pa.int32())], ["doc_id", "n", "keys", "subsets", "parts"])
 
-    entries = slim.mapInArrow(run, "doc_id long, n int, keys array<long>, rest array<int>, parts array<int>")
+    entries = slim.mapInArrow(run, "doc_id long, n int, keys array<long>, subsets array<long>, parts array<int>")
     entries = entries.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    flat = entries.select(F.col("doc_id").alias("node"), "n", F.explode(F.arrays_zip("keys", "rest", "parts")).alias("e")).select("node", "n", F.col("e.keys").alias("key"), F.col("e.rest").alias("rest"), F.col("e.parts").alias("parts"))
-    dealt = flat.select("key", F.when(F.col("parts") > 1, 1 + F.pmod(F.xxhash64("node"), F.col("parts").cast("long"))).otherwise(F.lit(0)).cast("int").alias("part"), "node", "n", "rest")
+    flat = entries.select(F.col("doc_id").alias("node"), "n", "parts", F.size("keys").alias("first"), F.posexplode(F.concat("keys", "subsets")).alias("i", "key"))
+    parts = F.coalesce(F.get("parts", F.col("i")), F.lit(1))
+    rest = F.when(F.col("i") < F.col("first"), F.col("n") - F.col("i")).otherwise(F.col("n"))
+    part = F.when(parts > 1, 1 + F.pmod(F.xxhash64("node"), parts.cast("long"))).otherwise(F.lit(0)).cast("int")
+    dealt = flat.select("key", part.alias("part"), "node", "n", rest.alias("rest"))
     one = Window.partitionBy("key", "part")
     firsts = dealt.select("*", F.min(F.struct("node", "n", "rest")).over(one).alias("least"), F.max("node").over(one).alias("most"))
     return firsts.where((F.col("least.node") < F.col("most")) | (F.col("part") > 0)).drop("most")
@@ -202,11 +207,15 @@ def _close(a, b):
     return 7 * F.least(a["rest"], b["rest"]) >= 3 * (a["n"] + b["n"])
 
 
+#: The ids of documents whose texts are compared are broadcast up to so many, and joined beyond.
+BROADCAST_ROWS = 500_000
+
+
 def _verified(pairs: DataFrame, slim: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach the threshold."""
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs.select("a", "b"), "pairs")
     wanted = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-    texts = slim.join(wanted, "doc_id", "left_semi")
+    texts = slim.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "doc_id", "left_semi")
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -234,12 +243,16 @@ def links_and_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     heads = lists.where("part > 0 and node = least.node").select("key", "node", "n", "rest").distinct()
     head = heads.groupBy("key").agg(F.min(F.struct("node", "n", "rest")).alias("least"))
     across = heads.join(head, "key").where("least.node < node").where(_close(F.col("least"), entry)).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
-    first = written(near.unionByName(across).distinct(), "pairs")
-    links = _verified(first, slim)
+    first = written(near.unionByName(across).groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
     same = real.where("n > 0 and doc_id is not null").join(sets.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     shared_ids = same.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b <> c").select(F.col("b").alias("a"), F.col("c").alias("b"))
-    links = links.unionByName(shared_ids)
+    # each node with the one it shares most lists with, then those that are still apart
+    best = written(first.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select("top.a", "b"), "best")
+    links = written(_verified(best, slim).unionByName(shared_ids), "links")
     found = written(components(links), "components")
+    side = lambda column: found.select(F.col("node").alias(column), F.col("component").alias(f"of_{column}"))
+    apart = first.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    links, found = _joined(links, found, _verified(apart.join(best, ["a", "b"], "left_anti"), slim))
 
     open_lists = lists.join(found, "node", "left").select("key", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
     mixed_lists = open_lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
@@ -248,15 +261,19 @@ def links_and_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top")).select("key", F.col("top.component").alias("main"))
     others = written(members.join(main, "key").where("component <> main").drop("main"), "others")
     x, y = others.alias("x"), members.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))).where(7 * F.least("x.rest", "y.rest") >= 3 * (F.col("x.n") + F.col("y.n")))
-    second = apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = _verified(second, slim)
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        found = written(components(links), "components")
+    crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))).where(7 * F.least("x.rest", "y.rest") >= 3 * (F.col("x.n") + F.col("y.n")))
+    second = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    links, found = _joined(links, found, _verified(second, slim))
     return real, sets, links, found
 
 
+def _joined(links: DataFrame, found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    if more.isEmpty():
+        return links, found
+    links = links.unionByName(more)
+    return links, written(components(links), "components")
+
+
 def clustered(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: the id, n_shingles, component_id (the least id reachable by links)."""
     real, sets, _, found = links_and_nodes(docs, id_column, text_column)

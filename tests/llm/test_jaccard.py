@@ -88,6 +88,10 @@ def test_candidates_lose_no_pair_at_the_threshold():
             a, b = np.unique(np.concatenate([common, extra[:cut]])), np.unique(np.concatenate([common, extra[cut:]]))
             if not J.linked(a, b):
                 continue
-            (ka, ra, pa), (kb, rb, pb) = J.postings(a, use), J.postings(b, use)
-            met = [7 * min(ra[i], r) >= 3 * (len(a) + len(b)) and pa[i] == p for k, r, p in zip(kb, rb, pb, strict=True) for i in np.flatnonzero(ka == k)]
+            met = []
+            (ka, pa, sa, qa), (kb, pb, sb, qb) = J.postings(a, use), J.postings(b, use)
+            for i, k in enumerate(ka):
+                met += [7 * min(len(a) - i, len(b) - j) >= 3 * (len(a) + len(b)) and pa[i] == pb[j] for j in np.flatnonzero(kb == k)]
+            for i, k in enumerate(sa):
+                met += [qa[i] == qb[j] for j in np.flatnonzero(sb == k)]
             assert any(met)
