@@ -11,7 +11,7 @@ an upper bound for each shingle, and as long as lists differ, enough to tell the
 parts a list may have to be dealt, so that no task gets an unbounded list.
 
 Members of a list are first compared with its least member only, each with the one that it meets in most lists before others.
-Then, in lists whose members are still in several components, all pairs from different components are compared, so no link that could join two components is missed. Comparisons are exact
+Then, in lists whose members are still in several components, all pairs from different components are looked at, and those that meet in as many lists as a linked pair must are compared, so no link that could join two components is missed. Comparisons are exact
 on the sets, which are rebuilt from the whole texts.
 
 Null and empty texts have empty sets, which link with nothing; a text of fewer than SHINGLE words has one shingle. Null ids
@@ -202,6 +202,11 @@ def _lists(slim: DataFrame, nodes: DataFrame, use: Frequencies) -> DataFrame:
     return firsts.where((F.col("least.node") < F.col("most")) | (F.col("part") > 0)).drop("most")
 
 
+# How many lists a linked pair must share: let the inverted lists of a end first in the global order. Of its n - ceil(3n/4) + 1
+# lists, all that are of common shingles are among those of b too, and at most n - c are not of common shingles, where
+# c = ceil(3 (n + m) / 7) is the least intersection. That leaves c - ceil(3n/4) + 1, or less if n is the larger size.
+
+
 def _close(a, b):
     """What a pair that meets in a list must fulfil: sizes near enough, and enough shingles left from the first common one on."""
     return 7 * F.least(a["rest"], b["rest"]) >= 3 * (a["n"] + b["n"])
@@ -256,13 +261,19 @@ def links_and_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     open_lists = lists.join(found, "node", "left").select("key", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
     mixed_lists = open_lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    members = written(open_lists.join(mixed_lists, "key"), "members")
+    members = open_lists.join(mixed_lists, "key")
+    members = written(members, "members")
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top")).select("key", F.col("top.component").alias("main"))
-    others = written(members.join(main, "key").where("component <> main").drop("main"), "others")
-    x, y = others.alias("x"), members.alias("y")
-    crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))).where(7 * F.least("x.rest", "y.rest") >= 3 * (F.col("x.n") + F.col("y.n")))
-    second = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    members = written(members.join(main, "key").withColumn("in_main", F.col("component") == F.col("main")).drop("main"), "members")
+    x, y = members.where("not in_main").alias("x"), members.alias("y")
+    once = F.col("y.in_main") | (F.col("x.node") < F.col("y.node"))
+    crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n")))
+    counted = crossed.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(
+        F.count("*").alias("shared"), F.max(F.least("x.rest", "y.rest")).alias("rest"), F.max(F.col("x.n") + F.col("y.n")).alias("both"), F.max(F.greatest("x.n", "y.n")).alias("larger")
+    )
+    enough = F.when(F.col("larger") <= use.boundary, F.lit(1)).otherwise(F.ceil(3 * F.col("both") / 7) - F.ceil(3 * F.col("larger") / 4) + 1)
+    second = counted.where((F.col("shared") >= enough) & (7 * F.col("rest") >= 3 * F.col("both"))).select("a", "b").join(first, ["a", "b"], "left_anti")
     links, found = _joined(links, found, _verified(second, slim))
     return real, sets, links, found
 

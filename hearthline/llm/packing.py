@@ -2,9 +2,9 @@
 
 Documents longer than a sequence are cut; a full piece is a sequence of its own. The rest is dealt at random into shards of
 about SHARD_ROWS pieces, however many there are, and each shard is packed on its own: best fit in decreasing order, then
-local search. The search takes the emptiest sequence and moves a document out of it, or exchanges one for one, two for one
+local search. The search takes the emptiest underfull sequence and moves a document out of it, or exchanges one for one, two for one
 or one for two with another sequence, always so that the other one grows; the sum of squared fills then rises with every
-step, so the search ends, and sequences that become empty go. It stops early where a shard has as few sequences as its
+step, so the search ends, and sequences that become empty go. It stops at once where a shard has as few sequences as its
 tokens need.
 
 Null texts count as empty (their one token is the end mark). Repeated rows are packed each on its own. Ties are broken by
@@ -25,6 +25,8 @@ from hearthline.llm.common import small_batches, text_or_empty, written
 from hearthline.llm.word_tokens import word_tokens
 
 SHARD_ROWS = 4096
+#: A bin with a larger share of its capacity free is one that the local search tries to empty.
+UNDERFULL = 0.02
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -50,76 +52,79 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Fewer bins where moves and exchanges find them; a bin is given up on once no step out of it is left."""
-    bins = [list(b) for b in bins if b]
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    alive, given_up = {k for k, b in enumerate(bins) if b}, set()
-    while len(alive) > least:
-        open_bins = [k for k in alive if k not in given_up and fill[k] < capacity]
-        if not open_bins:
+    """Fewer bins where moves and exchanges empty underfull ones (those with more than UNDERFULL of the capacity free), the
+    emptiest first; it ends once no step out of any is left, or where all bins together need as many as there are."""
+    bins = [b for b in bins if b]
+    size = np.array(lengths, np.int64)
+    at = np.zeros(len(size), np.int64)
+    for k, members in enumerate(bins):
+        at[members] = k
+    room = np.array([capacity - sum(lengths[i] for i in b) for b in bins], np.int64)
+    alive = np.ones(len(bins), bool)
+    least, given_up = -(-int(size.sum()) // capacity), set()
+    while alive.sum() > least:
+        sources = [k for k in np.flatnonzero(alive & (room > UNDERFULL * capacity)).tolist() if k not in given_up]
+        if not sources:
             break
-        source = min(open_bins, key=lambda k: (fill[k], k))
-        others = [k for k in alive if k != source and fill[source] <= fill[k] < capacity]
-        step = _step(bins, fill, lengths, capacity, source, others)
+        source = max(sources, key=lambda k: (room[k], -k))
+        step = _step(size, at, np.where(alive & (room <= room[source]), room, 0), source)
         if step is None:
             given_up.add(source)
             continue
         target, out, back = step
-        for i in out:
-            bins[source].remove(i)
-        for i in back:
-            bins[target].remove(i)
-        bins[target] += out
-        bins[source] += back
-        gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-        fill[target] += gain
-        fill[source] -= gain
+        gain = int(size[out].sum() - size[back].sum())
+        at[out], at[back] = target, source
+        room[target] -= gain
+        room[source] += gain
+        alive[source] = room[source] < capacity
         given_up.clear()
-        if not bins[source]:
-            alive.discard(source)
-    return [bins[k] for k in sorted(alive)]
-
-
-def _step(bins, fill, lengths, capacity, source, others):
-    """(target, documents out of the source, documents back), the step that moves most, or None."""
-    if not others:
-        return None
-    mine = sorted(bins[source], key=lambda i: -lengths[i])
-    rooms = np.array([capacity - fill[k] for k in others])
-    for i in mine:  # move: the fullest bin with room
-        fits = np.flatnonzero(rooms >= lengths[i])
+    order = np.argsort(at, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []
+    return [p.tolist() for p in parts]
+
+
+def _step(size: np.ndarray, at: np.ndarray, room: np.ndarray, source: int) -> tuple[int, list[int], list[int]] | None:
+    """(target bin, documents out of the source, documents back): the first of move, one for one, two for one, one for two that
+    makes another bin fuller, the largest document first and by as much as it can."""
+    mine = np.flatnonzero(at == source)
+    mine = mine[np.argsort(-size[mine], kind="stable")].tolist()
+    room = room.copy()
+    room[source] = 0
+    for i in mine:  # into the fullest bin with room
+        fits = np.flatnonzero(room >= size[i])
         if len(fits):
-            return others[fits[np.argmin(rooms[fits])]], [i], []
-    owner = np.repeat(np.arange(len(others)), [len(bins[k]) for k in others])
-    rows = np.array([i for k in others for i in bins[k]])
-    size = np.array([lengths[i] for i in rows])
-    most = size + rooms[owner]
-
-    def swap(give):
-        total = sum(lengths[i] for i in give)
-        fits = np.flatnonzero((size < total) & (total <= most))
-        if len(fits):
-            j = fits[np.argmin(size[fits])]
-            return others[owner[j]], give, [int(rows[j])]
-        return None
-
-    for i in mine:
-        if step := swap([i]):
+            return int(fits[np.argmin(room[fits])]), [i], []
+    others = np.flatnonzero(room[at] > 0)
+    theirs, most = size[others], size[others] + room[at[others]]
+
+    def swapped(give: list[int]):
+        total = int(size[give].sum())
+        fits = np.flatnonzero((theirs < total) & (total <= most))
+        if not len(fits):
+            return None
+        j = int(others[fits[np.argmin(theirs[fits])]])
+        return int(at[j]), give, [j]
+
+    tried = set()
+    for give in ([i] for i in mine):
+        if (total := int(size[give].sum())) not in tried and (step := swapped(give)):
             return step
-    for a in range(len(mine)):
-        for b in range(a + 1, len(mine)):
-            if step := swap([mine[a], mine[b]]):
-                return step
-    for k, room in zip(others, rooms, strict=True):  # one out, two back
-        have = np.array([lengths[i] for i in bins[k]])
-        left, right = np.triu_indices(len(have), 1)
-        pairs = have[left] + have[right]
+        tried.add(total)
+    for give in ([i, j] for k, i in enumerate(mine) for j in mine[k + 1 :]):
+        if (total := int(size[give].sum())) not in tried and (step := swapped(give)):
+            return step
+        tried.add(total)
+    by_bin = others[np.argsort(at[others], kind="stable")]
+    for members in np.split(by_bin, np.flatnonzero(np.diff(at[by_bin])) + 1):
+        if len(members) < 2:
+            continue
+        left, right = np.triu_indices(len(members), 1)
+        pairs, limit = size[members][left] + size[members][right], int(room[at[members[0]]])
         for i in mine:
-            fits = np.flatnonzero((pairs < lengths[i]) & (lengths[i] <= pairs + room))
+            fits = np.flatnonzero((pairs < size[i]) & (size[i] <= pairs + limit))
             if len(fits):
                 j = fits[np.argmin(pairs[fits])]
-                return k, [i], [bins[k][left[j]], bins[k][right[j]]]
+                return int(at[members[0]]), [i], [int(members[left[j]]), int(members[right[j]])]
     return None
 
 
