@@ -251,7 +251,10 @@ def links_and_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     first = written(near.unionByName(across).groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
     same = real.where("n > 0 and doc_id is not null").join(sets.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     shared_ids = same.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b <> c").select(F.col("b").alias("a"), F.col("c").alias("b"))
-    links, found = _settled(first, written(shared_ids, "links"), None, slim)
+    # each node with the one that it meets as the least of most lists
+    best = written(first.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select("top.a", "b"), "best")
+    links = written(_verified(best, slim).unionByName(shared_ids), "links")
+    found = written(components(links), "components")
 
     open_lists = lists.join(found, "node", "left").select("key", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
     mixed_lists = open_lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
@@ -267,29 +270,23 @@ def links_and_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.count("*").alias("shared"), F.max(F.least("x.rest", "y.rest")).alias("rest"), F.max(F.col("x.n") + F.col("y.n")).alias("both"), F.max(F.greatest("x.n", "y.n")).alias("larger")
     )
     enough = F.when(F.col("larger") <= use.boundary, F.lit(1)).otherwise(F.ceil(3 * F.col("both") / 7) - F.ceil(3 * F.col("larger") / 4) + 1)
-    second = counted.where((F.col("shared") >= enough) & (7 * F.col("rest") >= 3 * F.col("both"))).select("a", "b", "shared").join(first, ["a", "b"], "left_anti")
+    second = counted.where((F.col("shared") >= enough) & (7 * F.col("rest") >= 3 * F.col("both"))).select("a", "b", "shared").join(best, ["a", "b"], "left_anti")
     links, found = _settled(written(second, "pairs"), links, found, slim)
     return real, sets, links, found
 
 
-def _settled(pairs: DataFrame, links: DataFrame, found: DataFrame | None, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _settled(pairs: DataFrame, links: DataFrame, found: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and components after the pairs (a, b, shared): first each node with the one it shares most lists with, then all
     pairs that are still apart."""
-    best = written(_apart(pairs, found).groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select("top.a", "b"), "best")
+    best = written(pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select("top.a", "b"), "best")
     links, found = _joined(links, found, _verified(best, slim))
-    rest = _apart(pairs, found).select("a", "b").join(best, ["a", "b"], "left_anti")
-    return _joined(links, found, _verified(rest, slim))
-
-
-def _apart(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return pairs
     side = lambda column: found.select(F.col("node").alias(column), F.col("component").alias(f"of_{column}"))
-    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(*pairs.columns)
+    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    return _joined(links, found, _verified(apart.join(best, ["a", "b"], "left_anti"), slim))
 
 
-def _joined(links: DataFrame, found: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    if found is not None and more.isEmpty():
+def _joined(links: DataFrame, found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    if more.isEmpty():
         return links, found
     links = links.unionByName(more)
     return links, written(components(links), "components")

@@ -12,10 +12,13 @@ places. Repeated rows get the same answer. Columns other than the id and the tex
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import LOWER, UPPER, text_or_empty
+from hearthline.llm.common import text_or_empty
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -123,7 +126,7 @@ SINGLE = (
     ("bsd-text", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 1, 0.95),
     ("gpl-text", "free software", r"this program is free software you can redistribute it and or modify it", 1, 0.95),
     ("gpl-text", "without even the implied", r"without even the implied warranty of merchantability", 2, 0.6),
-    ("as-is-text", "as is", r"(?:software|work|material) is provided as is", 3, 0.6),
+    ("as-is-text", "provided as is", r"(?:software|work|material) is provided as is", 3, 0.6),
     ("apache-text", "obtain a copy of the", r"you may obtain a copy of the license at", 2, 0.7),
     ("apache-text", "use this file except", r"you may not use this file except in compliance with the license", 1, 0.95),
     ("mpl-text", "source code form", r"this source code form is subject to the terms of the mozilla public license", 0, 1.0),
@@ -152,8 +155,12 @@ RULES = tuple(
     ]
 )
 
-#: No rule and no phrase can match a text without one of these.
-GATE = r"licen|copyright|creative ?commons|public domain|cc by|cc0|reserved|prohibited|redistribut|permission|proprietary|gnu|openrail|open rail|bsd|wtfpl|spdx|as is|may not be|warranty|mit no attribution|© |opensource|obtain a copy|use this file|source code form"
+#: No rule and no phrase can match a text without one of these. Ordered by how often they decide.
+GATE = (
+    "licen", "copyright", "reserved", "creative commons", "creativecommons", "public domain", "cc by", "cc0", "prohibited", "redistribut",
+    "permission", "proprietary", "gnu", "openrail", "open rail", "bsd", "wtfpl", "spdx", "provided as is", "may not be", "warranty",
+    "mit no attribution", "\u00a9 ", "opensource", "obtain a copy", "use this file", "source code form",
+)
 
 _DETECTION = "struct<rule:int,label:string,start:int,end:int,priority:int,confidence:double>"
 
@@ -209,11 +216,14 @@ def rules_column() -> Column:
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: the id, n_words, base (array of word, label), found (array of detections, spans in the joined words)."""
-    lower = F.translate(text_or_empty(text_column), UPPER, LOWER)
-    slim = docs.select(docs[id_column], F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, NOT_WORD, " ")), F.lit(" ")).alias("joined"))
+    # lower() changes non-ASCII letters too, which moves no word's border: only of U+212A and U+0130 it makes ASCII letters
+    text = text_or_empty(text_column)
+    lower = F.lower(F.when(text.contains("\u212a") | text.contains("\u0130"), F.translate(text, "\u212a\u0130", "\u00e9\u00e9")).otherwise(text))
+    joined = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, NOT_WORD, " ")), F.lit(" "))
+    slim = docs.select(docs[id_column], F.explode(F.array(joined)).alias("joined"))  # made once, whatever reads it
     length = F.length("joined")
     slim = slim.withColumn("n_words", F.when(length <= 2, F.lit(0)).otherwise(length - F.length(F.replace("joined", F.lit(" "), F.lit(""))) - 1).cast("long"))
-    gated = F.col("joined").rlike(GATE)
+    gated = reduce(or_, [F.col("joined").contains(word) for word in GATE])
     words = F.split(F.trim("joined"), " ")
     base = F.array().cast("array<struct<word:int,label:string>>")
     for phrase, label in PHRASES:

@@ -30,7 +30,7 @@ def _byte_letters() -> list[str]:
 class WordTokens:
     """max_memo bounds the number of remembered words. Ids are packed as little-endian unsigned 16-bit (wide: 32-bit)."""
 
-    def __init__(self, path: str, max_memo: int = 400_000) -> None:
+    def __init__(self, path: str, max_memo: int = 250_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
