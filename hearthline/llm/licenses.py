@@ -165,18 +165,26 @@ GATE = (
 _DETECTION = "struct<rule:int,label:string,start:int,end:int,priority:int,confidence:double>"
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with value made once: what a lambda reads from outside is otherwise made again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def places(words: Column, phrase: str) -> Column:
     """Word numbers at which the phrase's words stand one after the other."""
     parts = phrase.split(" ")
-    starts = F.sequence(F.lit(0), F.size(words) - len(parts))
 
-    def here(i):
+    def here(words, i):
         same = F.get(words, i) == parts[0]
         for k, part in enumerate(parts[1:], 1):
             same = same & (F.get(words, i + k) == part)
         return same
 
-    return F.when(F.size(words) >= len(parts), F.filter(starts, here)).otherwise(F.array().cast("array<int>"))
+    def found(words):
+        starts = F.sequence(F.lit(0), F.size(words) - len(parts))
+        return F.when(F.size(words) >= len(parts), F.filter(starts, lambda i: here(words, i))).otherwise(F.array().cast("array<int>"))
+
+    return bound(words, found)
 
 
 def detections(joined: Column, rules: Column) -> Column:
@@ -206,7 +214,7 @@ def resolved(found: Column) -> Column:
         better = (e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & (~same_span | (e["rule"] < d["rule"])))
         return within & better
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: beaten(d, e)))
+    return bound(found, lambda all_found: F.filter(all_found, lambda d: ~F.exists(all_found, lambda e: beaten(d, e))))
 
 
 def rules_column() -> Column:
