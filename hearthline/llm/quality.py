@@ -129,8 +129,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = 1500, id_column
 
     kind = docs.schema[id_column].dataType.simpleString()
     counted = joined.mapInArrow(run, f"`{id_column}` {kind}, buckets array<int>, counts array<int>, label int")
-    rows = sorted(counted.toArrow().to_pylist(), key=lambda r: (r[id_column], r["label"], len(r["buckets"]), r["buckets"][:8]))
-    model = train([(np.array(r["buckets"], np.int64), np.array(r["counts"], np.float32), r["label"]) for r in rows])
+    found = counted.toArrow().combine_chunks()
+    ids, ys = found.column(id_column).to_pylist(), found.column("label").to_pylist()
+    column = lambda name: [x.values.to_numpy() for x in found.column(name)]  # noqa: E731  views, no Python numbers
+    buckets, counts = column("buckets"), column("counts")
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], ys[i], buckets[i].tobytes()))
+    model = train([(buckets[i], counts[i], ys[i]) for i in order])
     shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows at most
     return Model(model.weights, model.bias + math.log(shares[1] / shares[0])) if len(shares) == 2 else model
 
