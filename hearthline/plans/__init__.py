@@ -1 +1,11 @@
+"""All queries of the listing engine, by group, with their oracle SQL."""
 
+from hearthline import queries
+from hearthline.plans import link_queries
+
+GROUPS = (queries, link_queries)
+QUERIES: dict = {}
+ORACLES: dict = {}
+for _group in GROUPS:
+    QUERIES.update(_group.QUERIES)
+    ORACLES.update(_group.ORACLES)

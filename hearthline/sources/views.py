@@ -34,13 +34,49 @@ LISTING = {
 
 LISTING_SQL = "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in LISTING.items()) + " FROM part"
 
+#: Found links with the page they are on, in the forms that link rules tell apart.
+LINK = {
+    "id": "p_partkey",
+    "link": """concat(case p_partkey % 19 when 0 then 'mailto:corretor' when 1 then '' else concat('https://', case when p_partkey % 3 = 0 then 'www.' else '' end, 'site', cast(p_partkey % 7 as varchar), case when p_partkey % 11 = 0 then '.net' else '.com.br' end) end,
+ case p_partkey % 23 when 0 then '/venda/' when 1 then concat('/imovel/', cast(p_partkey as varchar)) when 2 then '/contato' when 3 then '/imoveis' when 4 then concat('/venda/casa/centro/', cast(p_partkey as varchar), '/')
+ when 5 then '/foto.JPG' when 6 then '/login' when 7 then concat('/casa-', cast(p_partkey as varchar), '-venda') when 8 then '/busca?page=2&ordenar=preco' when 9 then concat('/imovel?utm_source=x&id=', cast(p_partkey as varchar), '&cidade=alfenas')
+ when 10 then '/blog/noticias#topo' when 11 then '//detalhes//ref-12/' when 12 then '/wp-admin' when 13 then concat('/terreno/lote/', cast(p_partkey % 50 as varchar)) when 14 then '/aluguel/apartamento/centro' when 15 then '/sobre' when 16 then '/doc.pdf'
+ when 17 then concat('/publicacao.aspx?codigo=ab', cast(p_partkey as varchar)) when 18 then '/anuncie' when 19 then '/resultados?filtro=1&busca=casa' when 20 then '/bairro/centro' when 21 then '/Casa/%20/x?ref=1' else '/' end)""",
+    "parent": "concat('https://site', cast(p_partkey % 5 as varchar), '.com.br/pagina', case when p_partkey % 2 = 0 then '/' else '' end)",
+    "onclick": """case p_partkey % 4 when 0 then concat('window.location=', chr(39), '/imovel/', cast(p_partkey as varchar), chr(39)) when 1 then 'go();location.href="https://outro.com.br/x";' when 2 then concat('window.open(', chr(39), 'mapa', chr(39), ')') else 'alert(1)' end""",
+    "label": "case p_partkey % 4 when 0 then 'Ver Casa' when 1 then 'Imovel em destaque' when 2 then 'Contato' else '' end",
+}
+LINK_SQL = "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in LINK.items()) + " FROM part"
+
+#: Texts of pages of several kinds, lower case, with url and title.
+PAGE = {
+    "id": "p_partkey",
+    "url": LINK["link"],
+    "title": "case when p_partkey % 10 = 0 then 'detalhes do imóvel' when p_partkey % 10 = 1 then 'imóveis similares' else 'site' end",
+    "raw": f"""concat({TEXT}, case p_partkey % 8 when 0 then ' Agendar visita. Entre em contato. Características do imóvel, IPTU: 10' when 1 then ' Ordenar por preço. Filtrar por bairro. Página anterior. Filtros' when 2 then repeat(' R$ 1', 9)
+ when 3 then repeat(' quartos', 6) when 4 then ' Código do imóvel: 7. Ref: 9. Área total: 90. Condomínio: 5' when 5 then ' Valor do imóvel 500 reais, garagem, bairro, localização' when 6 then repeat(' imóveis', 9) else '' end)""",
+}
+PAGE_SQL = "SELECT id, url, title, raw, lower(raw) AS text FROM (SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in PAGE.items()) + " FROM part)"
+
+
+def _viewed(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
+    return read(spark, sf_dir, "part").selectExpr(*[f"{sql.replace('as varchar', 'as string')} AS {name}" for name, sql in columns.items()])
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _viewed(spark, sf_dir, LINK)
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _viewed(spark, sf_dir, PAGE).withColumn("text", F.lower("raw"))
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").selectExpr(*[f"{sql.replace('as varchar', 'as string')} AS {name}" for name, sql in LISTING.items()])
+    return _viewed(spark, sf_dir, LISTING)
 
 
 def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
