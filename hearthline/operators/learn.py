@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.functions import urls
+from hearthline.operators import pages as page_rules
 
 
 def shapes(pages: DataFrame, least: int = 2) -> DataFrame:
@@ -21,3 +22,92 @@ def matched(pages: DataFrame, learned: DataFrame) -> DataFrame:
     """Each url with the confidence of its own shape on its host, null if that was not learned."""
     named = pages.select("page_id", urls.host(F.col("url")).alias("host"), urls.shape(urls.path(F.col("url"))).alias("shape"))
     return named.join(learned.withColumn("confidence", confidence("n")), ["host", "shape"], "left").select("page_id", "confidence")
+
+
+# How far examples are trusted, by their number, for each kind of pattern.
+
+
+def url_confidence(n: Column) -> Column:
+    return F.least(n / 10.0, F.lit(1.0))
+
+
+def content_confidence(n: Column) -> Column:
+    return F.least(F.greatest(n / 5.0, F.lit(0.3)), F.lit(1.0))
+
+
+def reference_confidence(n: Column) -> Column:
+    return F.least(0.3 + (n - 1) * 0.1, F.lit(0.95))
+
+
+def general_forms(path: Column) -> Column:
+    """A path's patterns: itself, with numbers out, its first two parts and anything, its last part a number. The same pattern may
+    come twice, and then counts twice."""
+    bare = F.regexp_replace(path, r"/\z", "")
+    parts = F.split(bare, "/")
+    return F.array_compact(
+        F.array(
+            bare,
+            F.when(bare.rlike(r"\d"), urls.shape(bare)),
+            F.when(F.size(parts) > 2, F.concat(F.array_join(F.slice(parts, 1, 3), "/"), F.lit("/*"))),
+            F.when((F.size(parts) > 3) & F.element_at(parts, -1).rlike(r"\d"), F.concat(F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/"), F.lit("/{id}"))),
+        )
+    )
+
+
+#: What a query string is used for, by what it has. Fixed values.
+QUERY_USES = (("has_pagination", "page=|pagina="), ("has_filters", "filtro|filter"), ("has_sorting", "ordenar|sort"), ("has_search", "busca|search|q="))
+
+
+def query_uses(query: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(query.rlike(pattern), name) for name, pattern in QUERY_USES]))
+
+
+def generalised(pages: DataFrame) -> DataFrame:
+    """pages: id, url, kind. One row for each pattern of each url."""
+    forms = F.concat(general_forms(urls.path(F.col("url"))), query_uses(urls.query(F.col("url"))))
+    host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return pages.select("id", "kind", host.alias("host"), F.explode(forms).alias("pattern"))
+
+
+def url_patterns(pages: DataFrame, least: int = 2) -> DataFrame:
+    """kind, pattern, n, confidence: of the patterns that a host has least examples of, all hosts' examples together."""
+    by_host = generalised(pages).groupBy("kind", "host", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return by_host.groupBy("kind", "pattern").agg(F.sum("n").alias("n")).withColumn("confidence", url_confidence(F.col("n")))
+
+
+def by_url_patterns(pages: DataFrame, learned: DataFrame) -> DataFrame:
+    """id, kind, confidence of each url by the best patterns of both kinds. A url names the patterns that can match it and is joined
+    to them by equality: no url meets every pattern."""
+    path = urls.path(F.col("url"))
+    parts = F.split(path, "/")
+    parent = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
+    begins = F.transform(F.sequence(F.lit(0), F.length(path)), lambda n: F.concat(F.substring(path, F.lit(1), n), F.lit("/*")))
+    exact = F.array_compact(F.array(path, urls.shape(path), F.when(F.element_at(parts, -1).rlike(r"^\d+\z"), F.concat(parent, F.lit("/{id}")))))
+    named = pages.select("id", F.explode(F.array_distinct(F.concat(F.filter(F.concat(exact, begins), lambda p: p.contains("/")), query_uses(urls.query(F.col("url")))))).alias("pattern"))
+    worth = F.when(F.col("pattern").contains("/"), F.col("confidence")).otherwise(0.8 * F.col("confidence"))
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, worth)), F.lit(0.0)).alias(kind)
+    scores = named.join(learned.select("kind", "pattern", "confidence"), "pattern", "left").groupBy("id").agg(of("catalog"), of("property"))
+    best, sure = F.greatest("catalog", "property"), (F.col("catalog") != F.col("property")) & (F.greatest("catalog", "property") > 0.1)
+    kind = F.when(sure & (F.col("catalog") > F.col("property")), "catalog").when(sure, "property").otherwise("unknown")
+    return scores.select("id", kind.alias("kind"), F.round(F.when(sure, best).otherwise(0.0), 9).alias("confidence"))
+
+
+def reference_patterns(pages: DataFrame, least: int = 2) -> DataFrame:
+    """pattern, n, confidence: path patterns of reference urls, and the share of all that they cover."""
+    counted = pages.select(page_rules.reference_path(F.col("url")).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n").alias("total"))  # one row
+    return counted.crossJoin(F.broadcast(total)).where(F.col("n") >= least).select("pattern", "n", (F.col("n") / F.col("total")).alias("confidence"))
+
+
+def by_reference(pages: DataFrame, learned: DataFrame) -> DataFrame:
+    """id, confidence, accepted of each url against reference patterns. Only distinct path patterns are compared with the learned ones;
+    both are far fewer than urls."""
+    url, path = F.col("url"), F.lower(urls.path(F.col("url")))
+    named = pages.select("id", path.alias("path"), page_rules.reference_path(url).alias("pattern"), page_rules.excluded_path(url).alias("excluded"))
+    shapes = named.select("pattern").distinct()
+    best = shapes.join(learned.select(F.col("pattern").alias("known")), F.lit(True), "left").groupBy("pattern").agg(F.coalesce(F.max(page_rules.similarity(F.col("pattern"), F.col("known"))), F.lit(0.0)).alias("best"))
+    slashes = page_rules.count(F.col("path"), "/")
+    score = F.col("best") + F.when(F.col("path").rlike(r"/\d+/?\z"), 0.2).otherwise(0.0) + F.when(slashes >= 3, 0.1).otherwise(0.0) - F.when(slashes <= 1, 0.3).otherwise(0.0)
+    no = F.col("excluded") | (F.size(page_rules.keywords(F.col("path"))) == 0)
+    scored = named.join(best, "pattern").select("id", F.round(F.when(no, 0.0).otherwise(score), 9).alias("confidence"))
+    return scored.withColumn("accepted", F.col("confidence") >= 0.6)
