@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def allowed(times: list[int], most: int, window: int) -> list[bool]:
@@ -24,3 +25,27 @@ def limited(requests: DataFrame, most: int, window_seconds: int) -> DataFrame:
         return frame.assign(allowed=allowed(frame["at"].tolist(), most, window_seconds * 1_000_000))
 
     return requests.groupBy("client").applyInPandas(run, "client long, at long, seq long, allowed boolean")
+
+
+def limited_stream(requests: DataFrame, most: int, window_seconds: int) -> DataFrame:
+    """The same over a stream: a client's window and count are its state, dropped after two windows without requests. Requests of
+    one batch are decided in the order of their time."""
+    window = window_seconds * 1_000_000
+
+    def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, count = state.get if state.exists else (None, 0)
+        frame = pd.concat(list(frames)).sort_values(["at", "seq"])
+        out = []
+        for t in frame["at"].tolist():
+            if start is None or t - start > window:
+                start, count = t, 0
+            out.append(count < most)
+            count += count < most
+        state.update((start, count))
+        state.setTimeoutDuration(2 * window_seconds * 1000)
+        yield frame.assign(allowed=out)[["client", "at", "seq", "allowed"]]
+
+    return requests.groupBy("client").applyInPandasWithState(step, "client long, at long, seq long, allowed boolean", "start long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
