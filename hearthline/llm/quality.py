@@ -3,8 +3,8 @@
 Features are the words of a text (runs of non-space bytes, case kept), the byte n-grams of NGRAMS within a word or at its
 edges, and word pairs at the distances of REPEATS, told apart by whether they are equal, each hashed into one of BUCKETS vectors. Training is stochastic gradient descent in numpy, one document at a time, on
 a bounded sample: of each label the max_per_label documents whose ids hash lowest, both labels weighing the same; the bias then takes
-in how frequent each label is among all known ones. Executors count the sample's features;
-the driver sees bucket numbers and counts of at most 2 * max_per_label documents, no texts.
+in how frequent each label is among all known ones. Executors count the sample's features, one task of an executor learns from
+these counts of at most 2 * max_per_label documents, and the driver sees the model only: BUCKETS floats.
 
 The mean of vectors times the output weights is the mean of one number per bucket and label, so scoring gathers one float
 per feature from a table of BUCKETS floats. Whole texts are read. A text without features scores as its bias says; null
@@ -129,12 +129,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = 1500, id_column
 
     kind = docs.schema[id_column].dataType.simpleString()
     counted = joined.mapInArrow(run, f"`{id_column}` {kind}, buckets array<int>, counts array<int>, label int")
-    found = counted.toArrow().combine_chunks()
-    ids, ys = found.column(id_column).to_pylist(), found.column("label").to_pylist()
-    column = lambda name: [x.values.to_numpy() for x in found.column(name)]  # noqa: E731  views, no Python numbers
-    buckets, counts = column("buckets"), column("counts")
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], ys[i], buckets[i].tobytes()))
-    model = train([(buckets[i], counts[i], ys[i]) for i in order])
+    def learn(batches):
+        """The sample is at most 2 * max_per_label rows, so one task holds it; the order of rows does not matter."""
+        rows = []
+        for batch in batches:
+            arrays = [[x.values.to_numpy() for x in batch.column(c)] for c in (1, 2)]  # views, no Python numbers
+            rows += zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), *arrays, strict=True)
+        rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+        model = train([(b, c, y) for _, y, b, c in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
+
+    row = counted.repartition(1).mapInArrow(learn, "weights binary, bias double").first()  # BUCKETS floats
+    model = Model(np.frombuffer(row["weights"], "<f4"), row["bias"]) if row else train([])
     shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows at most
     return Model(model.weights, model.bias + math.log(shares[1] / shares[0])) if len(shares) == 2 else model
 
