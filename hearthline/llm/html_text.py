@@ -5,11 +5,16 @@ classes from the root). Some branches are boilerplate by their markup: by tag, b
 they are hidden. Where a page has article or main elements, the text is what lies in them.
 
 The style tree merges the pages of a host: per style path, how often each content (the hash of a block's text) and each
-presentation (the sequence of child styles) occurs. Content that recurs over m pages has entropy near 1 (log n / log m), content
-of one page 0; a block style's importance is 1 less the mean entropy of its contents. An inner style's importance is
-(1 - GAMMA**l) times the entropy of its l presentations plus GAMMA**l times the mean importance of the block styles below. An
-open branch (neither boilerplate by markup nor within an article or main) whose style has an importance below THRESHOLD over
-MIN_PAGES pages or more goes from every page of its host.
+presentation (the sequence of child styles) occurs. What markup drops is not counted. Content that recurs over m blocks has
+entropy near 1 (log n / log m), content of one page 0; a block style's importance is 1 less the mean entropy of its contents. An
+inner style's importance is (1 - GAMMA**l) times the entropy of its l presentations plus GAMMA**l times the mean importance of
+the block styles below.
+
+What is decided must not depend on the number of pages or blocks: there, a content's entropy is log n over the log of the pages
+that have text of this style, and a host of more than REFERENCE_PAGES counts as one of so many (n in proportion), so that one of
+25 equally common contents weighs the same on every large host. An open branch (neither boilerplate by markup nor within an
+article or main) goes from every page of its host if its style and all styles below it are under THRESHOLD, over MIN_PAGES
+pages or more; so does text directly in an element that stays for what is below it.
 
 The statistics are summed per (host, style, content) before they are shuffled, so a host with a third of all pages meets in no
 single task. What comes of them, the styles to remove, is sent to all tasks only if it is small (checked), else it is joined to
@@ -34,6 +39,8 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import small_batches, text_or_empty, written
 
 GAMMA, THRESHOLD, MIN_PAGES = 0.9, 0.35, 4
+#: A larger host's counts are taken in proportion to so many pages.
+REFERENCE_PAGES = 1000
 #: Styles to remove are broadcast up to so many rows, and joined beyond.
 BROADCAST_ROWS, SALTS = 20_000, 32
 
@@ -103,7 +110,7 @@ def _marked(attrs: str) -> tuple[str, bool]:
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
-    """(blocks in page order, (path, child styles) of each element)."""
+    """(blocks in page order, (path, child styles) of each element that markup does not drop)."""
     root = Element("", "", "open", [])
     stack, blocks, elements, held = [root], [], [], []
 
@@ -116,7 +123,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
     def close(upto: int) -> None:
         while len(stack) > upto:
             gone = stack.pop()
-            if gone.children:
+            if gone.children and gone.state != "out":
                 elements.append((gone.path, " ".join(gone.children)))
 
     at = 0
@@ -187,10 +194,15 @@ def main_text(page: str, removed: frozenset[str] = frozenset()) -> str:
     blocks, _ = parse(page)
     inside = [b for b in blocks if b.state in ("in", "head")]
     if not inside:
-        inside = [b for b in blocks if b.state == "open" and not (removed and any(p in removed for p in ancestors(b.path)))]
+        inside = [b for b in blocks if b.state == "open" and not (removed and _gone(b.path, removed))]
     return "\n\n".join(b.text for b in inside)
 
 
+def _gone(path: str, removed: frozenset[str]) -> bool:
+    """Whether a style or one above it goes, or the text directly in it (a style with > behind)."""
+    return f"{path}>" in removed or any(p in removed for p in ancestors(path))
+
+
 def ancestors(path: str) -> list[str]:
     parts = path.split(">")
     return [">".join(parts[: k + 1]) for k in range(len(parts))]
@@ -205,11 +217,12 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-_STATS = "host long, path long, kind int, feature long, n long, name string, open boolean"
+_STATS = "host long, path long, kind int, feature long, n long, name string"
 
 
 def _counts(batches):
-    """Per batch, summed: contents (kind 0) and presentations (kind 1) by host and path; names of paths (kind 2)."""
+    """Per batch, summed: contents (kind 0) and presentations (kind 1) by host and path, pages with a style (kind 2, its
+    name) and with text directly in it (kind 3)."""
     known: dict[str, int] = {}
 
     def short(text: str) -> int:
@@ -224,54 +237,66 @@ def _counts(batches):
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             host = short(host_of(url))
             blocks, elements = parse(page)
-            for b in {(b.path, b.text): b for b in blocks}.values():
-                found[host, short(b.path), 0, _hash(b.text), None, None] += 1
-                found[host, short(b.path), 2, 0, b.path, b.state == "open"] += 1
+            texts = {(b.path, b.text) for b in blocks if b.state != "out"}
+            leaves = {path for path, _ in texts}
+            for path, text in texts:
+                found[host, short(path), 0, _hash(text), None] += 1
             for path, children in set(elements):
-                found[host, short(path), 1, short(children), None, None] += 1
+                found[host, short(path), 1, short(children), None] += 1
+            for style in {style for path in leaves for style in ancestors(path)}:
+                found[host, short(style), 2, 0, style] += 1
+            for path in leaves:
+                found[host, short(path), 3, 0, None] += 1
         keys, n = list(found), list(found.values())
         column = lambda k, kind: pa.array([key[k] for key in keys], kind)
         yield pa.RecordBatch.from_arrays(
-            [column(0, pa.int64()), column(1, pa.int64()), column(2, pa.int32()), column(3, pa.int64()), pa.array(n, pa.int64()), column(4, pa.string()), column(5, pa.bool_())],
-            ["host", "path", "kind", "feature", "n", "name", "open"],
+            [column(0, pa.int64()), column(1, pa.int64()), column(2, pa.int32()), column(3, pa.int64()), pa.array(n, pa.int64()), column(4, pa.string())],
+            ["host", "path", "kind", "feature", "n", "name"],
         )
 
 
 def style_tree(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """Per style of a host: host (hash), style (path), pages, importance, and whether markup leaves it open."""
+    """Per style of a host: host (hash), style (path), pages, importance; and what is decided by: highest, of this style and all
+    below it, and text_pages and text, of the text directly in it (null without)."""
     small_batches(pages.sparkSession)
     slim = pages.select(text_or_empty(url_column).alias("url"), text_or_empty(html_column).alias("html"))
-    counted = written(slim.mapInArrow(_counts, _STATS).groupBy("host", "path", "kind", "feature", "name", "open").agg(F.sum("n").alias("n")), "styles")
-    log = F.log(F.col("n").cast("double"))
-    per_path = counted.where("kind < 2").groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.count("*").alias("l"), F.sum(log).alias("s1"), F.sum(F.col("n") * log).alias("s2"))
-    log_m = F.log(F.col("m").cast("double"))
-    content = per_path.where("kind = 0").select("host", "path", "m", F.when(F.col("m") > 1, 1 - F.col("s1") / F.col("l") / log_m).otherwise(1.0).alias("importance"))
-    shape = per_path.where("kind = 1").select("host", "path", "l", F.when(F.col("m") > 1, (log_m - F.col("s2") / F.col("m")) / log_m).otherwise(1.0).alias("variety"))
-    names = counted.where("kind = 2").groupBy("host", "path").agg(F.min("name").alias("name"), F.max(F.col("open").cast("int")).alias("open"))
-    leaves = names.join(content, ["host", "path"])
-    parts = F.split("name", ">")
-    above = leaves.select("host", "m", "importance", "open", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ">"))).alias("style"))
-    below = above.groupBy("host", "style").agg(F.sum("m").alias("pages"), (F.sum(F.col("m") * F.col("importance")) / F.sum("m")).alias("mean"), F.max("open").alias("open"))
-    # inner styles are found by the hash of their path, which is that of their name
-    shapes = shape.join(_style_hashes(below), ["host", "path"]).select("host", "style", "l", "variety")
+    counted = written(slim.mapInArrow(_counts, _STATS).groupBy("host", "path", "kind", "feature", "name").agg(F.sum("n").alias("n")), "styles")
+    log = lambda c: F.log(F.col(c).cast("double"))
+    named = counted.where("kind = 2").select("host", "path", F.col("name").alias("style"), F.col("n").alias("pages"))
+    with_text = counted.where("kind = 3").select("host", "path", F.col("n").alias("text_pages"))
+    # contents by how often they occur: few rows per path, however many contents it has
+    alike = counted.where("kind = 0").groupBy("host", "path", "n").agg(F.count("*").alias("c"))
+    beyond = F.greatest(F.lit(0.0), log("text_pages") - F.log(F.lit(float(REFERENCE_PAGES))))
+    scaled = F.sum(F.col("c") * F.greatest(F.lit(0.0), log("n") - beyond)) / F.sum("c")
+    sums = alike.join(with_text, ["host", "path"]).groupBy("host", "path", "text_pages")
+    sums = sums.agg(F.sum(F.col("c") * F.col("n")).alias("m"), (F.sum(F.col("c") * log("n")) / F.sum("c")).alias("plain"), scaled.alias("scaled"))
+    importance = F.when(F.col("m") > 1, 1 - F.col("plain") / log("m")).otherwise(1.0)
+    text = F.when(F.col("text_pages") > 1, 1 - F.col("scaled") / F.log(F.least(F.col("text_pages"), F.lit(REFERENCE_PAGES)).cast("double"))).otherwise(1.0)
+    leaves = sums.join(named, ["host", "path"]).select("host", "style", "m", "text_pages", importance.alias("importance"), text.alias("text"))
+    per_path = counted.where("kind = 1").groupBy("host", "path").agg(F.sum("n").alias("m"), F.count("*").alias("l"), F.sum(F.col("n") * log("n")).alias("s2"))
+    shapes = per_path.select("host", "path", "l", F.when(F.col("m") > 1, (log("m") - F.col("s2") / F.col("m")) / log("m")).otherwise(1.0).alias("variety"))
+    mean = lambda c: (F.sum(F.col("m") * F.col(c)) / F.sum("m"))
+    below = leaves.withColumn("style", _upwards("style")).groupBy("host", "style").agg(mean("importance").alias("mean"), mean("text").alias("mean_text"))
     share = F.pow(F.lit(GAMMA), F.col("l"))
-    importance = F.when(F.col("l").isNull(), F.col("mean")).otherwise((1 - share) * F.col("variety") + share * F.col("mean"))
-    return below.join(shapes, ["host", "style"], "left").select("host", "style", "pages", importance.alias("importance"), (F.col("open") == 1).alias("open"))
+    weighed = lambda c: F.when(F.col("l").isNull(), F.col(c)).otherwise((1 - share) * F.col("variety") + share * F.col(c))
+    styles = named.join(shapes, ["host", "path"], "left").join(below, ["host", "style"]).select("host", "style", "pages", weighed("mean").alias("importance"), weighed("mean_text").alias("own"))
+    judged = styles.select("host", "style", "own").unionByName(leaves.select("host", "style", F.col("text").alias("own")))
+    highest = judged.withColumn("style", _upwards("style")).groupBy("host", "style").agg(F.max("own").alias("highest"))
+    return styles.drop("own").join(highest, ["host", "style"]).join(leaves.select("host", "style", "text_pages", "text"), ["host", "style"], "left")
 
 
-def _style_hashes(styles: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_hash(s) for s in batch.column(1).to_pylist()], pa.int64())], ["host", "style", "path"])
-
-    return styles.select("host", "style").mapInArrow(run, "host long, style string, path long")
+def _upwards(style: str):
+    """A row for a style and each above it."""
+    parts = F.split(style, ">")
+    return F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ">")))
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Per page: the id, the url, text, n_chars (code points)."""
     spark = pages.sparkSession
     tree = style_tree(pages, url_column, html_column)
-    removed = written(tree.where((F.col("importance") < THRESHOLD) & (F.col("pages") >= MIN_PAGES) & F.col("open")).select("host", "style"), "removed")
+    branch, text = (F.col("highest") < THRESHOLD) & (F.col("pages") >= MIN_PAGES), (F.col("text") < THRESHOLD) & (F.col("text_pages") >= MIN_PAGES)
+    removed = written(tree.where(branch | text).select("host", F.when(branch, F.col("style")).otherwise(F.concat("style", F.lit(">"))).alias("style")), "removed")
     small_batches(spark)
     slim = pages.select(pages[id_column], pages[url_column], text_or_empty(html_column).alias("html"))
     kinds = [slim.schema[c].dataType.simpleString() for c in (id_column, url_column)]

@@ -49,3 +49,17 @@ def test_importance(spark):
     assert tree["html>body>div.top"].importance < 0.2 < 0.9 < tree["html>body>div.body>p"].importance
     assert tree["html>body>div.top>p"].importance == pytest.approx(1 - 1 * __import__("math").log(12) / __import__("math").log(24))
     assert H.extract(site(spark, 0)).count() == 0
+
+
+def texts_of(spark, pages, url="https://site.org/"):
+    rows = [(i, url and f"{url}{i}", h) for i, h in enumerate(pages)]
+    return [r.text for r in sorted(H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
+
+
+@pytest.mark.parametrize("n", [6, 300, 10_000])
+def test_a_site_is_cleaned_alike_whatever_its_page_count(spark, n):
+    menu = "".join(f"<li>Entry {k}</li>" for k in range(40))
+    links = "".join(f"<p>Link {k}</p>" for k in range(40))
+    body = lambda i: f"<html><body><nav><ul>{menu}</ul></nav><div class='links'>{links}</div><div>{''.join(f'<p>Paragraph {k} of story {i}.</p>' for k in range(3))}</div><div class='kind'>Kind {i % 25}</div><section>Always here<p>Tale {i}</p></section></body></html>"
+    texts = texts_of(spark, [body(i) for i in range(n)])
+    assert texts == ["\n\n".join([*(f"Paragraph {k} of story {i}." for k in range(3)), f"Kind {i % 25}", f"Tale {i}"]) for i in range(n)]
