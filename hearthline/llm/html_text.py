@@ -5,7 +5,8 @@ classes from the root). Some branches are boilerplate by their markup: by tag, b
 they are hidden. Where a page has article or main elements, the text is what lies in them.
 
 The style tree merges the pages of a host: per style path, how often each content (the hash of a block's text) and each
-presentation (the sequence of child styles) occurs. What markup drops is not counted. Content that recurs over m blocks has
+presentation (the sequence of child styles) occurs. What markup drops is not counted, and pages of a host with the same blocks
+(path and text) count as one page. Content that recurs over m blocks has
 entropy near 1 (log n / log m), content of one page 0; a block style's importance is 1 less the mean entropy of its contents. An
 inner style's importance is (1 - GAMMA**l) times the entropy of its l presentations plus GAMMA**l times the mean importance of
 the block styles below.
@@ -14,10 +15,10 @@ What is decided must not depend on the number of pages or blocks: there, a conte
 that have text of this style, and a host of more than REFERENCE_PAGES counts as one of so many (n in proportion), so that one of
 25 equally common contents weighs the same on every large host. An open branch (neither boilerplate by markup nor within an
 article or main) goes from every page of its host if its style and all styles below it are under THRESHOLD, over MIN_PAGES
-pages or more; so does text directly in an element that stays for what is below it.
+distinct pages or more; so does text directly in an element that stays for what is below it.
 
-The statistics are summed per (host, style, content) before they are shuffled, so a host with a third of all pages meets in no
-single task. What comes of them, the styles to remove, is sent to all tasks only if it is small (checked), else it is joined to
+Pages are made distinct by host and a hash of their blocks, and the statistics summed per (host, style, content) before they are
+shuffled, so a host with a third of all pages, or a page copied as often, meets in no single task. What comes of them, the styles to remove, is sent to all tasks only if it is small (checked), else it is joined to
 the pages by host and a salt.
 
 Null html counts as empty, null urls as one nameless host. Pages without text have an empty string. Repeated rows are extracted
@@ -29,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
+import struct
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -217,12 +218,12 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-_STATS = "host long, path long, kind int, feature long, n long, name string"
+_STATS = "host long, page long, features array<struct<path:long,kind:int,feature:long>>, path long, name string"
 
 
 def _counts(batches):
-    """Per batch, summed: contents (kind 0) and presentations (kind 1) by host and path, pages with a style (kind 2, its
-    name) and with text directly in it (kind 3)."""
+    """Per page the hash of its blocks and its features: contents (kind 0) and presentations (kind 1) by path, styles (kind 2) and
+    those with text directly in them (kind 3). Per batch and host, the names of paths."""
     known: dict[str, int] = {}
 
     def short(text: str) -> int:
@@ -232,37 +233,52 @@ def _counts(batches):
             known[text] = _hash(text)
         return known[text]
 
+    kind = pa.list_(pa.struct([("path", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64())]))
     for batch in batches:
-        found: Counter = Counter()
+        hosts, hashes, features, names = [], [], [], set()
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            host = short(host_of(url))
             blocks, elements = parse(page)
-            texts = {(b.path, b.text) for b in blocks if b.state != "out"}
-            leaves = {path for path, _ in texts}
-            for path, text in texts:
-                found[host, short(path), 0, _hash(text), None] += 1
-            for path, children in set(elements):
-                found[host, short(path), 1, short(children), None] += 1
-            for style in {style for path in leaves for style in ancestors(path)}:
-                found[host, short(style), 2, 0, style] += 1
-            for path in leaves:
-                found[host, short(path), 3, 0, None] += 1
-        keys, n = list(found), list(found.values())
-        column = lambda k, kind: pa.array([key[k] for key in keys], kind)
+            kept = [(short(b.path), _hash(b.text), b.path) for b in blocks if b.state != "out"]
+            if not kept:
+                continue
+            host = short(host_of(url))
+            leaves = {b[2] for b in kept}
+            styles = {style: short(style) for path in leaves for style in ancestors(path)}
+            names.update((host, path, style) for style, path in styles.items())
+            hosts.append(host)
+            hashes.append(int.from_bytes(hashlib.blake2b(b"".join(struct.pack("<qq", *b[:2]) for b in kept), digest_size=8).digest(), "little", signed=True))
+            features.append(
+                [
+                    *({"path": path, "kind": 0, "feature": text} for path, text in {b[:2] for b in kept}),
+                    *({"path": short(path), "kind": 1, "feature": short(children)} for path, children in set(elements)),
+                    *({"path": path, "kind": 2, "feature": 0} for path in styles.values()),
+                    *({"path": styles[path], "kind": 3, "feature": 0} for path in leaves),
+                ]
+            )
+        n, more = len(hosts), sorted(names)
         yield pa.RecordBatch.from_arrays(
-            [column(0, pa.int64()), column(1, pa.int64()), column(2, pa.int32()), column(3, pa.int64()), pa.array(n, pa.int64()), column(4, pa.string())],
-            ["host", "path", "kind", "feature", "n", "name"],
+            [
+                pa.array(hosts + [k[0] for k in more], pa.int64()),
+                pa.array(hashes + [None] * len(more), pa.int64()),
+                pa.array(features + [None] * len(more), kind),
+                pa.array([None] * n + [k[1] for k in more], pa.int64()),
+                pa.array([None] * n + [k[2] for k in more], pa.string()),
+            ],
+            ["host", "page", "features", "path", "name"],
         )
 
 
 def style_tree(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """Per style of a host: host (hash), style (path), pages, importance; and what is decided by: highest, of this style and all
+    """Per style of a host: host (hash), style (path), distinct pages, importance; and what is decided by: highest, of this style and all
     below it, and text_pages and text, of the text directly in it (null without)."""
     small_batches(pages.sparkSession)
     slim = pages.select(text_or_empty(url_column).alias("url"), text_or_empty(html_column).alias("html"))
-    counted = written(slim.mapInArrow(_counts, _STATS).groupBy("host", "path", "kind", "feature", "name").agg(F.sum("n").alias("n")), "styles")
+    found = written(slim.mapInArrow(_counts, _STATS), "features")
+    distinct = found.where("name IS NULL").groupBy("host", "page").agg(F.first("features").alias("features")).select("host", F.explode("features").alias("f"))
+    counted = written(distinct.groupBy("host", "f.path", "f.kind", "f.feature").agg(F.count("*").alias("n")), "styles")
+    names = found.where("name IS NOT NULL").groupBy("host", "path").agg(F.first("name").alias("style"))
     log = lambda c: F.log(F.col(c).cast("double"))
-    named = counted.where("kind = 2").select("host", "path", F.col("name").alias("style"), F.col("n").alias("pages"))
+    named = counted.where("kind = 2").select("host", "path", F.col("n").alias("pages")).join(names, ["host", "path"])
     with_text = counted.where("kind = 3").select("host", "path", F.col("n").alias("text_pages"))
     # contents by how often they occur: few rows per path, however many contents it has
     alike = counted.where("kind = 0").groupBy("host", "path", "n").agg(F.count("*").alias("c"))

@@ -63,3 +63,16 @@ def test_a_site_is_cleaned_alike_whatever_its_page_count(spark, n):
     body = lambda i: f"<html><body><nav><ul>{menu}</ul></nav><div class='links'>{links}</div><div>{''.join(f'<p>Paragraph {k} of story {i}.</p>' for k in range(3))}</div><div class='kind'>Kind {i % 25}</div><section>Always here<p>Tale {i}</p></section></body></html>"
     texts = texts_of(spark, [body(i) for i in range(n)])
     assert texts == ["\n\n".join([*(f"Paragraph {k} of story {i}." for k in range(3)), f"Kind {i % 25}", f"Tale {i}"]) for i in range(n)]
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    copy = "<html><body><footer>at {}</footer><h1>Head</h1>" + "".join(f"<p>Part {k}.</p>" for k in range(5)) + "</body></html>"
+    whole = "\n\n".join(["Head", *(f"Part {k}." for k in range(5))])
+    for n in (4, 10, 400):
+        assert texts_of(spark, [copy.format(i) for i in range(n)]) == [whole] * n
+        assert texts_of(spark, [copy] * n, url=None) == [whole] * n
+    # beside other pages of the host, whose common block goes
+    other = lambda i: f"<html><body><h1>Title {i}</h1><div class='top'>Welcome</div><p>Story {i}.</p></body></html>"
+    assert texts_of(spark, [copy] * 60 + [other(i) for i in range(8)]) == [whole] * 60 + [f"Title {i}\n\nStory {i}." for i in range(8)]
+    # many blocks are not many pages
+    assert texts_of(spark, ["<p>One</p><p>Two</p><div>Same</div><div>Same</div><div>Same</div>" + f"<i>{i}</i>" for i in range(3)])[2].startswith("One\n\nTwo\n\nSame")
