@@ -1,8 +1,14 @@
 """Main text of web pages, with a site style tree deciding on branches that markup alone leaves open.
 
 Pages are read by a tolerant tokeniser into blocks: runs of text between block-level tags, each with its style path (tags and
-classes from the root). Some branches are boilerplate by their markup: by tag, by a word of their class, id or role, or because
-they are hidden. Where a page has article or main elements, the text is what lies in them.
+classes from the root). Some branches are boilerplate by their markup: by tag, because they are hidden, or by a word of their
+class, id or role (no-sidebar, with-ads, category-privacy are no such words). Where a page has article or main elements, the text
+is what lies in them.
+
+A word is only a hint on an article or main that is not within an article, and on what contains one. Such an article or main is
+read if its style is important over MIN_PAGES pages or more, or if the page's other articles have headings at most; what contains
+one is read if all that leaves headings at most (those with the fewest hints around them first), with the open branches unless
+an article without such a hint was found.
 
 The style tree merges the pages of a host: per style path, how often each content (the hash of a block's text) and each
 presentation (the sequence of child styles) occurs. What markup drops is not counted, and pages of a host with the same blocks
@@ -13,12 +19,12 @@ the block styles below.
 
 What is decided must not depend on the number of pages or blocks: there, a content's entropy is log n over the log of the pages
 that have text of this style, and a host of more than REFERENCE_PAGES counts as one of so many (n in proportion), so that one of
-25 equally common contents weighs the same on every large host. An open branch (neither boilerplate by markup nor within an
-article or main) goes from every page of its host if its style and all styles below it are under THRESHOLD, over MIN_PAGES
-distinct pages or more; so does text directly in an element that stays for what is below it.
+25 equally common contents weighs the same on every large host. A branch that markup does not drop, within an article or main or not, goes from every page of its host if its
+style and all styles below it are under THRESHOLD, over MIN_PAGES distinct pages or more; so does text directly in an element
+that stays for what is below it.
 
 Pages are made distinct by host and a hash of their blocks, and the statistics summed per (host, style, content) before they are
-shuffled, so a host with a third of all pages, or a page copied as often, meets in no single task. What comes of them, the styles to remove, is sent to all tasks only if it is small (checked), else it is joined to
+shuffled, so a host with a third of all pages, or a page copied as often, meets in no single task. What comes of them, the styles to remove or to keep in spite of a word, is sent to all tasks only if it is small (checked), else it is joined to
 the pages by host and a salt.
 
 Null html counts as empty, null urls as one nameless host. Pages without text have an empty string. Repeated rows are extracted
@@ -42,7 +48,7 @@ from hearthline.llm.common import small_batches, text_or_empty, written
 GAMMA, THRESHOLD, MIN_PAGES = 0.9, 0.35, 4
 #: A larger host's counts are taken in proportion to so many pages.
 REFERENCE_PAGES = 1000
-#: Styles to remove are broadcast up to so many rows, and joined beyond.
+#: Styles that are judged are broadcast up to so many rows, and joined beyond.
 BROADCAST_ROWS, SALTS = 20_000, 32
 
 _TAG = re.compile(
@@ -53,6 +59,8 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
+#: Words behind these say what an element lacks, leaves room for or is about.
+_QUALIFIED = re.compile(r"(?<![a-z])(?:no|not|without|has|with|category|tag|topic)[-_]+[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noframes")}
@@ -84,12 +92,16 @@ BOILERPLATE_WORDS = frozenset(
 )
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Element:
     tag: str
     path: str
     state: str  # "out": boilerplate by markup, "in": within article or main, "head": a header within one, "open": neither
     children: list[str]
+    hints: tuple[Element, ...] = ()  # this and those above that a word marks
+    inside: bool = False  # within an article
+    main: bool = False  # an article or main, not within an article
+    holds: bool = False  # contains one, and is not within an article
 
 
 @dataclass(slots=True)
@@ -97,17 +109,28 @@ class Block:
     text: str
     path: str
     state: str
+    hints: tuple[Element, ...] = ()
+
+    @property
+    def level(self) -> int:
+        """0: no hint against it, 1: only on articles or mains themselves, 2 and more: on so many less 1 that contain them."""
+        return 1 + sum(not e.main for e in self.hints) if self.hints else 0
 
+    @property
+    def heading(self) -> bool:
+        return self.path.rsplit(">", 1)[-1].split(".", 1)[0] in HEADINGS
 
-def _marked(attrs: str) -> tuple[str, bool]:
-    """A style suffix of the classes, and whether attributes make the element boilerplate."""
+
+def _marked(attrs: str) -> tuple[str, bool, bool]:
+    """A style suffix of the classes, whether the element is hidden, and whether a word marks it as boilerplate."""
     if not attrs:
-        return "", False
+        return "", False, False
     found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTR.finditer(attrs)}
-    classes, words = found.get("class", ""), _WORD.findall(" ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""))).lower())
+    classes, named = found.get("class", ""), " ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""))).lower()
+    words = _WORD.findall(_QUALIFIED.sub(" ", named))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     names = sorted(set(classes.split())) or ([re.sub(r"\d+", "0", found["id"])] if found.get("id") else [])
-    return "".join("." + n.replace(">", "") for n in names), hidden or not BOILERPLATE_WORDS.isdisjoint(words)
+    return "".join("." + n.replace(">", "") for n in names), hidden, not BOILERPLATE_WORDS.isdisjoint(words)
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
@@ -119,13 +142,13 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            blocks.append(Block(text, stack[-1].path, stack[-1].state if not (stack[-1].state == "head" and stack[-1].tag not in HEADINGS) else "out"))
+            blocks.append(Block(text, stack[-1].path, stack[-1].state if not (stack[-1].state == "head" and stack[-1].tag not in HEADINGS) else "out", stack[-1].hints))
 
     def close(upto: int) -> None:
         while len(stack) > upto:
             gone = stack.pop()
             if gone.children and gone.state != "out":
-                elements.append((gone.path, " ".join(gone.children)))
+                elements.append(gone)
 
     at = 0
     while found := _TAG.search(page, at):
@@ -154,24 +177,30 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             if tag in VOID:
                 continue
             attrs = found["attrs"] or ""
-            suffix, marked = _marked(attrs)
+            suffix, hidden, hinted = _marked(attrs)
             above = stack[-1]
-            if not block and not marked and tag not in BOILERPLATE_TAGS:
+            if not block and not hidden and not hinted and tag not in BOILERPLATE_TAGS:
                 continue  # inline markup makes no branch
             if not block:
                 flush()
-            style = tag + suffix
-            if above.state == "out" or tag in BOILERPLATE_TAGS or (marked and tag not in ("html", "body")):
+            style, main = tag + suffix, False
+            if above.state == "out" or tag in BOILERPLATE_TAGS or (hidden and tag not in ("html", "body")):
                 state = "out"
             elif tag == "header":
                 state = "head" if above.state in ("in", "head") else "out"
-            elif tag in ("article", "main") or "role=\"main\"" in attrs:
+            elif main := tag in ("article", "main") or "role=\"main\"" in attrs:
                 state = "in"
+                for e in above.hints:
+                    e.holds = not e.inside
             else:
                 state = above.state
             above.children.append(style)
             if not attrs.endswith("/") or block:
-                stack.append(Element(tag, f"{above.path}>{style}" if above.path else style, state, []))
+                inside = above.inside or above.tag == "article"
+                new = Element(tag, f"{above.path}>{style}" if above.path else style, state, [], above.hints, inside, main and not inside)
+                if hinted and tag not in ("html", "body"):
+                    new.hints = (*above.hints, new)
+                stack.append(new)
         elif found["end"]:
             tag = found["close"].lower()
             if tag in BLOCK:
@@ -186,22 +215,32 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
     flush()
     close(1)
     if root.children:
-        elements.append(("", " ".join(root.children)))
-    return blocks, elements
+        elements.append(root)
+    dropped = lambda hints: any(not (e.main or e.holds) for e in hints)
+    for b in blocks:
+        if b.hints and dropped(b.hints):
+            b.state = "out"
+    return blocks, [(e.path, " ".join(e.children)) for e in elements if not dropped(e.hints)]
 
 
-def main_text(page: str, removed: frozenset[str] = frozenset()) -> str:
-    """The text of a page. removed: styles of its host that go, where markup leaves their branch open."""
-    blocks, _ = parse(page)
+def main_text(page: str, judged: frozenset[str] = frozenset()) -> str:
+    """The text of a page. judged: styles of its host that go, and with + before them those that stay in spite of a word."""
+    blocks = [b for b in parse(page)[0] if b.state != "out" and not (judged and _gone(b.path, judged))]
     inside = [b for b in blocks if b.state in ("in", "head")]
-    if not inside:
-        inside = [b for b in blocks if b.state == "open" and not (removed and _gone(b.path, removed))]
-    return "\n\n".join(b.text for b in inside)
-
-
-def _gone(path: str, removed: frozenset[str]) -> bool:
+    chosen = inside
+    for level in sorted({b.level for b in inside}):
+        chosen = [b for b in inside if b.level <= level or (b.level == 1 and all("+" + e.path in judged for e in b.hints))]
+        if not all(b.heading for b in chosen):
+            break
+    if not any(b.level < 2 for b in chosen):
+        most = max((b.level for b in chosen), default=0)
+        chosen = [b for b in blocks if (b.state in ("in", "head") and b.level <= most) or (b.state == "open" and not b.hints)]
+    return "\n\n".join(b.text for b in chosen)
+
+
+def _gone(path: str, judged: frozenset[str]) -> bool:
     """Whether a style or one above it goes, or the text directly in it (a style with > behind)."""
-    return f"{path}>" in removed or any(p in removed for p in ancestors(path))
+    return f"{path}>" in judged or any(p in judged for p in ancestors(path))
 
 
 def ancestors(path: str) -> list[str]:
@@ -218,12 +257,13 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-_STATS = "host long, page long, features array<struct<path:long,kind:int,feature:long>>, path long, name string"
+_STATS = "host long, page long, features array<struct<path:long,kind:int,feature:long>>, path long, name string, hinted boolean"
 
 
 def _counts(batches):
     """Per page the hash of its blocks and its features: contents (kind 0) and presentations (kind 1) by path, styles (kind 2) and
-    those with text directly in them (kind 3). Per batch and host, the names of paths."""
+    those with text directly in them (kind 3). Per batch and host, the names of paths and whether a word marks
+    an article or main there."""
     known: dict[str, int] = {}
 
     def short(text: str) -> int:
@@ -244,7 +284,8 @@ def _counts(batches):
             host = short(host_of(url))
             leaves = {b[2] for b in kept}
             styles = {style: short(style) for path in leaves for style in ancestors(path)}
-            names.update((host, path, style) for style, path in styles.items())
+            hinted = {e.path for b in blocks if b.state != "out" for e in b.hints if e.main}
+            names.update((host, path, style, style in hinted) for style, path in styles.items())
             hosts.append(host)
             hashes.append(int.from_bytes(hashlib.blake2b(b"".join(struct.pack("<qq", *b[:2]) for b in kept), digest_size=8).digest(), "little", signed=True))
             features.append(
@@ -263,20 +304,21 @@ def _counts(batches):
                 pa.array(features + [None] * len(more), kind),
                 pa.array([None] * n + [k[1] for k in more], pa.int64()),
                 pa.array([None] * n + [k[2] for k in more], pa.string()),
+                pa.array([None] * n + [k[3] for k in more], pa.bool_()),
             ],
-            ["host", "page", "features", "path", "name"],
+            ["host", "page", "features", "path", "name", "hinted"],
         )
 
 
 def style_tree(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """Per style of a host: host (hash), style (path), distinct pages, importance; and what is decided by: highest, of this style and all
+    """Per style of a host: host (hash), style (path), distinct pages, hinted (a word marks an article or main), importance; and what is decided by: highest, of this style and all
     below it, and text_pages and text, of the text directly in it (null without)."""
     small_batches(pages.sparkSession)
     slim = pages.select(text_or_empty(url_column).alias("url"), text_or_empty(html_column).alias("html"))
     found = written(slim.mapInArrow(_counts, _STATS), "features")
     distinct = found.where("name IS NULL").groupBy("host", "page").agg(F.first("features").alias("features")).select("host", F.explode("features").alias("f"))
     counted = written(distinct.groupBy("host", "f.path", "f.kind", "f.feature").agg(F.count("*").alias("n")), "styles")
-    names = found.where("name IS NOT NULL").groupBy("host", "path").agg(F.first("name").alias("style"))
+    names = found.where("name IS NOT NULL").groupBy("host", "path").agg(F.first("name").alias("style"), F.max("hinted").alias("hinted"))
     log = lambda c: F.log(F.col(c).cast("double"))
     named = counted.where("kind = 2").select("host", "path", F.col("n").alias("pages")).join(names, ["host", "path"])
     with_text = counted.where("kind = 3").select("host", "path", F.col("n").alias("text_pages"))
@@ -295,7 +337,7 @@ def style_tree(pages: DataFrame, url_column: str = "url", html_column: str = "ht
     below = leaves.withColumn("style", _upwards("style")).groupBy("host", "style").agg(mean("importance").alias("mean"), mean("text").alias("mean_text"))
     share = F.pow(F.lit(GAMMA), F.col("l"))
     weighed = lambda c: F.when(F.col("l").isNull(), F.col(c)).otherwise((1 - share) * F.col("variety") + share * F.col(c))
-    styles = named.join(shapes, ["host", "path"], "left").join(below, ["host", "style"]).select("host", "style", "pages", weighed("mean").alias("importance"), weighed("mean_text").alias("own"))
+    styles = named.join(shapes, ["host", "path"], "left").join(below, ["host", "style"]).select("host", "style", "pages", "hinted", weighed("mean").alias("importance"), weighed("mean_text").alias("own"))
     judged = styles.select("host", "style", "own").unionByName(leaves.select("host", "style", F.col("text").alias("own")))
     highest = judged.withColumn("style", _upwards("style")).groupBy("host", "style").agg(F.max("own").alias("highest"))
     return styles.drop("own").join(highest, ["host", "style"]).join(leaves.select("host", "style", "text_pages", "text"), ["host", "style"], "left")
@@ -312,7 +354,9 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     spark = pages.sparkSession
     tree = style_tree(pages, url_column, html_column)
     branch, text = (F.col("highest") < THRESHOLD) & (F.col("pages") >= MIN_PAGES), (F.col("text") < THRESHOLD) & (F.col("text_pages") >= MIN_PAGES)
-    removed = written(tree.where(branch | text).select("host", F.when(branch, F.col("style")).otherwise(F.concat("style", F.lit(">"))).alias("style")), "removed")
+    stays = F.col("hinted") & (F.col("highest") >= THRESHOLD) & (F.col("pages") >= MIN_PAGES)
+    verdicts = F.array_compact(F.array(F.when(branch, F.col("style")).when(text, F.concat("style", F.lit(">"))), F.when(stays, F.concat(F.lit("+"), "style"))))
+    judged = written(tree.select("host", F.explode(verdicts).alias("style")), "judged")
     small_batches(spark)
     slim = pages.select(pages[id_column], pages[url_column], text_or_empty(html_column).alias("html"))
     kinds = [slim.schema[c].dataType.simpleString() for c in (id_column, url_column)]
@@ -323,7 +367,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
             texts = [main_text(page, styles) for page, styles in zip(batch.column(2).to_pylist(), styles_of(batch), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_column, url_column, "text", "n_chars"])
 
-    if len(rows := removed.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
+    if len(rows := judged.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
         by_host: dict[int, set[str]] = {}
         for host, style in rows:
             by_host.setdefault(host, set()).add(style)
@@ -340,6 +384,6 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_hash(host_of(u)) for u in batch.column(1).to_pylist()], pa.int64())], [id_column, url_column, "html", "host"])
 
     salted = slim.mapInArrow(hosts, f"`{id_column}` {kinds[0]}, `{url_column}` {kinds[1]}, html string, host long").withColumn("salt", F.pmod(F.xxhash64(id_column, "html"), F.lit(SALTS)).cast("int"))
-    styles = removed.groupBy("host").agg(F.collect_set("style").alias("styles")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    styles = judged.groupBy("host").agg(F.collect_set("style").alias("styles")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = salted.join(styles, ["host", "salt"], "left").select(id_column, url_column, "html", "styles")
     return joined.mapInArrow(lambda batches: run(batches, lambda batch: [frozenset(s or ()) for s in batch.column(3).to_pylist()]), schema)

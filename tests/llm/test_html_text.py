@@ -76,3 +76,33 @@ def test_copies_of_a_page_are_one_page(spark):
     assert texts_of(spark, [copy] * 60 + [other(i) for i in range(8)]) == [whole] * 60 + [f"Title {i}\n\nStory {i}." for i in range(8)]
     # many blocks are not many pages
     assert texts_of(spark, ["<p>One</p><p>Two</p><div>Same</div><div>Same</div><div>Same</div>" + f"<i>{i}</i>" for i in range(3)])[2].startswith("One\n\nTwo\n\nSame")
+
+
+def test_tree_decides_within_articles(spark):
+    page = lambda i: f"<nav>menu</nav><article><h1>Title {i}</h1><p>Story {i}.</p><div class='box'><p>Join our club</p></div><p>End of {i}.</p></article>"
+    assert texts_of(spark, [page(i) for i in range(9)]) == [f"Title {i}\n\nStory {i}.\n\nEnd of {i}." for i in range(9)]
+    # an article that recurs does not hide the text beside it
+    page = lambda i: f"<article class='box'>Join our club</article><div><p>Story {i}.</p></div>"
+    assert texts_of(spark, [page(i) for i in range(9)]) == [f"Story {i}." for i in range(9)]
+
+
+WORDED = [
+    "<article class='post category-privacy'><p>Story {}.</p></article>",
+    "<article class='privacy'><p>Story {}.</p></article>",
+    "<div class='content no-sidebar'><p>Story {}.</p></div>",
+    "<div class='content no-sidebar'><article><p>Story {}.</p><div class='related'>r</div></article></div>",
+    "<div class='widget'><main><p>Story {}.</p><section class='comments'><article class='comment'>troll {}</article></section></main></div>",
+    "<main><article class='privacy'><p>Story {}.</p><article class='comment'>troll {}</article></article></main>",
+]
+
+
+@pytest.mark.parametrize("page", WORDED)
+def test_words_are_hints_on_what_holds_the_article(spark, page):
+    assert H.main_text(page.replace("{}", "1")) == "Story 1."
+    assert texts_of(spark, [page.replace("{}", str(i)) for i in range(9)]) == [f"Story {i}." for i in range(9)]
+
+
+def test_importance_overrules_words(spark):
+    page = "<main><p>News of day {0}.</p><article class='privacy'><p>Story {0}.</p></article><article class='cookie'><p>We bake.</p></article></main><div class='related'><article>Teaser {0}</article></div>"
+    assert H.main_text(page.format(1)) == "News of day 1."
+    assert texts_of(spark, [page.format(i) for i in range(9)]) == [f"News of day {i}.\n\nStory {i}." for i in range(9)]
