@@ -99,7 +99,7 @@ FAMILIES = (
     ("osl-3.0", "open software", r"open software licen[sc]e(?: version| v)?(?: ?3(?: 0)?)?"),
     ("qpl-1.0", "q public", r"q public licen[sc]e"),
     ("elastic-2.0", "elastic", r"elastic licen[sc]e(?: version| v)?(?: ?2(?: 0)?)?"),
-    ("openrail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)?"),
+    ("openrail", "rail", r"(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)?"),
     ("llama", "llama", r"llama (?:2 |3 )?community licen[sc]e"),
     ("json", "json", r"json licen[sc]e"),
 )
@@ -117,7 +117,7 @@ SINGLE = (
     ("copyright-notice", "copyright", r"copyright (?:c |© )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", 5, 0.4),
     ("copyright-notice", "copyright", r"(?:c|©) copyright", 5, 0.4),
     ("proprietary", "proprietary", r"proprietary and confidential", 4, 0.7),
-    ("proprietary", "reproduction", r"(?:unauthorized|unauthorised) (?:copying|reproduction|use|distribution)(?: [a-z]+){0,6} (?:is )?(?:strictly )?prohibited", 4, 0.7),
+    ("proprietary", "prohibited", r"(?:unauthorized|unauthorised) (?:copying|reproduction|use|distribution)(?: [a-z]+){0,6} (?:is )?(?:strictly )?prohibited", 4, 0.7),
     ("proprietary", "may not be", r"may not be (?:reproduced|copied|distributed)(?: [a-z]+){0,8} without (?:the )?(?:prior )?(?:express )?written", 4, 0.7),
     ("public-domain", "public domain", r"(?:released|placed|dedicated|is|are) (?:in|into|to) the public domain", 3, 0.8),
     ("public-domain", "public domain", r"public domain dedication", 3, 0.8),

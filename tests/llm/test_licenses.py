@@ -1,5 +1,6 @@
 import random
 import re
+from re import _parser
 
 from hearthline.llm import licenses as L
 
@@ -48,3 +49,36 @@ def test_priority_and_containment(docs_of):
     assert row.labels == "apache,apache-2.0" and row.score == 0.95
     row = L.digest(docs_of(["Licensed under CC BY-NC 4.0."])).collect()[0]
     assert row.labels == "cc-by,cc-by-nc-4.0"
+
+
+def examples(parsed):
+    """Texts that match, with each alternative, option and member of a set of the regex in one of them at least."""
+    options = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            options.append([chr(arg)])
+        elif name == "IN":
+            options.append([chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg])
+        elif name == "BRANCH":
+            options.append([e for branch in arg[1] for e in examples(branch)])
+        elif name == "SUBPATTERN":
+            options.append(examples(arg[-1]))
+        else:
+            assert name == "MAX_REPEAT", name
+            options.append([e * max(1, arg[0]) for e in examples(arg[2])] + [""] * (arg[0] == 0))
+    first = [o[0] for o in options]
+    return ["".join(first), *("".join([*first[:i], o, *first[i + 1 :]]) for i, each in enumerate(options) for o in each[1:])]
+
+
+def test_every_match_passes_keyword_and_gate():
+    for label, keyword, regex, _, _ in L.RULES:
+        for text in examples(_parser.parse(regex)):
+            assert re.fullmatch(regex, text)
+            assert keyword in f" {text} ", (label, keyword, text)
+            assert any(word in f" {text} " for word in L.GATE), (label, text)
+
+
+def test_notices_behind_a_keyword(docs_of):
+    texts = ["Unauthorized copying of this file, via any medium is strictly prohibited", "CreativeML Open RAIL-M", "BigScience OpenRAIL-M license"]
+    assert [r.labels for r in sorted(L.digest(docs_of(texts)).collect())] == ["proprietary", "openrail", "openrail"]
