@@ -104,10 +104,52 @@ FAMILIES = (
     ("json", "json", r"json licen[sc]e"),
 )
 
+_GNU, _V = r"(?: only| or later| plus)?", r" ?(?:v ?|version )?"
+
+#: SPDX identifiers of the families as regexes over words.
+SPDX = {
+    **{f"gpl-{v}.0": rf"gpl {v} 0{_GNU}" for v in (1, 2, 3)},
+    **{f"lgpl-{v}": rf"lgpl {v.replace('.', ' ')}{_GNU}" for v in ("2.0", "2.1", "3.0")},
+    "agpl-3.0": rf"agpl 3 0{_GNU}",
+    "gfdl-1.3": rf"gfdl 1 [123](?: no invariants| invariants)?{_GNU}",
+    **{name: name.replace("-", " ").replace(".", " ") for name in ("apache-1.1", "apache-2.0", "mit", "mit-0", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "isc", "mpl-1.1", "mpl-2.0", "epl-1.0", "epl-2.0")},
+    **{name: name.replace("-", " ").replace(".", " ") for name in ("cddl-1.0", "cpl-1.0", "eupl-1.2", "artistic-2.0", "bsl-1.0", "busl-1.1", "sspl-1.0", "zlib", "unlicense", "wtfpl", "cc0-1.0", "pddl-1.0")},
+    **{name: name.replace("-", " ").replace(".", " ") for name in ("odbl-1.0", "odc-by-1.0", "php-3.01", "ms-pl", "ms-rl", "ncsa", "postgresql", "openssl", "upl-1.0", "vim", "x11", "afl-3.0", "osl-3.0", "qpl-1.0", "elastic-2.0", "json")},
+    **{name: name.replace("-", " ").replace(".", " ") for name in ("cc-by-4.0", "cc-by-3.0", "cc-by-sa-4.0", "cc-by-sa-3.0", "cc-by-nc-4.0", "cc-by-nc-3.0", "cc-by-nd-4.0", "cc-by-nd-3.0", "cc-by-nc-sa-4.0", "cc-by-nc-nd-4.0")},
+    "cc-by-2.0": "cc by 2 [05]",
+    "artistic-1.0": "artistic 1 0(?: perl| cl8)?",
+    "libpng": "libpng(?: 2 0)?",
+    "ofl-1.1": "ofl 1 1(?: no rfn| rfn)?",
+    "psf-2.0": "(?:psf 2 0|python 2 0(?: 1)?)",
+    "w3c": "w3c(?: 19980720| 20150513)?",
+}
+_ANY_SPDX = "(?:" + "|".join(sorted(set(SPDX.values()), key=lambda r: (-len(r), r))) + ")(?: with(?: [a-z0-9]+){1,4} exception(?: [0-9]+){0,2})?"
+
+#: Short forms of the names: label, keyword, regex.
+SHORT = (
+    *((f"gpl-{v}.0", "gpl", rf"(?:gnu )?gpl{_V}{v}(?: 0)?{_GNU}") for v in (1, 2, 3)),
+    *((f"lgpl-{v}.0", "lgpl", rf"(?:gnu )?lgpl{_V}{v}(?: 0)?{_GNU}") for v in (2, 3)),
+    ("lgpl-2.1", "lgpl", rf"(?:gnu )?lgpl{_V}2 1{_GNU}"),
+    ("agpl-3.0", "agpl", rf"(?:gnu )?agpl{_V}3(?: 0)?{_GNU}"),
+    ("apache-1.1", "apache", rf"apache{_V}1 1"),
+    ("apache-2.0", "apache", rf"(?:apache{_V}2 0|apache ?v ?2|apache 2 licen[sc]ed?)"),
+    ("mpl-1.1", " mpl", rf"mpl{_V}1 1"),
+    ("mpl-2.0", " mpl", rf"mpl{_V}2(?: 0)?"),
+    ("epl-1.0", " epl", rf"epl{_V}1(?: 0)?"),
+    ("epl-2.0", " epl", rf"epl{_V}2(?: 0)?"),
+    ("cddl-1.0", "cddl", rf"cddl{_V}1(?: 0)?"),
+    ("eupl-1.2", "eupl", rf"eupl{_V}1 2"),
+    ("bsl-1.0", " bsl", rf"bsl{_V}1 0"),
+    ("busl-1.1", "busl", rf"busl{_V}1 1"),
+    ("sspl-1.0", "sspl", rf"sspl{_V}1(?: 0)?"),
+    ("ofl-1.1", " ofl", rf"(?:sil )?ofl{_V}1 1"),
+    ("odbl-1.0", "odbl", rf"odbl{_V}1(?: 0)?"),
+)
+
 #: How a license is given: form, regex around the name (%s), priority (lower is better), confidence.
 FORMS = (
     ("grant", r"(?:licensed|released|distributed|available|published|provided|made available|redistribute it|modify it) (?:to you )?under (?:the )?(?:terms of )?(?:the )?(?:an? )?%s", 1, 0.95),
-    ("spdx", r"spdx license identifier %s", 0, 1.0),
+    ("spdx", r"spdx license identifier %s", 0, 1.0),  # of the identifier too, and behind another one in an expression
     ("name", r"%s", 3, 0.7),
 )
 
@@ -152,6 +194,10 @@ RULES = tuple(
     for label, keyword, regex, priority, confidence in [
         *((label, keyword, form % f"(?:{name})", priority, confidence) for label, keyword, name in FAMILIES for _, form, priority, confidence in FORMS),
         *SINGLE,
+        *((label, keyword, form % f"(?:{name})", priority, confidence) for label, keyword, name in SHORT for kind, form, priority, confidence in FORMS if kind != "spdx"),
+        *((label, "licen", form % name, priority, confidence) for label, name in (("mit", "mit"), ("isc", "isc")) for form, priority, confidence in ((r"licen[sc]ed under (?:the )?(?:terms of )?(?:the )?%s", 1, 0.95), (r"%s licen[sc]ed", 3, 0.7))),
+        *((label, "spdx license identifier", rf"spdx license identifier (?:{name})", 0, 1.0) for label, name in SPDX.items()),
+        *((label, "spdx license identifier", rf"{_ANY_SPDX} (?:or|and) (?:{name})", 0, 1.0) for label, name in SPDX.items()),
     ]
 )
 
@@ -160,6 +206,7 @@ GATE = (
     "licen", "copyright", "reserved", "creative commons", "creativecommons", "public domain", "cc by", "cc0", "prohibited", "redistribut",
     "permission", "proprietary", "gnu", "openrail", "open rail", "bsd", "wtfpl", "spdx", "provided as is", "may not be", "warranty",
     "mit no attribution", "\u00a9 ", "opensource", "obtain a copy", "use this file", "source code form",
+    "gpl", "apache", " mpl", " epl", "cddl", "eupl", " bsl", "busl", "sspl", " ofl", "odbl",
 )
 
 _DETECTION = "struct<rule:int,label:string,start:int,end:int,priority:int,confidence:double>"

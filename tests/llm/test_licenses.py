@@ -75,6 +75,8 @@ def test_every_match_passes_keyword_and_gate():
     for label, keyword, regex, _, _ in L.RULES:
         for text in examples(_parser.parse(regex)):
             assert re.fullmatch(regex, text)
+            if keyword == "spdx license identifier" and "identifier" not in regex:
+                text = f"{keyword} {text}"  # an expression's further identifiers count behind a statement only
             assert keyword in f" {text} ", (label, keyword, text)
             assert any(word in f" {text} " for word in L.GATE), (label, text)
 
@@ -82,3 +84,16 @@ def test_every_match_passes_keyword_and_gate():
 def test_notices_behind_a_keyword(docs_of):
     texts = ["Unauthorized copying of this file, via any medium is strictly prohibited", "CreativeML Open RAIL-M", "BigScience OpenRAIL-M license"]
     assert [r.labels for r in sorted(L.digest(docs_of(texts)).collect())] == ["proprietary", "openrail", "openrail"]
+
+
+def test_spdx_identifiers_and_short_forms(docs_of):
+    spdx = {
+        "MIT": "mit", "Apache-2.0": "apache-2.0", "GPL-2.0-only": "gpl-2.0", "GPL-2.0+": "gpl-2.0", "GPL-3.0-or-later": "gpl-3.0", "LGPL-2.1-or-later": "lgpl-2.1", "MPL-2.0": "mpl-2.0", "ISC": "isc", "MIT-0": "mit-0",
+        "AGPL-3.0-only": "agpl-3.0", "EPL-2.0": "epl-2.0", "Zlib": "zlib", "BSD-3-Clause": "bsd-3-clause", "(MIT OR Apache-2.0)": "apache-2.0,mit", "GPL-2.0-only WITH Linux-syscall-note": "gpl-2.0",
+        "GPL-2.0-or-later WITH Classpath-exception-2.0 OR MIT OR ISC": "gpl-2.0,isc,mit",
+    }
+    short = {"GPLv3": "gpl-3.0", "under GPL v2 or later": "gpl-2.0", "LGPLv2.1": "lgpl-2.1", "Apache 2.0": "apache-2.0", "AGPL-3.0": "agpl-3.0", "MPL 2.0": "mpl-2.0", "MIT licensed": "mit", "simple example of apaches": "", "MIT": ""}
+    texts = [f"// SPDX-License-Identifier: {name}" for name in spdx] + [*short, "Licensed under MIT."]
+    rows = sorted(L.digest(docs_of(texts)).collect())
+    assert [r.labels for r in rows] == [*spdx.values(), *short.values(), "mit"]
+    assert {r.score for r in rows[: len(spdx)]} == {1.0} and rows[-1].score == 0.95
