@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import written
+from hearthline.llm.common import forget, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,9 +24,11 @@ def components(links: DataFrame) -> DataFrame:
         # large star: the larger neighbours of a node go to its least neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        edges = written(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        large = written(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        forget(edges, least)
         # small star: a node and its smaller neighbours go to the least of them
-        least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
-        moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        forget(large, least)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -6,13 +6,15 @@ large sets go into inverted lists, each by the first of its shingles in a global
 one of those). The boundary is the largest size at which the subsets cost no more than the inverted lists, at the mean length
 of a list. Small sets near it also go into the lists, to meet large ones.
 
-The global order puts frequent shingles last. Frequencies come from counts of all shingles of all documents in WIDTH counters:
-an upper bound for each shingle, and as long as lists differ, enough to tell the long ones. The bound also says into how many
-parts a list may have to be dealt, so that no task gets an unbounded list.
+The global order puts rare shingles first. Frequencies come from counts of all shingles of all documents in WIDTH counters: an
+upper bound for each shingle. What a document has of its own comes first, so documents that only have a passage in common, or
+copies that each changed much of one text, share no list at places at which a linked pair must (any order is right; this one
+makes lists short). The bound also says into how many parts a list may have to be dealt, so that no task gets an unbounded list.
 
-Members of a list are first compared with its least member only, each with the one that it meets in most lists before others.
-Then, in lists whose members are still in several components, all pairs from different components are looked at, and those that meet in as many lists as a linked pair must are compared, so no link that could join two components is missed. Comparisons are exact
-on the sets, which are rebuilt from the whole texts.
+Members of a list are first compared with its head only, the member with the fewest rarer shingles, each with the one that it meets in most lists before others.
+Then, in lists whose members are still in several components, pairs from different components are looked at that meet at places
+that leave enough shingles to both, and all of them are compared, so no link that could join two components is missed. Links
+within a component are not all listed. Comparisons are exact on the sets, which are rebuilt from the whole texts.
 
 Null and empty texts have empty sets, which link with nothing; a text of fewer than SHINGLE words has one shingle. Null ids
 link with nothing and have a null component. Rows that share an id are one node. Other columns are ignored.
@@ -30,14 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hearthline.llm.common import mixed, small_batches, text_or_empty, word_hashes, written
+from hearthline.llm.common import forget, mixed, small_batches, text_or_empty, word_hashes, written
 from hearthline.llm.components import components
 
 SHINGLE = 5
-#: Counters of the frequency bounds, and how far above the mean a counter must be for its shingles to count as frequent.
-WIDTH, FREQUENT = 1 << 17, 2000
-#: Small sets are no larger than this, whatever the costs: subsets grow fast.
-MOST_SMALL = 12
+#: Counters of the frequency bounds, and how far above the mean a counter must be for the lists of its shingles to be dealt in parts.
+WIDTH, FREQUENT = 1 << 20, 2000
+_SHIFT = np.uint64(64 - 20)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -77,12 +78,14 @@ def subset_sizes(n: int, boundary: int) -> list[int]:
 
 
 def boundary_by_cost(mean_list: float) -> int:
-    """The largest size at which enumerating subsets costs no more than scanning the inverted lists of the prefix."""
-    best = 0
-    for n in range(1, MOST_SMALL + 1):
+    """The largest size up to which enumerating subsets costs no more than scanning the inverted lists of the prefix. Subsets
+    grow faster than prefixes, so the search ends after a few sizes in a row that cost more."""
+    best, n = 0, 1
+    while n <= best + 4:
         subsets = sum(comb(n, c) for c in subset_sizes(n, n + 1) if c <= n)
         if subsets <= (n - -(-3 * n // 4) + 1) * (1 + mean_list):
             best = n
+        n += 1
     return best
 
 
@@ -93,14 +96,16 @@ class Frequencies:
         total = int(counts.sum())
         self.mean = total / WIDTH
         self.frequent = int(2 * self.mean) + FREQUENT
-        self.counts = counts
-        # what a random entry's list holds beyond what evenly spread entries would
-        squares = float((counts.astype(np.float64) ** 2).sum())
-        self.mean_list = max(1.0, squares / total - self.mean) if total else 1.0
-        self.boundary = boundary_by_cost(min(self.mean_list, 64.0))
+        self.counts = np.minimum(counts, 2**31 - 1).astype(np.int32)
+        # prefixes hold the rarest quarter of all entries; what their lists hold beyond what evenly spread entries would
+        ascending = np.sort(counts).astype(np.float64)
+        held = np.cumsum(ascending)
+        rarest = ascending[: int(np.searchsorted(held, held[-1] / 4)) + 1]
+        self.mean_list = max(1.0, float((rarest**2).sum() / max(1.0, rarest.sum())) - self.mean)
+        self.boundary = boundary_by_cost(self.mean_list)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        return self.counts[(hashes >> np.uint64(47)).astype(np.int64)]
+        return self.counts[(hashes >> _SHIFT).astype(np.int64)]
 
     def parts(self, bounds: np.ndarray) -> np.ndarray:
         """Into how many parts a list of such a bound is dealt."""
@@ -115,19 +120,15 @@ def postings(found: np.ndarray, use: Frequencies) -> tuple[np.ndarray, np.ndarra
     lists, subsets = none, none
     if n and 3 * (use.boundary + 1) <= 4 * n:
         bounds = use.of(found)
-        rare = bounds <= use.frequent
-        if not rare.all():
-            order = np.lexsort((found, np.where(rare, 0, bounds)))
-            found, bounds = found[order], bounds[order]
         first = n - -(-3 * n // 4) + 1
-        lists = found[:first], use.parts(bounds[:first])
+        order = np.argsort(bounds, kind="stable")[:first]  # ties by hash, as the set is sorted
+        lists = found[order], use.parts(bounds[order])
     if 0 < n <= use.boundary:
-        own = np.sort(found)
-        bounds, keys, parts = use.of(own), [], []
+        bounds, keys, parts = use.of(found), [], []
         for size in subset_sizes(n, use.boundary):
             if size <= n:
                 rows = np.array(list(combinations(range(n), size)))
-                keys.append(mixed(mixed(own[rows] ^ _FACTORS[1]).sum(axis=1, dtype=np.uint64) + np.uint64(size)))
+                keys.append(mixed(mixed(found[rows] ^ _FACTORS[1]).sum(axis=1, dtype=np.uint64) + np.uint64(size)))
                 parts.append(use.parts(bounds[rows].min(axis=1)))
         subsets = np.concatenate(keys), np.concatenate(parts)
     return *lists, *subsets
@@ -137,7 +138,7 @@ def _sized(slim: DataFrame) -> DataFrame:
     """Per document: id, n, two hashes of its set; per task a row of its counters, with a null id."""
 
     def run(batches):
-        counts, any_row = np.zeros(WIDTH, np.int64), False
+        counts, any_row = np.zeros(WIDTH, np.int32), False
         for batch in batches:
             n, first, second = [], [], []
             for text in batch.column(1).to_pylist():
@@ -145,7 +146,7 @@ def _sized(slim: DataFrame) -> DataFrame:
                 n.append(len(found))
                 first.append(found.sum(dtype=np.uint64))
                 second.append(np.bitwise_xor.reduce(mixed(found * _FACTORS[2])) if len(found) else np.uint64(0))
-                np.add.at(counts, (found >> np.uint64(47)).astype(np.int64), 1)
+                np.add.at(counts, (found >> _SHIFT).astype(np.int64), 1)
                 any_row = True
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
@@ -153,29 +154,31 @@ def _sized(slim: DataFrame) -> DataFrame:
             )
         if any_row:
             nothing = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([counts.astype("<i8").tobytes()])], ["doc_id", "n", "k1", "k2", "task", "counts"])
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([counts.astype("<i4").tobytes()])], ["doc_id", "n", "k1", "k2", "task", "counts"])
 
     return slim.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, task int, counts binary")
 
 
 def _frequencies(sized: DataFrame) -> Frequencies:
-    """The counters of all tasks, added up in levels of sixteen; at most 32 rows reach the driver."""
+    """The counters of all tasks, added up in levels of sixteen; one row of WIDTH counters reaches the driver."""
     parts = sized.where("counts is not null").select("task", "counts")
-    total = lambda rows: np.sum([np.frombuffer(r, "<i8") for r in rows], axis=0, dtype=np.int64)
 
     def added(frame):
-        return frame.iloc[:1].assign(task=frame["group"].iloc[0], counts=[total(frame["counts"]).tobytes()])[["task", "counts"]]
+        total = np.zeros(WIDTH, np.int64)
+        for row in frame["counts"]:
+            total += np.frombuffer(row, "<i4")
+        return frame.iloc[:1].assign(task=frame["group"].iloc[0], counts=[np.minimum(total, 2**31 - 1).astype("<i4").tobytes()])[["task", "counts"]]
 
     n = parts.count()
-    while n > 32:
+    while n > 1:
         n = -(-n // 16)
         parts = written(parts.withColumn("group", F.pmod("task", F.lit(n)).cast("int")).groupBy("group").applyInPandas(added, "task int, counts binary"), "counts")
-    rows = [r.counts for r in parts.select("counts").collect()]
-    return Frequencies(total(rows) if rows else np.zeros(WIDTH, np.int64))
+    row = parts.select("counts").first()
+    return Frequencies(np.frombuffer(row.counts, "<i4").astype(np.int64) if row else np.zeros(WIDTH, np.int64))
 
 
 def _lists(slim: DataFrame, nodes: DataFrame, use: Frequencies) -> DataFrame:
-    """List entries of the nodes, of lists that have several: key, part, node, n, rest, and the least entry of the part."""
+    """List entries of the nodes, of lists that have several: key, part, node, n, rest, and the part's head."""
     shared = slim.sparkSession.sparkContext.broadcast(use)  # WIDTH counters, whatever the corpus
 
     def run(batches):
@@ -197,14 +200,10 @@ def _lists(slim: DataFrame, nodes: DataFrame, use: Frequencies) -> DataFrame:
     rest = F.when(F.col("i") < F.col("first"), F.col("n") - F.col("i")).otherwise(F.col("n"))
     part = F.when(parts > 1, 1 + F.pmod(F.xxhash64("node"), parts.cast("long"))).otherwise(F.lit(0)).cast("int")
     dealt = flat.select("key", part.alias("part"), "node", "n", rest.alias("rest"))
+    # the head of a list is the entry with the fewest rarer shingles before it: of copies, one that changed least
     one = Window.partitionBy("key", "part")
-    firsts = dealt.select("*", F.min(F.struct("node", "n", "rest")).over(one).alias("least"), F.max("node").over(one).alias("most"))
-    return firsts.where((F.col("least.node") < F.col("most")) | (F.col("part") > 0)).drop("most")
-
-
-# How many lists a linked pair must share: let the inverted lists of a end first in the global order. Of its n - ceil(3n/4) + 1
-# lists, all that are of common shingles are among those of b too, and at most n - c are not of common shingles, where
-# c = ceil(3 (n + m) / 7) is the least intersection. That leaves c - ceil(3n/4) + 1, or less if n is the larger size.
+    headed = dealt.select("*", F.min(F.struct((F.col("n") - F.col("rest")).alias("place"), "node", "n", "rest")).over(one).alias("head"), F.min("node").over(one).alias("low"), F.max("node").over(one).alias("high"))
+    return headed.where((F.col("low") < F.col("high")) | (F.col("part") > 0)).drop("low", "high")
 
 
 def _close(a, b):
@@ -212,6 +211,10 @@ def _close(a, b):
     return 7 * F.least(a["rest"], b["rest"]) >= 3 * (a["n"] + b["n"])
 
 
+#: So many likely partners of a node are compared before all that remain.
+FEW = 8
+#: So many shingles of compared documents are kept by a task.
+KNOWN = 1_000_000
 #: The ids of documents whose texts are compared are broadcast up to so many, and joined beyond.
 BROADCAST_ROWS = 500_000
 
@@ -225,11 +228,26 @@ def _verified(pairs: DataFrame, slim: DataFrame) -> DataFrame:
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
+        known: dict[int, np.ndarray] = {}  # sets of the last ids; rows come sorted by one of both
+        room = KNOWN
+
+        def of(node, text):
+            nonlocal room
+            if node not in known:
+                if room < 0:
+                    known.clear()
+                    room = KNOWN
+                known[node] = shingles(text)
+                room -= len(known[node])
+            return known[node]
+
         for batch in batches:
-            keep = [linked(shingles(x), shingles(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
+            yield batch.select([0, 1]).filter(pa.array([linked(of(i, s), of(j, t)) for i, j, s, t in zip(a, b, x, y, strict=True)], pa.bool_()))
 
-    return written(both.mapInArrow(run, "a long, b long"), "links")
+    out = written(both.mapInArrow(run, "a long, b long"), "links")
+    forget(pairs, wanted)
+    return out
 
 
 def links_and_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -243,53 +261,62 @@ def links_and_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     lists = written(_lists(slim.where("doc_id is not null"), sets, use), "lists")
 
     entry = F.struct("node", "n", "rest")
-    near = lists.where("least.node < node").where(_close(F.col("least"), entry)).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
-    # the least entries of the parts of a list that was dealt
-    heads = lists.where("part > 0 and node = least.node").select("key", "node", "n", "rest").distinct()
-    head = heads.groupBy("key").agg(F.min(F.struct("node", "n", "rest")).alias("least"))
-    across = heads.join(head, "key").where("least.node < node").where(_close(F.col("least"), entry)).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
-    first = written(near.unionByName(across).groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
+    to_head = lambda rows: rows.where("head.node <> node").where(_close(F.col("head"), entry)).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+    # the heads of the parts of a list that was dealt
+    heads = lists.where("part > 0 and node = head.node").select("key", "node", "n", "rest").distinct()
+    main = heads.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("rest")).alias("place"), "node", "n", "rest")).alias("head"))
+    first = written(to_head(lists).unionByName(to_head(heads.join(main, "key"))).groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
     same = real.where("n > 0 and doc_id is not null").join(sets.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     shared_ids = same.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b <> c").select(F.col("b").alias("a"), F.col("c").alias("b"))
-    # each node with the one that it meets as the least of most lists
+    # each node with the one that it meets as the head of most lists
     best = written(first.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select("top.a", "b"), "best")
     links = written(_verified(best, slim).unionByName(shared_ids), "links")
     found = written(components(links), "components")
 
     open_lists = lists.join(found, "node", "left").select("key", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
-    mixed_lists = open_lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    members = open_lists.join(mixed_lists, "key")
-    members = written(members, "members")
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top")).select("key", F.col("top.component").alias("main"))
-    members = written(members.join(main, "key").withColumn("in_main", F.col("component") == F.col("main")).drop("main"), "members")
+    sizes = open_lists.groupBy("key", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("several")).where("several > 1").select("key", F.col("top.component").alias("main"))
+    members = written(open_lists.join(main, "key").withColumn("in_main", F.col("component") == F.col("main")).drop("main"), "members")
+    forget(lists)
     x, y = members.where("not in_main").alias("x"), members.alias("y")
     once = F.col("y.in_main") | (F.col("x.node") < F.col("y.node"))
-    crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n")))
-    counted = crossed.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(
-        F.count("*").alias("shared"), F.max(F.least("x.rest", "y.rest")).alias("rest"), F.max(F.col("x.n") + F.col("y.n")).alias("both"), F.max(F.greatest("x.n", "y.n")).alias("larger")
-    )
-    enough = F.when(F.col("larger") <= use.boundary, F.lit(1)).otherwise(F.ceil(3 * F.col("both") / 7) - F.ceil(3 * F.col("larger") / 4) + 1)
-    second = counted.where((F.col("shared") >= enough) & (7 * F.col("rest") >= 3 * F.col("both"))).select("a", "b", "shared").join(best, ["a", "b"], "left_anti")
-    links, found = _settled(written(second, "pairs"), links, found, slim)
+    x_y = lambda kind, column: kind(f"x.{column}", f"y.{column}")
+    near_places = 7 * x_y(F.least, "rest") >= 3 * (F.col("x.n") + F.col("y.n"))
+    crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & near_places)
+    counted = crossed.groupBy(x_y(F.least, "node").alias("a"), x_y(F.greatest, "node").alias("b")).agg(F.count("*").alias("shared"), F.min("x.node").alias("of"))
+    second = written(counted.join(best, ["a", "b"], "left_anti"), "pairs")
+    forget(members, first, best)
+    links, found = _settled(second, links, found, slim)
     return real, sets, links, found
 
 
 def _settled(pairs: DataFrame, links: DataFrame, found: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and components after the pairs (a, b, shared): first each node with the one it shares most lists with, then all
-    pairs that are still apart."""
-    best = written(pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select("top.a", "b"), "best")
-    links, found = _joined(links, found, _verified(best, slim))
-    side = lambda column: found.select(F.col("node").alias(column), F.col("component").alias(f"of_{column}"))
-    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    return _joined(links, found, _verified(apart.join(best, ["a", "b"], "left_anti"), slim))
+    """Links and components after the pairs (a, b, shared, of): first for each node of the smaller side the one, then the few
+    that it shares most lists with, then all pairs that are still apart."""
+    rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("shared"), "a", "b"))
+    for few in (1, FEW, None):
+        side = lambda column: found.select(F.col("node").alias(column), F.col("component").alias(f"of_{column}"))  # noqa: B023, E731
+        apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+        apart = written(apart.select("a", "b", "shared", "of"), "pairs")
+        if few is None:
+            links, found = _joined(links, found, _verified(apart, slim))
+            forget(pairs, apart)
+            return links, found
+        some = written(apart.withColumn("rank", rank).where(F.col("rank") <= few).select("a", "b"), "best")
+        links, found = _joined(links, found, _verified(some, slim))
+        forget(pairs)
+        pairs = written(apart.join(some, ["a", "b"], "left_anti"), "pairs")
+        forget(apart, some)
+    return links, found
 
 
 def _joined(links: DataFrame, found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
     if more.isEmpty():
         return links, found
     links = links.unionByName(more)
-    return links, written(components(links), "components")
+    again = written(components(links), "components")
+    forget(found)
+    return links, again
 
 
 def clustered(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

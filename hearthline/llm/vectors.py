@@ -94,7 +94,7 @@ def _tile_links(x: np.ndarray, y: np.ndarray, bands_x: np.ndarray, bands_y: np.n
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """Per vector: the id, n_links, component_id, kept."""
-    small_batches(vectors.sparkSession, 4096)
+    small_batches(vectors.sparkSession)
     rows = vectors.select(vectors[id_column].cast("long").alias("vec_id"), vectors[label_column].cast("string").alias("label"), vectors[vector_column].cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite, F.lit(False))
