@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import text_or_empty
+from hearthline.llm.spans import bound
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -212,11 +213,6 @@ GATE = (
 _DETECTION = "struct<rule:int,label:string,start:int,end:int,priority:int,confidence:double>"
 
 
-def bound(value: Column, body) -> Column:
-    """body(value), with value made once: what a lambda reads from outside is otherwise made again for each element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def places(words: Column, phrase: str) -> Column:
     """Word numbers at which the phrase's words stand one after the other."""
     parts = phrase.split(" ")

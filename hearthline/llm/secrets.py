@@ -6,8 +6,9 @@ characters is known from incremental counts: a character that enters or leaves c
 step, so a string is read once. A candidate counts if a window reaches the threshold of the narrowest class that holds it,
 no allow-list pattern suppresses it, and no fixed span covers it.
 
-Null texts count as empty; empty texts have no spans. Repeated rows get the same answer. Nulls in the id stay. Columns other
-than the id and the text are ignored (redacted() keeps them).
+Null texts count as empty; empty texts have no spans. Very long texts, candidates and span lists are read whole, in time that
+grows as their length. Repeated rows and ids get the same answer each, nulls in the id stay, an empty table gives no rows. Columns
+other than the id and the text are ignored (redacted() keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import text_or_empty
-from hearthline.llm.spans import listed, match_spans
+from hearthline.llm.spans import bound, listed, match_spans
 
 WINDOW = 24
+#: Candidates hold code points from "+" to "z" only.
+LOWEST, CODES = ord("+"), ord("z") - ord("+") + 1
+#: Up to so many spans a text is cut without splitting it into characters.
+FEW = 64
 #: Bits per character that a window must reach, by class.
 HEX_BITS, BASE64_BITS = 3.0, 4.0
 
@@ -45,29 +50,28 @@ ALLOWED = (
 def window_bits(string: Column) -> Column:
     """The highest Shannon entropy, in bits a character, of any WINDOW characters in a row.
 
-    Counts are kept by code point below 128 and changed by one as the window moves on; what is summed is count * log2(count)."""
-    chars = F.transform(F.split(string, ""), lambda c: F.ascii(c))
-    start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"),
-        F.lit(0.0).alias("sum"),
-        F.lit(1e9).alias("least"),
-        F.lit(0).alias("at"),
-    )
+    Counts are kept by code point from LOWEST on and changed by one as the window moves on; what is summed is count *
+    log2(count). The string is split once, and what leaves the window is read from the split by its place."""
 
     def weight(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
-    def step(state, code):
-        at = state["at"]
-        entered = F.element_at(state["counts"], code + 1)
-        gone = F.when(at >= WINDOW, F.element_at(chars, F.greatest(at - WINDOW, F.lit(0)) + 1)).otherwise(F.lit(-1))
-        left = F.when(gone >= 0, F.element_at(state["counts"], F.greatest(gone, F.lit(0)) + 1)).otherwise(F.lit(0))
-        same = gone == code
-        total = F.when(same, state["sum"]).otherwise(state["sum"] + weight(entered + 1) - weight(entered) + F.when(gone >= 0, weight(left - 1) - weight(left)).otherwise(F.lit(0.0)))
-        counts = F.when(same, state["counts"]).otherwise(F.transform(state["counts"], lambda n, i: n + F.when(i == code, 1).otherwise(0) - F.when(i == gone, 1).otherwise(0)))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(at >= WINDOW - 1, F.least(state["least"], total)).otherwise(state["least"]).alias("least"), (at + 1).alias("at"))
+    def folded(codes):
+        start = F.struct(F.array_repeat(F.lit(0), CODES).alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"), F.lit(0).alias("at"))
+
+        def step(state, code):
+            at = state["at"]
+            entered = F.element_at(state["counts"], code + 1)
+            gone = F.when(at >= WINDOW, F.element_at(codes, F.greatest(at - WINDOW, F.lit(0)) + 1)).otherwise(F.lit(-1))
+            left = F.when(gone >= 0, F.element_at(state["counts"], F.greatest(gone, F.lit(0)) + 1)).otherwise(F.lit(0))
+            same = gone == code
+            total = F.when(same, state["sum"]).otherwise(state["sum"] + weight(entered + 1) - weight(entered) + F.when(gone >= 0, weight(left - 1) - weight(left)).otherwise(F.lit(0.0)))
+            counts = F.when(same, state["counts"]).otherwise(F.transform(state["counts"], lambda n, i: n + F.when(i == code, 1).otherwise(0) - F.when(i == gone, 1).otherwise(0)))
+            return F.struct(counts.alias("counts"), total.alias("sum"), F.when(at >= WINDOW - 1, F.least(state["least"], total)).otherwise(state["least"]).alias("least"), (at + 1).alias("at"))
+
+        return F.aggregate(codes, start, step, lambda s: F.log2(F.lit(float(WINDOW))) - s["least"] / WINDOW)
 
-    return F.aggregate(chars, start, step, lambda s: F.log2(F.lit(float(WINDOW))) - s["least"] / WINDOW)
+    return bound(F.transform(F.split(string, ""), lambda c: F.ascii(c) - LOWEST), folded)
 
 
 def fixed_spans(text: Column) -> Column:
@@ -123,14 +127,22 @@ def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def redacted(docs: DataFrame, text_column: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its texts replaced by the mark, overlapping spans by one; all columns stay, null texts too."""
     text = F.col(text_column)
-    based = docs.withColumn("__fixed", fixed_spans(F.coalesce(text, F.lit(""))))
-    more = based.withColumn("__found", by_place(F.concat("__fixed", entropy_spans(F.coalesce(text, F.lit("")), F.col("__fixed")))))
+    fixed, found = (next(f"{name}_{i}" for i in range(len(docs.columns) + 1) if f"{name}_{i}" not in docs.columns) for name in ("fixed", "found"))
+    based = docs.withColumn(fixed, fixed_spans(F.coalesce(text, F.lit(""))))
+    more = based.withColumn(found, by_place(F.concat(fixed, entropy_spans(F.coalesce(text, F.lit("")), F.col(fixed)))))
+
+    def clean(cut):
+        """cut(start, length): a part of the text. The kept parts are gathered and joined once."""
+
+        def step(state, s):
+            inside = s["start"] < state["at"]
+            parts = F.when(inside, state["parts"]).otherwise(F.concat(state["parts"], F.array(cut(state["at"], s["start"] - state["at"]), F.lit(mark))))
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), parts.alias("parts"))
 
-    def step(state, s):
-        gap = F.substr(text, state["at"] + 1, s["start"] - state["at"])
-        inside = s["start"] < state["at"]
-        out = F.when(inside, state["out"]).otherwise(F.concat(state["out"], gap, F.lit(mark)))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+        return F.aggregate(found, start, step, lambda s: F.array_join(F.concat(s["parts"], F.array(cut(s["at"], F.length(text)))), ""))
 
-    clean = F.aggregate("__found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
-    return more.withColumn(text_column, F.when(F.size("__found") > 0, clean).otherwise(text)).select(*docs.columns)
+    # finding a place in a text reads it from the start; where that would be done often, it is split into characters first
+    few = clean(lambda at, n: F.substr(text, at + 1, n))
+    many = bound(F.split(text, ""), lambda chars: clean(lambda at, n: F.array_join(F.slice(chars, at + 1, n), "")))
+    return more.withColumn(text_column, F.when(F.size(found) == 0, text).when(F.size(found) <= FEW, few).otherwise(many)).select(*docs.columns)
