@@ -1,21 +1,22 @@
 """Quality classifier: learned vectors of hashed words and character n-grams, averaged per document, softmax on top.
 
-Features are the words of a text (runs of non-space bytes, case kept), the byte n-grams of NGRAMS within a word or at its
-edges, and word pairs at the distances of REPEATS, told apart by whether they are equal, each hashed into one of BUCKETS vectors. Training is stochastic gradient descent in numpy, one document at a time, on
-a bounded sample: of each label the max_per_label documents whose ids hash lowest, both labels weighing the same; the bias then takes
-in how frequent each label is among all known ones. Executors count the sample's features, one task of an executor learns from
-these counts of at most 2 * max_per_label documents, and the driver sees the model only: BUCKETS floats.
-
-The mean of vectors times the output weights is the mean of one number per bucket and label, so scoring gathers one float
-per feature from a table of BUCKETS floats. Whole texts are read. A text without features scores as its bias says; null
+Features are the words of a text (runs of non-space bytes, case kept) and the byte n-grams of NGRAMS within a word or at its
+edges, each hashed into one of BUCKETS learned vectors. A document is the mean of its vectors; the softmax weighs the mean and its
+squares, as the mean of a text that says one thing again and again stays long, whatever it says, and that of prose gets short.
+Training is stochastic gradient descent in numpy, one document at a time, on a bounded sample: of each label the max_per_label
+documents whose ids hash lowest (of rows that share an id, the one with the least text), both labels weighing the same; the bias
+then takes in how frequent each label is among all known ones. Executors count the sample's features, one task of an executor learns from
+these counts of at most 2 * max_per_label documents, and the driver sees the model only: BUCKETS * DIM floats.
+
+Whole texts are read, in parts of PART features at a time. A text without features scores as its bias says; null
 texts count as empty. Labels that are null are not learned from, of repeated labels the highest counts; where only one label
-or none is known, all scores are 1 or 0.5. Repeated rows score alike. Other columns are ignored, and lang, source and the id are never inputs.
+or none is known, all scores are 1, 0 or 0.5. Repeated rows score alike, null ids too, and an empty table gives no rows. Other columns are ignored, and lang, source and the id are never inputs.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,12 @@ from hearthline.llm.common import small_batches, text_or_empty, word_hashes
 
 BUCKETS = 1 << 18
 NGRAMS = (2, 3, 4)
-#: A word is compared with those so many places before it.
-REPEATS = (1, 2, 4)
+#: Numbers of a vector; how many times the squares weigh before anything is learned, so that they are about 1 for a single word;
+#: how fast their weights are learned next to the others, and the most that one step moves a number of a vector.
+DIM = 8
+SQUARES, SQUARES_RATE, MOST_MOVED = 3 * DIM * DIM, 0.3, 0.05
+#: Features whose vectors are added up at once.
+PART = 1 << 16
 #: Features with a vector of zero that every document is padded with, so that a few odd features don't decide on a short one.
 PADDING = 16
 _SPACE = np.zeros(256, bool)
@@ -42,8 +47,6 @@ def features(text: str) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.int64)
     found = [words & np.uint64(BUCKETS - 1)]
-    for back in REPEATS:  # word pairs by whether both words are the same, whichever they are
-        found.append((words[back:] == words[:-back]) * np.uint64(2 * back) + np.uint64(7919 * back))
     wide = data.astype(np.uint32)
     gram = wide
     inner = np.zeros(len(data), bool)  # whether a byte strictly inside the n-gram is a space
@@ -64,47 +67,62 @@ def features(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """score(text) = sigmoid(mean of weights over the features and the padding + bias)."""
+    """Vectors by bucket, weights of their mean and of its squares (label 1 less label 0), bias."""
 
+    vectors: np.ndarray
     weights: np.ndarray
     bias: float
 
     def score(self, text: str) -> float:
         found = features(text)
-        x = float(self.weights.take(found).sum()) / (len(found) + PADDING) + self.bias
+        mean = np.zeros(DIM)
+        for k in range(0, len(found), PART):
+            mean += self.vectors.take(found[k : k + PART], axis=0).sum(axis=0, dtype=np.float64)
+        mean /= len(found) + PADDING
+        x = float(self.weights[:DIM] @ mean + self.weights[DIM:] @ (SQUARES * mean * mean)) + self.bias
         return 1 / (1 + math.exp(-min(max(x, -30.0), 30.0)))
 
+    def to_bytes(self) -> bytes:
+        return np.concatenate([self.weights.astype("<f4"), self.vectors.astype("<f4").ravel()]).tobytes()
 
-def train(samples: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 6, rate: float = 0.6, seed: int = 7) -> Model:
+    @classmethod
+    def from_bytes(cls, data: bytes, bias: float) -> Model:
+        numbers = np.frombuffer(data, "<f4")
+        return cls(numbers[2 * DIM :].reshape(BUCKETS, DIM), numbers[: 2 * DIM].astype(np.float64), bias)
+
+
+def train(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate: float = 0.6, seed: int = 7) -> Model:
     """samples: distinct bucket numbers, their counts, label 0 or 1."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
-    out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
+    of_mean, of_squares, bias = np.zeros((2, DIM), np.float32), np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     labels = np.array([y for _, _, y in samples])
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), float({0: -30.0, 1: 30.0}.get(labels[0], 0.0) if len(labels) else 0.0))
+        return Model(np.zeros((BUCKETS, DIM), np.float32), np.zeros(2 * DIM), float({0: -30.0, 1: 30.0}.get(labels[0], 0.0) if len(labels) else 0.0))
     weight = np.array([len(labels) / (2 * np.sum(labels == y)) for y in (0, 1)], np.float32)
     shares = [(c / (c.sum() + PADDING)).astype(np.float32)[:, None] if len(c) else np.zeros((0, 1), np.float32) for _, c, _ in samples]
-    steps, done = epochs * len(samples), 0
+    steps, done, squares = epochs * len(samples), 0, np.float32(SQUARES)
     for _ in range(epochs):
         for k in rng.permutation(len(samples)):
             buckets, _, y = samples[k]
             lr = rate * (1 - done / steps)
             done += 1
             mean = (vectors[buckets] * shares[k]).sum(axis=0)
-            logits = out @ mean + bias
+            squared = squares * mean * mean
+            logits = of_mean @ mean + of_squares @ squared + bias
             p = np.exp(logits - logits.max())
             p /= p.sum()
             error = p.copy()
             error[y] -= 1
             error *= lr * weight[y]
-            to_vectors = error @ out
-            out -= np.outer(error, mean)
+            to_vectors = np.clip(error @ of_mean + (error @ of_squares) * (2 * squares * mean), -MOST_MOVED, MOST_MOVED)
+            of_mean -= np.outer(error, mean)
+            of_squares -= SQUARES_RATE * np.outer(error, squared)
             bias -= 0.1 * error
             # a document's mean moves by the full gradient: shares are scaled to sum to one over their own square sum
             scale = 1 / max(float((shares[k] ** 2).sum()), 1e-6) if len(buckets) else 0.0
             vectors[buckets] -= shares[k] * (min(scale, 50.0) * to_vectors)
-    return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
+    return Model(vectors, np.concatenate([of_mean[1] - of_mean[0], of_squares[1] - of_squares[0]]).astype(np.float64), float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = 1500, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Model:
@@ -117,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = 1500, id_column
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 * max_per_label rows of an id and a label
     sample = docs.select(docs[id_column], text_or_empty(text_column).alias("text"))
-    joined = sample.join(F.broadcast(chosen), id_column).select(id_column, "text", "label")
+    joined = sample.join(F.broadcast(chosen), id_column).groupBy(id_column, "label").agg(F.min("text").alias("text")).select(id_column, "text", "label")
 
     def run(batches):
         for batch in batches:
@@ -129,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = 1500, id_column
 
     kind = docs.schema[id_column].dataType.simpleString()
     counted = joined.mapInArrow(run, f"`{id_column}` {kind}, buckets array<int>, counts array<int>, label int")
+
     def learn(batches):
         """The sample is at most 2 * max_per_label rows, so one task holds it; the order of rows does not matter."""
         rows = []
@@ -137,18 +156,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = 1500, id_column
             rows += zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), *arrays, strict=True)
         rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
         model = train([(b, c, y) for _, y, b, c in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
+        yield pa.RecordBatch.from_arrays([pa.array([model.to_bytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["model", "bias"])
 
-    row = counted.repartition(1).mapInArrow(learn, "weights binary, bias double").first()  # BUCKETS floats
-    model = Model(np.frombuffer(row["weights"], "<f4"), row["bias"]) if row else train([])
+    row = counted.repartition(1).mapInArrow(learn, "model binary, bias double").first()  # one row of a fixed size
+    model = Model.from_bytes(row["model"], row["bias"]) if row else train([])
     shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows at most
-    return Model(model.weights, model.bias + math.log(shares[1] / shares[0])) if len(shares) == 2 else model
+    return replace(model, bias=model.bias + math.log(shares[1] / shares[0])) if len(shares) == 2 else model
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", out: str = "score", keep: tuple[str, ...] = ()) -> DataFrame:
     """The id, the columns of keep, and the score."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * DIM floats, whatever the corpus
 
     def run(batches):
         use = shared.value
