@@ -9,7 +9,7 @@ number without a table of offsets.
 Documents lie in ascending id order, nulls first, ties by a hash of the text: the table is range-partitioned and sorted, and
 every partition writes one file to the shared folder, under a name of its own for each attempt. Only files of attempts that
 ended well are in the list that the reader gets, so a lost executor leaves at most an unused file. Null texts count as empty.
-Repeated rows are stored each on its own. Columns other than the id and the text are ignored.
+Repeated rows are stored each on its own, very long texts as one document, an empty table as no file. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ class EliasFano:
     """Non-decreasing numbers of 0 or more."""
 
     HEAD = struct.Struct("<QQBQ")  # numbers, the largest, low bits, bytes of the high part
+    PART = 1 << 14  # numbers coded at once
 
     def __init__(self, n: int, most: int, low_bits: int, low: np.ndarray, high: np.ndarray, sample: np.ndarray) -> None:
         self.n, self.most, self.low_bits, self.low, self.high, self.sample = n, most, low_bits, low, high, sample
@@ -46,11 +47,14 @@ class EliasFano:
         values = np.asarray(values, dtype=np.uint64)
         n, most = len(values), int(values[-1]) if len(values) else 0
         bits = max(0, ((most + 1) // n).bit_length() - 1) if n else 0
-        shown = (values[:, None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+        low = [np.zeros(0, np.uint8)]
+        for k in range(0, n, cls.PART):  # a multiple of eight numbers fills whole bytes
+            shown = (values[k : k + cls.PART, None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+            low.append(np.packbits(shown.ravel(), bitorder="little"))
         places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         marks = np.zeros((n + (most >> bits) + 1 + 63) // 64 * 64, np.uint8)
         marks[places] = 1
-        return cls(n, most, bits, np.packbits(shown.ravel(), bitorder="little"), np.packbits(marks, bitorder="little"), places[::SAMPLE].astype("<u4"))
+        return cls(n, most, bits, np.concatenate(low), np.packbits(marks, bitorder="little"), places[::SAMPLE].astype("<u4"))
 
     def to_bytes(self) -> bytes:
         return self.HEAD.pack(self.n, self.most, self.low_bits, len(self.high)) + self.sample.tobytes() + self.high.tobytes() + self.low.tobytes()
@@ -87,12 +91,6 @@ class EliasFano:
             raise IndexError(i)
         return (self._select(i) - i) << self.low_bits | self._low(i)
 
-    def all(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        shown = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits).astype(np.uint64)
-        low = (shown << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if self.low_bits else np.zeros(self.n, np.uint64)
-        return ((high.astype(np.uint64) << np.uint64(self.low_bits)) | low).astype(np.int64)
-
 
 def _open(uri: str):
     from pyarrow import fs
@@ -165,8 +163,9 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = 1,
     """Writes all documents, each followed by end_id, and returns the files in order: one for each partition that has rows."""
     small_batches(docs.sparkSession)
     slim = docs.select(docs[id_column].cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
-    keys = ["doc_id", F.xxhash64("text")]
-    ordered = slim.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # the row's place in the input, the same whenever it is read, deals repeated rows over several partitions
+    keys = ["doc_id", F.xxhash64("text"), "row"]
+    ordered = slim.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("row")
 
     def run(batches):
         use, out = word_tokens(vocabulary), None
@@ -196,27 +195,30 @@ def _folder(spark: SparkSession, uri: str) -> None:
 
 
 def read(spark: SparkSession, shards: list[Shard], keep_ids: bool = False, span: int = 1 << 20) -> DataFrame:
-    """Per document: doc_id, start, n_tokens, ids_crc32, with keep_ids the ids. Of a file, about span ids are in memory at once."""
+    """Per document: doc_id, start, n_tokens, ids_crc32, with keep_ids the ids. Where each document lies and its id are selected
+    from the file's codes; of its ids about span, or one document's, are in memory at once."""
     small_batches(spark)
 
     def run(batches):
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 shard, file = shards[k], Reader(shards[k].uri)
-                ends = np.concatenate(([0], file.ends.all()))
-                doc_ids = [None] * file.nulls + (file.keys.all() + file.least).tolist()
-                i = 0
+                i = begin = 0
                 while i < file.n_docs:
-                    j = max(i + 1, int(np.searchsorted(ends, ends[i] + span)))
-                    j = min(j, file.n_docs)
-                    data, at = file.ids(int(ends[i]), int(ends[j])).astype("<u4"), ends[i : j + 1] - ends[i]
-                    parts = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                    columns = [pa.array(doc_ids[i:j], pa.int64()), pa.array(ends[i:j] + shard.before, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64())]
+                    ends, doc_ids = [], []
+                    while i < file.n_docs and (not ends or ends[-1] - begin < span):
+                        ends.append(file.ends.select(i))
+                        doc_ids.append(file.doc_id(i))
+                        i += 1
+                    data = file.ids(begin, ends[-1]).astype("<u4")
+                    starts = np.array([begin, *ends[:-1]])
+                    parts = np.split(data, starts[1:] - begin)
+                    columns = [pa.array(doc_ids, pa.int64()), pa.array(starts + shard.before, pa.int64()), pa.array([len(p) for p in parts], pa.int64()), pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64())]
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     if keep_ids:
                         columns, names = [*columns, pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32()))], [*names, "ids"]
                     yield pa.RecordBatch.from_arrays(columns, names)
-                    i = j
+                    begin = ends[-1]
 
     files = spark.range(0, len(shards), 1, max(1, len(shards)))
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids)
