@@ -7,7 +7,7 @@ later; those starts, each with the last token before it, are the transducer's st
 agree on them, after bounded lookahead. States and transitions are made when first needed, are shared by all pieces, and
 are dropped together when there are too many of them.
 
-Null texts count as empty; an empty text has no tokens. Repeated rows are encoded alike. Columns other than the id and the
+Null texts count as empty; an empty text has no tokens, an empty table no rows. Very long texts are read whole. Repeated rows are encoded alike. Columns other than the id and the
 text are ignored.
 """
 
@@ -199,32 +199,50 @@ class Transducer:
         return b"".join(out)
 
 
+def utf8_step(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:
+    """The UTF-8 state machine. A state is how many bytes a character still needs, and between which the next must lie; None
+    if the byte cannot come here."""
+    need, low, high = state
+    if need:
+        return (need - 1, 0x80, 0xBF) if low <= byte <= high else None
+    if byte < 0x80:
+        return WHOLE
+    if 0xC2 <= byte <= 0xDF:
+        return 1, 0x80, 0xBF
+    if 0xE0 <= byte <= 0xEF:
+        return 2, 0xA0 if byte == 0xE0 else 0x80, 0x9F if byte == 0xED else 0xBF
+    if 0xF0 <= byte <= 0xF4:
+        return 3, 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF
+    return None
+
+
+WHOLE = (0, 0x80, 0xBF)
+
+
 class Utf8Stream:
-    """Incremental UTF-8: bytes in, text out as soon as its characters are whole; a state machine holds back the bytes of a
-    character that has begun. Bytes that cannot begin or continue one become U+FFFD."""
+    """Incremental UTF-8: bytes in, text out as soon as its characters are whole. The state machine says whether the character
+    at the end is whole; the bytes of one that is not are held. Bytes that cannot begin or continue one become U+FFFD."""
 
     def __init__(self) -> None:
-        self.held = b""
-
-    @staticmethod
-    def _open(data: bytes) -> int:
-        """How many bytes at the end belong to a character that is not whole."""
-        for back in range(1, min(4, len(data) + 1)):
-            byte = data[-back]
-            if byte & 0xC0 == 0x80:
-                continue
-            need = 2 if 0xC2 <= byte <= 0xDF else 3 if 0xE0 <= byte <= 0xEF else 4 if 0xF0 <= byte <= 0xF4 else 1
-            return back if need > back else 0
-        return 0
+        self.held, self.state = b"", WHOLE
 
     def push(self, data: bytes) -> str:
         data = self.held + data
-        cut = len(data) - self._open(data)
+        # a byte that begins a character puts the machine into a known state, so it need only run from the last such byte on
+        begin = len(data)
+        while begin > max(0, len(data) - 4):
+            begin -= 1
+            if data[begin] & 0xC0 != 0x80:
+                break
+        self.state = WHOLE
+        for byte in data[begin:]:
+            self.state = utf8_step(self.state, byte) or WHOLE
+        cut = begin if self.state[0] else len(data)
         self.held = data[cut:]
         return data[:cut].decode("utf-8", "replace")
 
     def close(self) -> str:
-        held, self.held = self.held, b""
+        held, self.held, self.state = self.held, b"", WHOLE
         return held.decode("utf-8", "replace")
 
 
@@ -268,7 +286,7 @@ def codec(path: str, pattern: str) -> Codec:
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False) -> DataFrame:
     """Per document: the id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids themselves (array<int>).
 
-    The ids are decoded again from what was encoded. vocabulary is a path that every executor can open."""
+    The ids are decoded again from what was encoded, as a stream of characters. vocabulary is a path that every executor can open."""
     small_batches(docs.sparkSession)
     slim = docs.select(docs[id_column], text_or_empty(text_column).alias("text"))
 
@@ -279,8 +297,8 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_column: str =
             for text in batch.column(1).to_pylist():
                 packed = use.encode(text)
                 decoded = hashlib.sha256()
-                for data in use.decoded(packed):
-                    decoded.update(data)
+                for part in use.decode_text(packed):
+                    decoded.update(part.encode("utf-8"))
                 counts.append(len(packed) // 4)
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
                 text_sha.append(decoded.hexdigest())
