@@ -13,7 +13,7 @@ of links and one edge per vector, not the pairs.
 
 Vectors that are null, zero, or hold null or non-finite components, and those without a label or id, link with nothing and are kept.
 Vectors of different lengths do not link. Rows that share an id are vectors of their own; their links count for each. Other columns
-are ignored.
+are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,10 +42,8 @@ def rotations(dim: int, n: int) -> np.ndarray:
 
 
 def plan(largest: int, threshold: float) -> tuple[int, int]:
-    """(bits of a band, bands)."""
-    bits = min(24, max(3, math.ceil(math.log2(max(1, largest) / BLOCK)))) if largest > BLOCK else 0
-    if not bits:
-        return 0, 1
+    """(bits of a band, bands): about BLOCK vectors of the largest label agree in a band by chance."""
+    bits = min(24, max(3, math.ceil(math.log2(max(1, largest) / BLOCK))))
     meets = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
 
@@ -57,8 +55,6 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def bands_of(units: np.ndarray, bits: int, bands: int) -> np.ndarray:
     """Band values of each vector, from the signs of as many rotations as they need."""
-    if not bits:
-        return np.zeros((len(units), bands), np.int32)
     dim = units.shape[1]
     n = -(-bits * bands // dim)
     signs = np.concatenate([units @ r.T for r in rotations(dim, n)], axis=1)[:, : bits * bands] >= 0
@@ -98,9 +94,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_column: str
     rows = vectors.select(vectors[id_column].cast("long").alias("vec_id"), vectors[label_column].cast("string").alias("label"), vectors[vector_column].cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite, F.lit(False))
-    rows = rows.withColumn("usable", usable)
-    # equal vectors of a label: the least id stands for all
-    nodes = written(rows.where("usable").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).withColumn("key", F.monotonically_increasing_id()), "vectors")
+    # equal vectors of a label, told by two hashes: the least id stands for all
+    rows = rows.withColumn("usable", usable).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
+    same = ["label", "h1", "h2"]
+    nodes = written(rows.where("usable").groupBy(*same).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v")).withColumn("key", F.monotonically_increasing_id()), "vectors")
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, bands = plan(largest, threshold)
 
@@ -160,8 +157,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_column: str
     grouped = nodes.select("key", "node").join(joined.withColumnRenamed("node", "key"), "key", "left")
     names = grouped.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("node").alias("component_id"))
     per_node = grouped.select("key", F.coalesce("component", "key").alias("component")).join(names, "component").join(counts, "key", "left")
-    answer = written(nodes.join(per_node, "key").select("label", "v", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "answer")
-    linked = rows.where("usable").join(answer, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    answer = written(nodes.join(per_node, "key").select(*same, "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "answer")
+    linked = rows.where("usable").select("vec_id", *same).join(answer, same).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     return out if id_column == "vec_id" else out.withColumnRenamed("vec_id", id_column)

@@ -71,3 +71,22 @@ def test_bands_meet_the_recall():
         if bits:
             meets = (1 - np.arccos(0.98) / np.pi) ** bits
             assert 1 - (1 - meets) ** bands >= V.RECALL
+
+
+def test_recall_of_planted_pairs_at_production_settings(spark):
+    rng = np.random.default_rng(4)
+    dim, n = 64, 6000
+    x = V.unit(rng.standard_normal((n, dim)))
+    planted = 1500
+    for k in range(planted):  # rows 2k and 2k + 1 at a cosine from 0.9801 to 0.999
+        other = rng.standard_normal(dim)
+        other -= (other @ x[2 * k]) * x[2 * k]
+        cosine = rng.uniform(0.9801, 0.999)
+        x[2 * k + 1] = cosine * x[2 * k] + np.sqrt(1 - cosine**2) * other / np.sqrt(other @ other)
+    rows = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    similar = np.einsum("ij,kj->ik", x, x) >= 0.98
+    np.fill_diagonal(similar, False)
+    got = {r.vec_id: r.n_links for r in V.near_duplicates(rows).collect()}
+    found = sum(got.values())
+    assert all(got[i] <= similar[i].sum() for i in range(n))
+    assert similar.sum() >= 2 * planted and found >= 0.998 * similar.sum()
