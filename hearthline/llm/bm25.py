@@ -1,15 +1,24 @@
-"""Exact BM25 top-k: an inverted index per shard of documents, read with block-max pruning, merged under global statistics.
-
-Words are runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. Every document is in one shard of about
-SHARD_DOCS, however many there are. A shard's index holds its documents in blocks of BLOCK; per word and block it knows the highest
-term weight. A query adds these up per block, reads blocks from the highest sum down, scores their documents in full, and stops at
-the block whose sum is below the k-th best score so far: no document there can still enter. That gives the same top k as scoring
-everything. Document frequencies, document count and mean length are those of the whole table, so scores of all shards compare.
-
-Queries are a table of their own, written once to the shared folder in row groups and streamed by each shard's task, a group at a
-time. score = sum over the query's distinct words of log(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B *
+"""Exact BM25 top-k: an inverted index per shard of documents, read by block-max WAND, merged under global statistics.
+
+Words are runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. A shard's index holds about SHARD_DOCS
+documents by falling length in blocks of BLOCK; per word it knows the highest term weight of all its list and of each block.
+WAND goes by a threshold, the k-th best score known. Of a query's lists in ascending order of their highest contributions, those
+that together stay below the threshold can't make a document a pivot; pivots are the documents of the other lists, and the lists
+below are not read at all. Pivots are then taken in bulk, not one by one, as numpy wants it: a block whose highest contributions
+of all words stay below the threshold is skipped before its entries are read; a pivot stays if what the upper lists give it and
+its block's bound of the lower ones reach the threshold; those that stay are scored in full from the highest bound down, raising
+the threshold, until a bound is below it. No document beyond can enter, so the top k is that of scoring everything. Document
+frequencies, document count and mean length are those of the whole table, so scores of all shards compare.
+
+Shards are searched in two rounds, one of FIRST parts of the documents and then the others. The k-th best score of the first
+round is the threshold from which the second starts, so all shards share it, and how much leaves the second round follows the
+number of queries, not that of shards. Queries are a table of their own, written to the shared folder in row groups and streamed
+by each shard's task, a group at a time.
+
+score = sum over the query's distinct words of log(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B *
 length / mean length)), rounded to six places; ties go to the smaller id. Null texts count as empty. Queries without words have no
-rows; null ids are neither searched nor found. Rows that share an id are documents of their own. Other columns are ignored.
+rows; null ids are neither searched nor found. Rows that share an id are documents of their own, as queries they are one with the
+words of all. Long texts are read whole. Other columns are ignored. An empty table of either kind gives no rows.
 """
 
 from __future__ import annotations
@@ -17,16 +26,17 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hearthline.llm.common import shared_folder, small_batches, text_or_empty, word_hashes, written
+from hearthline.llm.common import forget, shared_folder, small_batches, text_or_empty, word_hashes, written
 
 K1, B = 1.2, 0.75
 SHARD_DOCS, BLOCK = 8192, 64
+#: An index ends early with so many entries; the first round has one of so many parts of the documents.
+SHARD_ENTRIES, FIRST = 4_000_000, 16
 
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
@@ -41,72 +51,142 @@ def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found.view(np.int64), n
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    size = end - begin
+    return np.repeat(begin - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+
+
 class Index:
-    """One shard: documents in the order given."""
+    """One shard."""
 
     def __init__(self, doc_ids: np.ndarray, words: list[np.ndarray], counts: list[np.ndarray], mean_length: float) -> None:
-        self.doc_ids = doc_ids
         lengths = np.array([c.sum() for c in counts], np.float64)
-        doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        by_length = np.argsort(-lengths, kind="stable")  # so that the highest weights of a block are near those of its documents
+        self.doc_ids, lengths = doc_ids[by_length], lengths[by_length]
+        words, counts = [words[i] for i in by_length], [counts[i] for i in by_length]
+        self.doc_begin = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
+        doc = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(self.doc_begin))
         word, tf = np.concatenate(words), np.concatenate(counts).astype(np.float64)
-        order = np.lexsort((doc, word))
-        word, self.doc, tf = word[order], doc[order], tf[order]
-        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean_length))
-        change = np.flatnonzero(np.diff(word)) + 1
-        begin = np.concatenate(([0], change)) if len(word) else np.zeros(0, np.int64)
-        self.words = word[begin]
+        self.doc_weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
+        self.words, self.doc_word = np.unique(word, return_inverse=True)
+        order = np.argsort(self.doc_word, kind="stable")  # entries by word, documents ascending
+        self.doc, self.weight = doc[order], self.doc_weight[order]
+        of = self.doc_word[order]
+        self.begin = np.searchsorted(of, np.arange(len(self.words) + 1))
         # runs of entries of one word in one block
-        block = self.doc // BLOCK
-        new = np.ones(len(word), bool)
-        new[1:] = (np.diff(word) != 0) | (np.diff(block) != 0)
-        self.run_begin = np.append(np.flatnonzero(new), len(word))
-        self.run_block = block[self.run_begin[:-1]]
-        self.run_most = np.maximum.reduceat(self.weight, self.run_begin[:-1]) if len(word) else np.zeros(0)
-        self.word_run = np.append(np.searchsorted(self.run_begin, begin), len(self.run_block))
         self.blocks = -(-len(words) // BLOCK)
-
-    def top(self, query: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """(score, doc id) of the k best documents with a word of the query; query: sorted distinct word hashes."""
+        place = of * self.blocks + self.doc // BLOCK
+        self.run_begin = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)])) if len(place) else np.zeros(1, np.int64)
+        self.run_block = (place[self.run_begin[:-1]] % self.blocks).astype(np.int32)
+        self.run_most = np.maximum.reduceat(self.weight, self.run_begin[:-1]) if len(place) else np.zeros(0)
+        self.word_run = np.searchsorted(self.run_begin, self.begin)
+        self.most = np.maximum.reduceat(self.weight, self.begin[:-1]) if len(place) else np.zeros(0)
+        self.idf_of = np.zeros(len(self.words))
+        self.entries_read = self.entries_asked = 0
+
+    def top(self, query: np.ndarray, idf: np.ndarray, k: int, threshold: float = 0.0) -> list[tuple[float, int]]:
+        """(score, doc id) of the k best documents with a word of the query and a score of the threshold or more."""
         at = np.searchsorted(self.words, query)
         at[at == len(self.words)] = 0
         here = self.words[at] == query if len(self.words) else np.zeros(len(query), bool)
         at, idf = at[here], idf[here]
-        first, last = self.word_run[at], self.word_run[at + 1]
-        n = last - first
-        if not n.sum():
+        if not len(at):
             return []
-        runs = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        run_idf = np.repeat(idf, n)
-        most = np.bincount(self.run_block[runs], run_idf * self.run_most[runs], self.blocks)
-        by_block = np.argsort(-most, kind="stable")
-        by_block = by_block[most[by_block] > 0]
-        rank = np.full(self.blocks, len(by_block))
-        rank[by_block] = np.arange(len(by_block))
-        order = np.argsort(rank[self.run_block[runs]], kind="stable")
-        runs, run_idf = runs[order], run_idf[order]
-        ends = np.searchsorted(rank[self.run_block[runs]], np.arange(len(by_block) + 1))
+        bound = idf * self.most[at]
+        order = np.argsort(bound)
+        at, idf, bound = at[order], idf[order], bound[order]
+        below = np.cumsum(bound)
+        self.idf_of[at] = idf
+        self.entries_asked += int((self.begin[at + 1] - self.begin[at]).sum())
         best: list[tuple[float, int]] = []
-        done, step = 0, 4
-        while done < len(by_block):
-            if len(best) == k and most[by_block[done]] < best[-1][0] - 1e-6:
-                break
-            upto = min(len(by_block), done + step)
-            part = runs[ends[done] : ends[upto]]
-            size = self.run_begin[part + 1] - self.run_begin[part]
-            entries = np.repeat(self.run_begin[part] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            docs = self.doc[entries]
-            seen, back = np.unique(docs, return_inverse=True)
-            scores = np.bincount(back, np.repeat(run_idf[ends[done] : ends[upto]], size) * self.weight[entries], len(seen)).round(6)
+        if threshold <= 0:
+            # a first threshold: the documents to which the words of the highest bounds give most
+            upper = np.arange(int(np.searchsorted(below, 0.7 * below[-1])), len(at))
+            docs, partial = self._given(at[upper], idf[upper], None)
+            if len(docs) > 2 * k:
+                docs = docs[np.argpartition(-partial, 2 * k)[: 2 * k]]
+            best = self._merged(best, docs, k)
+            threshold = best[-1][0] if len(best) == k else 0.0
+            seen = docs
+        else:
+            seen = None
+        lists = int(np.searchsorted(below, threshold - 1e-6))  # so many lists never make a pivot
+        if lists < len(at):
+            best = self._pivots(at, idf, lists, k, threshold, best, seen)
+        self.idf_of[at] = 0.0
+        return best
+
+    def _pivots(self, at, idf, lists: int, k: int, threshold: float, best: list, seen: np.ndarray | None) -> list[tuple[float, int]]:
+        lower, upper = self._block_bounds(at[:lists], idf[:lists]), self._block_bounds(at[lists:], idf[lists:])
+        docs, partial = self._given(at[lists:], idf[lists:], lower + upper >= threshold - 1e-6)
+        bound = partial + lower[docs // BLOCK]
+        keep = bound >= threshold - 1e-6
+        docs, bound, partial = docs[keep], bound[keep], partial[keep]
+        if seen is not None:
+            new = ~np.isin(docs, seen)
+            docs, bound, partial = docs[new], bound[new], partial[new]
+        if lists and int((self.doc_begin[docs + 1] - self.doc_begin[docs]).sum()) > int((self.begin[at[:lists] + 1] - self.begin[at[:lists]]).sum()):
+            # so many pivots stay that reading the lower lists, in these pivots' blocks, costs less than reading the documents
+            blocks = np.zeros(self.blocks, bool)
+            blocks[docs // BLOCK] = True
+            others, more = self._given(at[:lists], idf[:lists], blocks)
+            place = np.searchsorted(others, docs)
+            place[place == len(others)] = 0
+            bound = partial + np.where(others[place] == docs, more[place], 0.0) if len(others) else partial
+            if len(docs) > 2 * k:
+                keep = bound >= max(threshold, float(np.partition(bound, len(bound) - k)[len(bound) - k])) - 1e-6
+                docs, bound = docs[keep], bound[keep]
+        order = np.argsort(-bound)
+        docs, bound = docs[order], bound[order]
+        step, done = 4 * k, 0
+        while done < len(docs) and bound[done] >= threshold - 1e-6:
+            best = self._merged(best, docs[done : done + step], k, threshold)
             if len(best) == k:
-                good = scores >= best[-1][0]
-                seen, scores = seen[good], scores[good]
-            elif len(seen) > k:
-                good = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                seen, scores = seen[good], scores[good]
-            best = sorted([*best, *zip(scores.tolist(), self.doc_ids[seen].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
-            done, step = upto, step * 2
+                threshold = max(threshold, best[-1][0])
+            done, step = done + step, 2 * step
         return best
 
+    def _block_bounds(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Per block: the most that these lists can give to a document of it."""
+        first, last = self.word_run[at], self.word_run[at + 1]
+        runs = _ranges(first, last)
+        return np.bincount(self.run_block[runs], np.repeat(idf, last - first) * self.run_most[runs], self.blocks)
+
+    def _given(self, at: np.ndarray, idf: np.ndarray, blocks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The documents of these lists, in the blocks wanted, and what the lists give to each."""
+        if blocks is None or 2 * blocks.sum() > self.blocks:
+            begin, end = self.begin[at], self.begin[at + 1]
+        else:
+            first, last = self.word_run[at], self.word_run[at + 1]
+            runs = _ranges(first, last)
+            wanted = blocks[self.run_block[runs]]
+            idf = np.repeat(idf, last - first)[wanted]
+            begin, end = self.run_begin[runs[wanted]], self.run_begin[runs[wanted] + 1]
+        slices = list(map(slice, begin.tolist(), end.tolist()))
+        if not slices:
+            return np.zeros(0, np.int64), np.zeros(0)
+        doc, weight = np.concatenate([self.doc[x] for x in slices]), np.concatenate([self.weight[x] for x in slices])
+        weight *= np.repeat(idf, end - begin)
+        self.entries_read += len(doc)
+        given = np.bincount(doc, weight, len(self.doc_ids))
+        docs = np.flatnonzero(given)
+        return docs, given[docs]
+
+    def _merged(self, best: list, docs: np.ndarray, k: int, threshold: float = 0.0) -> list[tuple[float, int]]:
+        """The k best of best and the documents, these scored in full."""
+        if not len(docs):
+            return best
+        begin, end = self.doc_begin[docs], self.doc_begin[docs + 1]
+        entries = _ranges(begin, end)
+        self.entries_read += len(entries)
+        given = np.concatenate(([0.0], np.cumsum(self.idf_of[self.doc_word[entries]] * self.doc_weight[entries])))
+        ends = np.cumsum(end - begin)
+        scores = (given[ends] - given[ends - (end - begin)]).round(6)
+        good = (scores >= threshold - 1e-6) & (scores > 0)
+        found = sorted([*best, *zip(scores[good].tolist(), self.doc_ids[docs[good]].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))
+        return found[:k]
+
 
 def _words(slim: DataFrame) -> DataFrame:
     def run(batches):
@@ -151,36 +231,74 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "d
     slim, asked = plain(docs), plain(queries)
     sizes = _lengths(slim).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     n, mean = sizes["n"], sizes["mean"] or 1.0
-    wanted = _words(asked).select("doc_id", F.explode("words").alias("word"))
+    wanted = _words(asked).select("doc_id", F.explode("words").alias("word")).distinct()
     weights = wanted.join(_document_frequencies(slim), "word").select("doc_id", "word", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    prepared = weights.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "idf"))).alias("terms")).select(F.col("doc_id").alias("query_id"), F.col("terms.word").alias("words"), F.col("terms.idf").alias("idfs"))
-    folder = f"{shared_folder(spark)}/queries-{uuid.uuid4().hex}"
-    prepared.write.option("parquet.block.size", 8 << 20).parquet(folder)
-
+    prepared = weights.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "idf"))).alias("terms")).select(F.col("doc_id").alias("query_id"), F.col("terms.word").alias("words"), F.col("terms.idf").alias("idfs"), F.lit(0.0).alias("least"))
+    prepared = _asked(prepared)
     shards = max(1, -(-n // SHARD_DOCS))
-    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-
-    def one_shard(frame: pd.DataFrame) -> pd.DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    if shards == 1:
+        tops = written(_searched(slim.repartition(1), prepared, k, mean), "tops")
+    else:
+        in_first = F.pmod(F.xxhash64("doc_id", "text"), F.lit(FIRST)) == 0
+        first = written(_searched(slim.where(in_first).repartition(max(1, shards // FIRST)), prepared, k, mean), "tops")
+        reached = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+        again = _asked(prepared.join(reached, "query_id", "left").select("query_id", "words", "idfs", F.coalesce("reached", "least").alias("least")))
+        rest = written(_searched(slim.where(~in_first).repartition(max(1, shards - shards // FIRST)), again, k, mean), "tops")
+        forget(again)
+        tops = first.unionByName(rest)
+    forget(prepared)
+    return tops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+def _asked(prepared: DataFrame) -> DataFrame:
+    """Queries in row groups small enough to be streamed: query_id, words, idfs, least (the score below which nothing counts)."""
+    path = f"{shared_folder(prepared.sparkSession)}/queries-{uuid.uuid4().hex}"
+    prepared.write.option("parquet.block.size", 8 << 20).parquet(path)
+    table = prepared.sparkSession.read.schema(prepared.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def _searched(part: DataFrame, asked: DataFrame, k: int, mean: float) -> DataFrame:
+    """query_id, doc_id, score: the k best of each index for each query. A partition of the documents makes an index, or several
+    where its texts are long."""
+    folder = asked.stored_at
+
+    def queries():
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        frame = frame.sort_values("doc_id", kind="stable")
-        found = [terms(t) for t in frame["text"]]
-        index = Index(frame["doc_id"].to_numpy(), [w for w, _ in found], [c for _, c in found], mean)
-        del found
         store, path = fs.FileSystem.from_uri(folder)
-        out = []
         for info in store.get_file_info(fs.FileSelector(path)):
             if info.base_name.endswith(".parquet"):
-                for batch in pq.ParquetFile(store.open_input_file(info.path)).iter_batches(batch_size=256):
-                    for query_id, words, idfs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                        top = index.top(words.values.to_numpy(), idfs.values.to_numpy(), k)
-                        out += [(query_id, doc_id, score) for score, doc_id in top]
-        return pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
+                with store.open_input_file(info.path) as file:
+                    yield from pq.ParquetFile(file).iter_batches(batch_size=256)
+
+    def answered(ids, found):
+        index = Index(np.array(ids, np.int64), [w for w, _ in found], [c for _, c in found], mean)
+        for batch in queries():
+            names, words, idfs, least = (batch.column(i) for i in range(4))
+            out: list[tuple] = []
+            for query_id, w, i, t in zip(names.to_pylist(), words, idfs, least.to_pylist(), strict=True):
+                out += [(query_id, doc_id, score) for score, doc_id in index.top(w.values.to_numpy(), i.values.to_numpy(), k, t)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "doc_id", "score"])
 
-    tops = dealt.groupBy("shard").applyInPandas(one_shard, "query_id long, doc_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return written(tops, "tops").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    def run(batches):
+        ids, found, entries = [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(doc_id)
+                found.append(terms(text))
+                entries += len(found[-1][0])
+            if len(ids) >= 2 * SHARD_DOCS or entries >= SHARD_ENTRIES:
+                yield from answered(ids, found)
+                ids, found, entries = [], [], 0
+        if ids:
+            yield from answered(ids, found)
+
+    return part.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def _lengths(slim: DataFrame) -> DataFrame:
