@@ -28,7 +28,9 @@ shuffled, so a host with a third of all pages, or a page copied as often, meets
 the pages by host and a salt.
 
 Null html counts as empty, null urls as one nameless host. Pages without text have an empty string. Repeated rows are extracted
-each on its own. Broken markup never fails: what is not a tag is text. Other columns are ignored.
+each on its own, an empty table gives no rows. Broken and very long markup never fails and takes time as its length: what is not
+a tag is text, elements nested deeper than DEPTH have the style of the one around them. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ import hashlib
 import html
 import re
 import struct
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -46,6 +49,8 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import small_batches, text_or_empty, written
 
 GAMMA, THRESHOLD, MIN_PAGES = 0.9, 0.35, 4
+#: Elements nested deeper than this have the style of the one around them.
+DEPTH = 256
 #: A larger host's counts are taken in proportion to so many pages.
 REFERENCE_PAGES = 1000
 #: Styles that are judged are broadcast up to so many rows, and joined beyond.
@@ -57,6 +62,8 @@ _TAG = re.compile(
     r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>",
     re.S,
 )
+#: What may still come where no ">" follows: all else that begins like a tag is text.
+_REST = re.compile(r"<!--.*|<!\[CDATA\[.*", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 #: Words behind these say what an element lacks, leaves room for or is about.
@@ -139,7 +146,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
     stack, blocks, elements, held = [root], [], [], []
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(held)).split())
+        text = " ".join("".join(held).split())
         held.clear()
         if text:
             blocks.append(Block(text, stack[-1].path, stack[-1].state if not (stack[-1].state == "head" and stack[-1].tag not in HEADINGS) else "out", stack[-1].hints))
@@ -147,12 +154,16 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
     def close(upto: int) -> None:
         while len(stack) > upto:
             gone = stack.pop()
+            there[gone.tag] -= 1
             if gone.children and gone.state != "out":
                 elements.append(gone)
 
-    at = 0
-    while found := _TAG.search(page, at):
-        held.append(page[at : found.start()])
+    def closed(found: re.Match, at: int) -> None:
+        held.append(html.unescape(page[at : found.start()]))  # a reference does not go on behind a tag
+
+    at, last, there = 0, page.rfind(">"), Counter()
+    while found := _TAG.search(page, at) if at <= last else None:
+        closed(found, at)
         at = found.end()
         tag = found["open"]
         if tag is not None:
@@ -167,9 +178,11 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
                 flush()
                 if tag in CLOSES:
                     what, until = CLOSES[tag]
-                    for k in range(len(stack) - 1, 0, -1):
+                    for k in range(len(stack) - 1, 0, -1) if any(there[t] for t in what) else ():
                         if stack[k].tag in what:
                             close(k)
+                            if not any(there[t] for t in what):
+                                break
                         elif stack[k].tag in until:
                             break
             elif tag == "br":
@@ -194,24 +207,30 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
                     e.holds = not e.inside
             else:
                 state = above.state
-            above.children.append(style)
+            deep = len(stack) > DEPTH
+            if not deep:
+                above.children.append(style)
             if not attrs.endswith("/") or block:
                 inside = above.inside or above.tag == "article"
-                new = Element(tag, f"{above.path}>{style}" if above.path else style, state, [], above.hints, inside, main and not inside)
+                new = Element(tag, above.path if deep else f"{above.path}>{style}" if above.path else style, state, [], above.hints, inside, main and not inside)
                 if hinted and tag not in ("html", "body"):
                     new.hints = (*above.hints, new)
                 stack.append(new)
+                there[tag] += 1
         elif found["end"]:
             tag = found["close"].lower()
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if there[tag] else ():
                 if stack[k].tag == tag:
                     if tag not in BLOCK:
                         flush()
                     close(k)
                     break
-    held.append(page[at:])
+    if rest := _REST.search(page, at):
+        closed(rest, at)
+    else:
+        held.append(html.unescape(page[at:]))
     flush()
     close(1)
     if root.children:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from hearthline.llm import html_text as H
@@ -106,3 +108,20 @@ def test_importance_overrules_words(spark):
     page = "<main><p>News of day {0}.</p><article class='privacy'><p>Story {0}.</p></article><article class='cookie'><p>We bake.</p></article></main><div class='related'><article>Teaser {0}</article></div>"
     assert H.main_text(page.format(1)) == "News of day 1."
     assert texts_of(spark, [page.format(i) for i in range(9)]) == [f"News of day {i}.\n\nStory {i}." for i in range(9)]
+
+
+def test_hostile_markup_takes_time_as_its_length():
+    for page in ("<a " * 350_000, "<!a" * 350_000, "<div>" * 200_000, "<div>" * 100_000 + "</span>" * 100_000, "<div>" * 100_000 + "<li>x" * 100_000, "<!--" * 250_000):
+        began = time.monotonic()
+        H.main_text(page)
+        assert time.monotonic() - began < 20
+
+
+def test_references_end_at_tags():
+    assert H.main_text("<p>&am<b>p;</b> a&amp;b</p>") == "&amp; a&b"
+
+
+def test_ids_ties_and_clashing_columns(spark):
+    rows = [(None, None, "<p>A</p>", 1), (1, "http://h/a", "<p>A</p>", 2), (1, "http://h/a", "<p>A</p>", 2), (2, "http://h/b", None, 3), (3, "http://h/c", "<p>" + "word " * 300_000 + "</p>", 4)]
+    out = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert sorted((r.page_id or 0, r.text[:4], r.n_chars) for r in out) == [(0, "A", 1), (1, "A", 1), (1, "A", 1), (2, "", 0), (3, "word", 1_499_999)]
