@@ -30,3 +30,7 @@ def content_hash(prices: Column, addresses: Column, descriptions: Column) -> Col
     joined = lambda a: F.array_join(F.filter(F.transform(a, lambda x: F.trim(F.lower(x))), lambda x: x != ""), " ")
     parts = [F.lit("prices:["), joined(prices), F.lit("]|addresses:["), joined(addresses), F.lit("]|descriptions:["), joined(descriptions), F.lit("]")]
     return F.sha2(F.concat(*parts), 256)
+
+
+def city_key(city: Column, state: Column) -> Column:
+    return F.concat(F.lower(city), F.lit("-"), F.upper(state))

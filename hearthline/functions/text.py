@@ -81,3 +81,8 @@ def sanitize(text: Column, most: int) -> Column:
 
 def truncate(text: Column, most: int) -> Column:
     return F.when(F.octet_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
+def truncate_shown(text: Column, most: int = 150) -> Column:
+    """As pages show it: cut by characters, and trimmed before the dots."""
+    return F.when(F.length(text) > most, F.concat(F.trim(F.substring(text, 1, most)), F.lit("..."))).otherwise(text)

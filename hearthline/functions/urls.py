@@ -113,3 +113,8 @@ def city_domain(name: Column) -> Column:
 def city_path(name: Column) -> Column:
     """A city's name as part of a path: lower case without accents, hyphens for blanks."""
     return F.translate(F.replace(F.lower(name), F.lit(" "), F.lit("-")), *CITY_ACCENTS)
+
+
+def for_search(url: Column) -> Column:
+    """A search result's address without query and fragment; empty if it is none."""
+    return F.when(url.startswith("http"), without_query(url)).otherwise("")

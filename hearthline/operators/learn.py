@@ -99,13 +99,29 @@ def reference_patterns(pages: DataFrame, least: int = 2) -> DataFrame:
     return counted.crossJoin(F.broadcast(total)).where(F.col("n") >= least).select("pattern", "n", (F.col("n") / F.col("total")).alias("confidence"))
 
 
+def _segments(patterns: DataFrame, name: str) -> DataFrame:
+    """A row for each segment behind the first slash: place, segment (any with a brace count as one), and how many the pattern has."""
+    parts = F.split(name, "/")
+    rows = patterns.select(name, F.size(parts).alias(f"{name}_size"), F.posexplode(parts).alias("place", "segment"))
+    return rows.withColumn("segment", F.when(F.col("segment").contains("{"), "{").otherwise(F.col("segment")))
+
+
 def by_reference(pages: DataFrame, learned: DataFrame) -> DataFrame:
-    """id, confidence, accepted of each url against reference patterns. Only distinct path patterns are compared with the learned ones;
-    both are far fewer than urls."""
+    """id, confidence, accepted of each url against reference patterns. Distinct path patterns meet learned ones by the segments
+    that they share, so nothing is compared with everything; what is before the first slash, the same for all, counts by itself."""
     url, path = F.col("url"), F.lower(urls.path(F.col("url")))
     named = pages.select("id", path.alias("path"), page_rules.reference_path(url).alias("pattern"), page_rules.excluded_path(url).alias("excluded"))
-    shapes = named.select("pattern").distinct()
-    best = shapes.join(learned.select(F.col("pattern").alias("known")), F.lit(True), "left").groupBy("pattern").agg(F.coalesce(F.max(page_rules.similarity(F.col("pattern"), F.col("known"))), F.lit(0.0)).alias("best"))
+    shapes, known = named.select("pattern").distinct(), learned.select(F.col("pattern").alias("known")).distinct()
+    ours, theirs = _segments(shapes, "pattern"), _segments(known, "known")
+    first = lambda rows, name: rows.where("place = 0").select(name, F.col("segment").alias(f"{name}_first"))
+    met = ours.where("place > 0").join(theirs.where("place > 0"), ["place", "segment"]).groupBy("pattern", "known", "pattern_size", "known_size").agg(F.count("*").alias("same"))
+    met = met.join(first(ours, "pattern"), "pattern").join(first(theirs, "known"), "known")
+    same = F.col("same") + (F.col("pattern_first") == F.col("known_first")).cast("int")
+    shared = met.groupBy("pattern").agg(F.max(same / F.greatest("pattern_size", "known_size")).alias("shared"))
+    # those that share the first part only: the shortest learned pattern is the likest
+    shortest = theirs.where("place = 0").groupBy(F.col("segment")).agg(F.min("known_size").alias("known_size"))
+    only = ours.where("place = 0").join(shortest, "segment").select("pattern", (1 / F.greatest("pattern_size", "known_size")).alias("only"))
+    best = shapes.join(shared, "pattern", "left").join(only, "pattern", "left").select("pattern", F.greatest(F.coalesce("shared", F.lit(0.0)), F.coalesce("only", F.lit(0.0))).alias("best"))
     slashes = page_rules.count(F.col("path"), "/")
     score = F.col("best") + F.when(F.col("path").rlike(r"/\d+/?\z"), 0.2).otherwise(0.0) + F.when(slashes >= 3, 0.1).otherwise(0.0) - F.when(slashes <= 1, 0.3).otherwise(0.0)
     no = F.col("excluded") | (F.size(page_rules.keywords(F.col("path"))) == 0)

@@ -156,3 +156,13 @@ def form_urls(action: Column, method: Column, base: Column) -> Column:
     post have none. The action's own parameters are taken to be none."""
     asked = F.transform(F.array(*[F.lit(p) for p in FORM_PARAMETERS]), lambda p: F.when(p == "", action).otherwise(F.concat(action, F.lit("?"), p)))
     return F.when(method == "GET", F.concat(catalog_urls(base), asked)).otherwise(F.array().cast("array<string>"))
+
+
+# What a search result must not lead to, and words of a title that speak of the trade.
+ELSEWHERE = ("duckduckgo.com", "facebook.com", "instagram.com", "twitter.com", "youtube.com", "google.com", "maps.google.com", "wikipedia.org")
+TITLE_WORDS = ("imobiliária", "imobiliaria", "imoveis", "imóveis", "corretor", "casas", "apartamentos", "venda", "aluguel", "propriedades", "terrenos", "lotes")
+
+
+def relevant(link: Column, title: Column) -> Column:
+    """Search results worth a visit: an address of its own, and a word of the trade in the title."""
+    return (link != "") & (title != "") & ~has_any(link, ELSEWHERE) & has_any(F.lower(title), TITLE_WORDS)

@@ -82,9 +82,9 @@ def format_price(spark, sf_dir):
     return views.listings(spark, sf_dir).select("id", listings.price_text(F.round("valor", 2)).alias("price"))
 
 
-@query(f"{L} SELECT id, array_to_string(range(greatest(1, id % 9 - 2), least(7, id % 9 + 2) + 1), ',') AS pages FROM l WHERE id % 9 BETWEEN 1 AND 7")
+@query(f"{L} SELECT id, array_to_string(range(greatest(1, id % 7 - 1), least(7, id % 7 + 3) + 1), ',') AS pages FROM l")
 def page_window(spark, sf_dir):
-    asked = views.listings(spark, sf_dir).withColumn("page", F.col("id") % 9).where("page between 1 and 7")
+    asked = views.listings(spark, sf_dir).withColumn("page", F.col("id") % 7 + 1)
     return asked.select("id", F.array_join(F.transform(listings.page_window(F.col("page"), F.lit(7)), lambda p: p.cast("string")), ",").alias("pages"))
 
 

@@ -88,7 +88,7 @@ def ref_path_pattern(spark, sf_dir):
     return found.select("id", "pattern", F.array_join(pages.required_parts(F.col("pattern")), ",").alias("parts"), F.array_join(pages.keywords(F.col("pattern")), ",").alias("words"))
 
 
-LEARNED = "n AS (SELECT pattern FROM r WHERE id % 4 = 0 GROUP BY pattern HAVING count(*) >= 2)"
+LEARNED = "n AS (SELECT pattern FROM r GROUP BY pattern HAVING count(*) >= 2)"
 PARTS = "string_split({0}, '/')"
 SAME = f"len(list_filter(list_zip({PARTS.format('r.pattern')}, {PARTS.format('n.pattern')}), lambda z: z[1] = z[2] OR contains(z[1], '{{') AND contains(z[2], '{{')))"
 SIMILAR = f"CASE WHEN r.pattern = n.pattern THEN 1.0 ELSE {SAME} / greatest(len({PARTS.format('r.pattern')}), len({PARTS.format('n.pattern')}))::DOUBLE END"
@@ -99,7 +99,7 @@ SIMILAR = f"CASE WHEN r.pattern = n.pattern THEN 1.0 ELSE {SAME} / greatest(len(
     ELSE best + 0.2 * regexp_matches(path, '/\\d+/?$')::INT + 0.1 * ({sql_count('path', '/')} >= 3)::INT - 0.3 * ({sql_count('path', '/')} <= 1)::INT END::DOUBLE AS confidence FROM b)""")
 def cls_ref_url(spark, sf_dir):
     found = views.page_texts(spark, sf_dir)
-    return learn.by_reference(found, learn.reference_patterns(found.where("id % 4 = 0")))
+    return learn.by_reference(found, learn.reference_patterns(found))
 
 
 @query(f"{R}, c AS (SELECT pattern, count(*) AS n FROM r GROUP BY pattern) SELECT pattern, n, n / (SELECT count(*) FROM r)::DOUBLE AS confidence FROM c WHERE n >= 2")

@@ -19,14 +19,19 @@ QUERIES, ORACLES, query = registry()
 SITE = "Supplier#000000001"
 
 
-@query("SELECT count(*) AS n FROM part")
+def _sites(found):
+    """The documents of a registry, a row for each site."""
+    return found.select("city", "region", F.explode("sites").alias("s")).select("city", "region", "s.url", "s.status", "s.balance")
+
+
+@query(views.LISTING_SQL)
 def scan_listings(spark, sf_dir):
-    return views.listings(spark, sf_dir).agg(F.count("*").alias("n"))
+    return views.listings(spark, sf_dir)
 
 
-@query(C + " SELECT city, region, count(*) AS sites FROM s GROUP BY ALL")
+@query(C + " SELECT city, region, url, status, balance FROM s")
 def scan_cities(spark, sf_dir):
-    return views.cities(spark, sf_dir).select("city", "region", F.size("sites").cast("long").alias("sites"))
+    return _sites(views.cities(spark, sf_dir))
 
 
 @query(C + " SELECT DISTINCT city FROM s WHERE city = 'BRAZIL' AND region = 'AMERICA'")
@@ -44,25 +49,25 @@ def sites_by_cities(spark, sf_dir):
     return cities.sites_active(cities.by_names(views.cities(spark, sf_dir), ["Brazil", "China"]))
 
 
-@query(C + " SELECT city, count(*) AS sites FROM s WHERE city <> 'BRAZIL' GROUP BY city")
+@query(C + " SELECT city, region, url, status, balance FROM s WHERE city <> 'BRAZIL'")
 def delete_city(spark, sf_dir):
-    return cities.without_city(views.cities(spark, sf_dir), "BRAZIL", "AMERICA").select("city", F.size("sites").cast("long").alias("sites"))
+    return _sites(cities.without_city(views.cities(spark, sf_dir), "BRAZIL", "AMERICA"))
 
 
-@query(C + " SELECT city, count(*) + (city = 'BRAZIL')::BIGINT AS total_sites, count(*) FILTER (status = 'active') + (city = 'BRAZIL')::BIGINT AS active_sites FROM s GROUP BY city")
+@query(C + " SELECT city, region, url, status, balance FROM s UNION ALL SELECT DISTINCT city, region, 'novo', 'active', 0 FROM s WHERE city = 'BRAZIL'")
 def site_add(spark, sf_dir):
     found = views.cities(spark, sf_dir)
     kind = found.schema["sites"].dataType.elementType["balance"].dataType
     site = F.struct(F.lit("novo").alias("url"), F.lit("active").alias("status"), F.lit(0).cast(kind).alias("balance"))
-    return cities.with_site(found, "BRAZIL", site).select("city", "total_sites", "active_sites")
+    return _sites(cities.with_site(found, "BRAZIL", site))
 
 
-@query(C + f" SELECT city, count(*) FILTER (url <> '{SITE}') AS total_sites, count(*) FILTER (url <> '{SITE}' AND status = 'active') AS active_sites FROM s GROUP BY city")
+@query(C + f" SELECT city, region, url, status, balance FROM s WHERE url <> '{SITE}'")
 def site_remove(spark, sf_dir):
     """Removed from each city: only one has it."""
     found = views.cities(spark, sf_dir)
     at = found.where(F.exists("sites", lambda s: s["url"] == SITE)).select("city").first()
-    return cities.without_site(found, at["city"] if at else "", SITE).select("city", "total_sites", "active_sites")
+    return _sites(cities.without_site(found, at["city"] if at else "", SITE))
 
 
 @query("SELECT s_name AS url, CASE WHEN n + e > 0 THEN n * 100.0::DOUBLE / (n + e) ELSE 0 END AS success_rate FROM (SELECT s_name, s_suppkey % 4 AS n, s_suppkey % 3 AS e FROM supplier)")
@@ -78,10 +83,10 @@ def sites_valid(spark, sf_dir):
     return cities.validated(sites).select("url", "valid", "new_status")
 
 
-@query("SELECT s_name AS url FROM supplier WHERE s_suppkey < 4")
+@query("SELECT s_name AS url FROM supplier")
 def crawl_seed_select(spark, sf_dir):
     """No city has the name: the fallback's urls."""
-    return cities.seeds(views.cities(spark, sf_dir), views.read(spark, sf_dir, "supplier").where("s_suppkey < 4").select(F.col("s_name").alias("url")), ["Atlantis"])
+    return cities.seeds(views.cities(spark, sf_dir), views.read(spark, sf_dir, "supplier").select(F.col("s_name").alias("url")), ["Atlantis"])
 
 
 @query(C + " SELECT city, count(*) FILTER (city <> 'BRAZIL' OR status = 'active') AS total_sites FROM s GROUP BY city")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hearthline.sources.shared import shared_folder
+
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
@@ -14,11 +15,7 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     """All rows that a stream makes of what is there, as a table. Files and offsets go to the folder in spark.checkpoint.dir.
     Batches without data are off meanwhile: operators with timeouts would ask for them for ever."""
     spark: SparkSession = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="hearthline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    place = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     spark.conf.set(EMPTY_BATCHES, "false")
     running = stream.writeStream.format("parquet").outputMode("append").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/offsets").trigger(availableNow=True).start()
     spark.conf.unset(EMPTY_BATCHES)
