@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,25 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return table
 
 
+def loaded(path: str) -> pa.Table:
+    """A small written table, read whole by a task."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, folder = fs.FileSystem.from_uri(path)
+    parts = []
+    for info in store.get_file_info(fs.FileSelector(folder)):
+        if info.base_name.endswith(".parquet"):
+            with store.open_input_file(info.path) as file:
+                parts.append(pq.ParquetFile(file).read())
+    return pa.concat_tables(parts)
+
+
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """A written table, to be broadcast if it is small enough by count, to be joined otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes written tables of which nothing will be read again."""
     for df in tables:

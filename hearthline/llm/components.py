@@ -23,12 +23,12 @@ def components(links: DataFrame) -> DataFrame:
         before = now
         # large star: the larger neighbours of a node go to its least neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = written(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
-        forget(edges, least)
+        forget(edges)
         # small star: a node and its smaller neighbours go to the least of them
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        forget(large, least)
+        forget(large)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

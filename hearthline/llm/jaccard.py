@@ -22,6 +22,7 @@ link with nothing and have a null component. Rows that share an id are one node.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hearthline.llm.common import forget, mixed, small_batches, text_or_empty, word_hashes, written
+from hearthline.llm.common import broadcast_up_to, forget, loaded, mixed, small_batches, text_or_empty, word_hashes, written
 from hearthline.llm.components import components
 
 SHINGLE = 5
@@ -159,8 +160,8 @@ def _sized(slim: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, task int, counts binary")
 
 
-def _frequencies(sized: DataFrame) -> Frequencies:
-    """The counters of all tasks, added up in levels of sixteen; one row of WIDTH counters reaches the driver."""
+def _frequencies(sized: DataFrame) -> str:
+    """Where the counters of all tasks lie, added up in levels of sixteen; they don't pass the driver."""
     parts = sized.where("counts is not null").select("task", "counts")
 
     def added(frame):
@@ -170,19 +171,24 @@ def _frequencies(sized: DataFrame) -> Frequencies:
         return frame.iloc[:1].assign(task=frame["group"].iloc[0], counts=[np.minimum(total, 2**31 - 1).astype("<i4").tobytes()])[["task", "counts"]]
 
     n = parts.count()
-    while n > 1:
+    while True:
         n = -(-n // 16)
-        parts = written(parts.withColumn("group", F.pmod("task", F.lit(n)).cast("int")).groupBy("group").applyInPandas(added, "task int, counts binary"), "counts")
-    row = parts.select("counts").first()
-    return Frequencies(np.frombuffer(row.counts, "<i4").astype(np.int64) if row else np.zeros(WIDTH, np.int64))
+        parts = written(parts.withColumn("group", F.pmod("task", F.lit(max(1, n))).cast("int")).groupBy("group").applyInPandas(added, "task int, counts binary"), "counts")
+        if n <= 1:
+            return parts.stored_at
 
 
-def _lists(slim: DataFrame, nodes: DataFrame, use: Frequencies) -> DataFrame:
+@lru_cache(maxsize=1)
+def _use(path: str) -> Frequencies:
+    rows = loaded(path).column("counts").to_pylist()
+    return Frequencies(np.frombuffer(rows[0], "<i4").astype(np.int64) if rows else np.zeros(WIDTH, np.int64))
+
+
+def _lists(slim: DataFrame, nodes: DataFrame, counters: str) -> DataFrame:
     """List entries of the nodes, of lists that have several: key, part, node, n, rest, and the part's head."""
-    shared = slim.sparkSession.sparkContext.broadcast(use)  # WIDTH counters, whatever the corpus
 
     def run(batches):
-        use = shared.value
+        use = _use(counters)  # WIDTH counters, whatever the corpus
         for batch in batches:
             keys, subsets, parts, n = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -197,13 +203,18 @@ def _lists(slim: DataFrame, nodes: DataFrame, use: Frequencies) -> DataFrame:
     entries = entries.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     flat = entries.select(F.col("doc_id").alias("node"), "n", "parts", F.size("keys").alias("first"), F.posexplode(F.concat("keys", "subsets")).alias("i", "key"))
     parts = F.coalesce(F.get("parts", F.col("i")), F.lit(1))
-    rest = F.when(F.col("i") < F.col("first"), F.col("n") - F.col("i")).otherwise(F.col("n"))
+    place = F.when(F.col("i") < F.col("first"), F.col("i")).otherwise(0)
     part = F.when(parts > 1, 1 + F.pmod(F.xxhash64("node"), parts.cast("long"))).otherwise(F.lit(0)).cast("int")
-    dealt = flat.select("key", part.alias("part"), "node", "n", rest.alias("rest"))
+    # few and narrow columns are shuffled: the place in the upper half, n in the lower
+    dealt = flat.select("key", part.alias("part"), "node", (F.shiftleft(place.cast("long"), 32) + F.col("n")).alias("at"))
     # the head of a list is the entry with the fewest rarer shingles before it: of copies, one that changed least
     one = Window.partitionBy("key", "part")
-    headed = dealt.select("*", F.min(F.struct((F.col("n") - F.col("rest")).alias("place"), "node", "n", "rest")).over(one).alias("head"), F.min("node").over(one).alias("low"), F.max("node").over(one).alias("high"))
-    return headed.where((F.col("low") < F.col("high")) | (F.col("part") > 0)).drop("low", "high")
+    headed = dealt.select("*", F.min(F.struct("at", "node")).over(one).alias("first"), F.min("node").over(one).alias("low"), F.max("node").over(one).alias("high"))
+    several = headed.where((F.col("low") < F.col("high")) | (F.col("part") > 0))
+    n = lambda at: at.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    rest = lambda at: (n(at) - F.shiftright(at, 32)).cast("int")
+    head = F.struct(F.shiftright("first.at", 32).alias("place"), F.col("first.node").alias("node"), n(F.col("first.at")).alias("n"), rest(F.col("first.at")).alias("rest"))
+    return several.select("key", "part", "node", n(F.col("at")).alias("n"), rest(F.col("at")).alias("rest"), head.alias("head"))
 
 
 def _close(a, b):
@@ -223,7 +234,7 @@ def _verified(pairs: DataFrame, slim: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach the threshold."""
     pairs = written(pairs.select("a", "b"), "pairs")
     wanted = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-    texts = slim.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "doc_id", "left_semi")
+    texts = slim.join(broadcast_up_to(wanted, BROADCAST_ROWS), "doc_id", "left_semi")
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -257,8 +268,7 @@ def links_and_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sized = written(_sized(slim), "sized")
     real = sized.where("n is not null").select("doc_id", "n", "k1", "k2")
     sets = written(real.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node")), "sets")
-    use = _frequencies(sized)
-    lists = written(_lists(slim.where("doc_id is not null"), sets, use), "lists")
+    lists = written(_lists(slim.where("doc_id is not null"), sets, _frequencies(sized)), "lists")
 
     entry = F.struct("node", "n", "rest")
     to_head = lambda rows: rows.where("head.node <> node").where(_close(F.col("head"), entry)).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
@@ -273,7 +283,7 @@ def links_and_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = written(_verified(best, slim).unionByName(shared_ids), "links")
     found = written(components(links), "components")
 
-    open_lists = lists.join(found, "node", "left").select("key", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
+    open_lists = lists.join(broadcast_up_to(found, BROADCAST_ROWS), "node", "left").select("key", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
     sizes = open_lists.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("several")).where("several > 1").select("key", F.col("top.component").alias("main"))
     members = written(open_lists.join(main, "key").withColumn("in_main", F.col("component") == F.col("main")).drop("main"), "members")
@@ -291,11 +301,12 @@ def links_and_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def _settled(pairs: DataFrame, links: DataFrame, found: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and components after the pairs (a, b, shared, of): first for each node of the smaller side the one, then the few
-    that it shares most lists with, then all pairs that are still apart."""
+    """Links and components after the pairs (a, b, shared, of): first for each node of the smaller side the few that it
+    shares most lists with, then all pairs that are still apart."""
     rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("shared"), "a", "b"))
-    for few in (1, FEW, None):
-        side = lambda column: found.select(F.col("node").alias(column), F.col("component").alias(f"of_{column}"))  # noqa: B023, E731
+    for few in (FEW, None):
+        of = broadcast_up_to(found, BROADCAST_ROWS)
+        side = lambda column: of.select(F.col("node").alias(column), F.col("component").alias(f"of_{column}"))  # noqa: B023, E731
         apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
         apart = written(apart.select("a", "b", "shared", "of"), "pairs")
         if few is None:

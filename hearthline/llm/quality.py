@@ -5,8 +5,8 @@ edges, each hashed into one of BUCKETS learned vectors. A document is the mean o
 squares, as the mean of a text that says one thing again and again stays long, whatever it says, and that of prose gets short.
 Training is stochastic gradient descent in numpy, one document at a time, on a bounded sample: of each label the max_per_label
 documents whose ids hash lowest (of rows that share an id, the one with the least text), both labels weighing the same; the bias
-then takes in how frequent each label is among all known ones. Executors count the sample's features, one task of an executor learns from
-these counts of at most 2 * max_per_label documents, and the driver sees the model only: BUCKETS * DIM floats.
+then takes in how frequent each label is among all known ones. Executors count the sample's features, one task learns from these counts of at
+most 2 * max_per_label documents, and the model, BUCKETS * DIM floats, goes to the shared folder, from where tasks load it.
 
 Whole texts are read, in parts of PART features at a time. A text without features scores as its bias says; null
 texts count as empty. Labels that are null are not learned from, of repeated labels the highest counts; where only one label
@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import small_batches, text_or_empty, word_hashes
+from hearthline.llm.common import loaded, small_batches, text_or_empty, word_hashes, written
 
 BUCKETS = 1 << 18
 NGRAMS = (2, 3, 4)
@@ -82,6 +83,9 @@ class Model:
         x = float(self.weights[:DIM] @ mean + self.weights[DIM:] @ (SQUARES * mean * mean)) + self.bias
         return 1 / (1 + math.exp(-min(max(x, -30.0), 30.0)))
 
+    def shifted(self, by: float) -> Model:
+        return replace(self, bias=self.bias + by)
+
     def to_bytes(self) -> bytes:
         return np.concatenate([self.weights.astype("<f4"), self.vectors.astype("<f4").ravel()]).tobytes()
 
@@ -91,6 +95,23 @@ class Model:
         return cls(numbers[2 * DIM :].reshape(BUCKETS, DIM), numbers[: 2 * DIM].astype(np.float64), bias)
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A learned model in the shared folder, which tasks load by themselves, and what its bias lacks; nothing known: path None."""
+
+    path: str | None
+    shift: float = 0.0
+
+    def load(self) -> Model:
+        return _loaded(self.path).shifted(self.shift)
+
+
+@lru_cache(maxsize=2)
+def _loaded(path: str | None) -> Model:
+    rows = loaded(path).to_pylist() if path else []
+    return Model.from_bytes(rows[0]["model"], rows[0]["bias"]) if rows else train([])
+
+
 def train(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate: float = 0.6, seed: int = 7) -> Model:
     """samples: distinct bucket numbers, their counts, label 0 or 1."""
     rng = np.random.default_rng(seed)
@@ -125,7 +146,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, ra
     return Model(vectors, np.concatenate([of_mean[1] - of_mean[0], of_squares[1] - of_squares[0]]).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = 1500, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = 1500, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Stored:
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(label_column).alias("label"))
     order = [F.xxhash64(id_column), F.col(id_column)]
@@ -158,19 +179,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = 1500, id_column
         model = train([(b, c, y) for _, y, b, c in rows])
         yield pa.RecordBatch.from_arrays([pa.array([model.to_bytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["model", "bias"])
 
-    row = counted.repartition(1).mapInArrow(learn, "model binary, bias double").first()  # one row of a fixed size
-    model = Model.from_bytes(row["model"], row["bias"]) if row else train([])
+    path = written(counted.repartition(1).mapInArrow(learn, "model binary, bias double"), "model").stored_at  # one row of a fixed size
     shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows at most
-    return replace(model, bias=model.bias + math.log(shares[1] / shares[0])) if len(shares) == 2 else model
+    return Stored(path, math.log(shares[1] / shares[0]) if len(shares) == 2 else 0.0)
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", out: str = "score", keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model | Stored, id_column: str = "doc_id", text_column: str = "text", out: str = "score", keep: tuple[str, ...] = ()) -> DataFrame:
     """The id, the columns of keep, and the score."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * DIM floats, whatever the corpus
 
     def run(batches):
-        use = shared.value
+        use = model.load() if isinstance(model, Stored) else model  # BUCKETS * DIM floats, whatever the corpus
         for batch in batches:
             scores = [use.score(t or "") for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (id_column, *keep)], pa.array(scores, pa.float64())], [id_column, *keep, out])
@@ -192,14 +211,13 @@ def scored(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Dat
     return found.select(id_column, F.coalesce(is_held_out(id_column), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def kept(docs: DataFrame, model: Model, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
+def kept(docs: DataFrame, model: Model | Stored, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose score reaches the threshold."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_column)
 
     def run(batches):
-        use = shared.value
+        use = model.load() if isinstance(model, Stored) else model
         for batch in batches:
             yield batch.filter(pa.array([use.score(t or "") >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
