@@ -59,6 +59,21 @@ PAGE = {
 PAGE_SQL = "SELECT id, url, title, raw, lower(raw) AS text FROM (SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in PAGE.items()) + " FROM part)"
 
 
+#: Pages of agencies, each of a listing that its markup or its text gives away.
+SITE = {
+    "page_id": "p_partkey",
+    "url": "concat('https://site', cast(p_partkey % 7 as varchar), '.com.br/imovel/', cast(p_partkey as varchar))",
+    "html": """concat('<html><head><title>Imobiliária</title><meta name="description" content="Imóveis"></head><body><nav><a href="/venda">Venda</a><a href="/contato">Contato</a></nav><h1>Oferta especial</h1>',
+ case p_partkey % 3 when 0 then concat('<div class="endereco"> Rua ', p_brand, ', ', cast(p_size as varchar), '</div>') when 1 then concat('<p>Fica na Rua ', p_brand, ', ', cast(p_size as varchar), '.</p>') else '' end,
+ case p_partkey % 2 when 0 then concat('<span class="preco">R$ ', cast(cast(floor(p_retailprice) as bigint) % 900 + 100 as varchar), '.000,00</span>') else concat('<p>Por R$ ', cast(cast(floor(p_retailprice) as bigint) % 900 + 100 as varchar), '.000,00 apenas</p>') end,
+ case when p_partkey % 5 < 4 then concat('<div class="descricao">', case p_size % 3 when 0 then 'Casa' when 1 then 'Apartamento' else 'Terreno' end, ' com ', cast(p_size % 6 as varchar), ' quartos e ', cast(p_size % 4 as varchar), ' banheiros, ', cast(p_size * 3 as varchar), ' m². Ótima localização.</div>')
+  else concat('<p>', case p_size % 3 when 0 then 'Casa' when 1 then 'Apartamento' else 'Terreno' end, ' com ', cast(p_size % 6 as varchar), ' quartos, sala ampla.</p>') end,
+ '<ul class="caracteristicas"><li>Piscina grande</li><li>ok</li></ul><div class="property-card"><a href="/imovel/', cast(p_partkey + 1 as varchar), '">Ver</a></div>',
+ '<div class="pagination"><a href="/lista?page=2">2</a><a href="/x">abc</a></div><form action="/busca"><input name="cidade"><input name="tipo"><button>Buscar</button></form></body></html>')""",
+}
+SITE_SQL = "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in SITE.items()) + " FROM part"
+
+
 def _viewed(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
     return read(spark, sf_dir, "part").selectExpr(*[f"{sql.replace('as varchar', 'as string')} AS {name}" for name, sql in columns.items()])
 
@@ -71,6 +86,10 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _viewed(spark, sf_dir, PAGE).withColumn("text", F.lower("raw"))
 
 
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _viewed(spark, sf_dir, SITE)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
