@@ -28,7 +28,7 @@ DESCRIPTION = (
 FEATURE_ITEMS = ".caracteristicas li, .amenities li, .features li"
 ADDRESS_PATTERNS = (
     r"R(?:ua|\.)\s+[^,\n]+,\s*\d+", r"Av(?:enida|\.)\s+[^,\n]+,\s*\d+", r"Pra(?:ça|\.)\s+[^,\n]+,\s*\d+", r"Est(?:rada|\.)\s+[^,\n]+,\s*\d+",
-    r"Rod(?:ovia|\.)\s+[^,\n]+,\s*\d+", r"[A-Z][^,\n]+ - [A-Z]{2}",
+    r"Rod(?:ovia|\.)\s+[^,\n]+,\s*\d+", r"(?<![^,\n])[^A-Za-z,\n]*+[A-Z][^,\n]+ - [A-Z]{2}",
 )
 PRICE_PATTERNS = (r"R\$\s*[\d.,]+(?:\s*mil)?(?:\s*milhões?)?", r"(?:valor|preço|por)\s*:?\s*R\$\s*[\d.,]+", r"R\$\s*\d{1,3}(?:\.\d{3})*(?:,\d{2})?", r"\d{1,3}(?:\.\d{3})*(?:,\d{2})?\s*reais?")
 GENERIC = {
@@ -104,7 +104,9 @@ def _first_pattern(value: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def address_in(value: Column) -> Column:
-    return listings.squeezed(_first_pattern(value, ADDRESS_PATTERNS))
+    """The last pattern, a city and its state, is looked for from the first letter behind a comma or line break only: a match from any
+    letter after it would be part of that from the first, and looking from each takes the square of the text's length."""
+    return listings.squeezed(F.regexp_replace(_first_pattern(value, ADDRESS_PATTERNS), r"\A[^\p{L}]+", ""))
 
 
 def price_in(value: Column) -> Column:

@@ -43,7 +43,7 @@ KEYWORDS = (
 )
 CATALOG_TEXT = ("imóveis", "resultados", "encontrados", "buscar", "filtrar", "ordenar", "página", "próxima", "anterior", "listagem", "catálogo", "pesquisa", "busca", "filtros")
 PROPERTY_TEXT = ("detalhes", "descrição", "características", "localização", "galeria", "fotos", "contato", "agendar", "visita", "proprietário", "corretor", "exclusivo")
-PHONE, EMAIL = r"\(\d{2}\)\s*\d{4,5}-?\d{4}", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+PHONE, EMAIL = r"\(\d{2}\)\s*\d{4,5}-?\d{4}", r"(?<![a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 #: Numbers and flags of a reference page that a host's pattern keeps.
 NUMBERS = ("text_length", "title_length", "price_count", "phone_count", "email_count", "property_keywords")
 FLAGS = ("has_gallery", "has_contact_form", "has_pagination", "has_filters")

@@ -308,7 +308,9 @@ def links_all(spark, sf_dir):
     return frontier.links(views.read(spark, sf_dir, "pages"))
 
 
-@query()
+@query("""WITH e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+  one AS (SELECT DISTINCT dst FROM e WHERE src = 1 AND dst <> 1), two AS (SELECT DISTINCT e.dst FROM e JOIN one ON e.src = one.dst WHERE e.dst <> 1 AND e.dst NOT IN (SELECT dst FROM one))
+  SELECT 1::BIGINT AS node, 0 AS depth UNION ALL SELECT dst, 1 FROM one UNION ALL SELECT dst, 2 FROM two""")
 def frontier_bfs(spark, sf_dir):
     """Parts reachable from part 1 over parts that share an order, two steps deep."""
     lines = views.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
