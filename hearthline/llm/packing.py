@@ -7,8 +7,8 @@ or one for two with another sequence, always so that the other one grows; the su
 step, so the search ends, and sequences that become empty go. It stops at once where a shard has as few sequences as its
 tokens need.
 
-Null texts count as empty (their one token is the end mark). Repeated rows are packed each on its own. Ties are broken by
-row order. Other columns are ignored. An empty table gives an empty result.
+Null texts count as empty (their one token is the end mark), null ids are packed like others. Very long texts are cut into as
+many pieces as they need. Repeated rows are packed each on its own. Ties are broken by row order. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Fewer bins where moves and exchanges empty underfull ones (those with more than UNDERFULL of the capacity free), the
-    emptiest first; it ends once no step out of any is left, or where all bins together need as many as there are."""
+    emptiest first, in rounds over all of them; it ends once a round finds no step out of any, or where all bins together need as many
+    as there are."""
     bins = [b for b in bins if b]
     size = np.array(lengths, np.int64)
     at = np.zeros(len(size), np.int64)
@@ -61,11 +62,15 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
         at[members] = k
     room = np.array([capacity - sum(lengths[i] for i in b) for b in bins], np.int64)
     alive = np.ones(len(bins), bool)
-    least, given_up = -(-int(size.sum()) // capacity), set()
+    least, given_up, moved = -(-int(size.sum()) // capacity), set(), False
     while alive.sum() > least:
         sources = [k for k in np.flatnonzero(alive & (room > UNDERFULL * capacity)).tolist() if k not in given_up]
         if not sources:
-            break
+            if not moved:
+                break
+            given_up.clear()  # what was moved since may have opened a step
+            moved = False
+            continue
         source = max(sources, key=lambda k: (room[k], -k))
         step = _step(size, at, np.where(alive & (room <= room[source]), room, 0), source)
         if step is None:
@@ -77,7 +82,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
         room[target] -= gain
         room[source] += gain
         alive[source] = room[source] < capacity
-        given_up.clear()
+        moved = True
     order = np.argsort(at, kind="stable")
     parts = np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []
     return [p.tolist() for p in parts]
@@ -114,20 +119,27 @@ def _step(size: np.ndarray, at: np.ndarray, room: np.ndarray, source: int) -> tu
         if (total := int(size[give].sum())) not in tried and (step := swapped(give)):
             return step
         tried.add(total)
-    by_bin = others[np.argsort(at[others], kind="stable")]
-    for members in np.split(by_bin, np.flatnonzero(np.diff(at[by_bin])) + 1):
-        if len(members) < 2:
-            continue
-        left, right = np.triu_indices(len(members), 1)
-        pairs, limit = size[members][left] + size[members][right], int(room[at[members[0]]])
-        for i in mine:
-            fits = np.flatnonzero((pairs < size[i]) & (size[i] <= pairs + limit))
-            if len(fits):
-                j = fits[np.argmin(pairs[fits])]
-                return int(at[members[0]]), [i], [int(members[left[j]]), int(members[right[j]])]
+    left, right = _pairs(at, others)
+    pairs, limit = size[left] + size[right], room[at[left]]
+    for i in mine:
+        fits = np.flatnonzero((pairs < size[i]) & (size[i] <= pairs + limit))
+        if len(fits):
+            j = fits[np.argmin(pairs[fits])]
+            return int(at[left[j]]), [i], [int(left[j]), int(right[j])]
     return None
 
 
+def _pairs(at: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of members of one bin, bin after bin."""
+    by_bin = members[np.argsort(at[members], kind="stable")]
+    bins = at[by_bin]
+    end = np.searchsorted(bins, bins, side="right")
+    after = end - np.arange(len(by_bin)) - 1  # how many of its bin come after each
+    left = np.repeat(np.arange(len(by_bin)), after)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+    return by_bin[left], by_bin[right]
+
+
 def pieces(docs: DataFrame, vocabulary: str, max_tokens: int, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False) -> DataFrame:
     """Per piece of a document: the id, piece, start, length, ids_crc32, with keep_ids the ids."""
     small_batches(docs.sparkSession)
