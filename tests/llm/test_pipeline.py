@@ -1,8 +1,13 @@
+import os
 import random
+import re
+import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
+sys.path.insert(0, os.path.dirname(__file__))
 
 import corpus_pipeline as P  # noqa: E402
 from hearthline.llm.common import written  # noqa: E402
@@ -53,3 +58,68 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(ids)
     whole = P.run(spark, str(tmp_path)).collect()
     assert sorted((str(r.doc_id), r.piece, r.ids_crc32) for r in whole) == sorted((str(r.doc_id), r.piece, r.ids_crc32) for r in packed)
+
+
+def sets_of(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    if not words:
+        return frozenset()
+    return frozenset([tuple(words)] if len(words) < 5 else [tuple(words[i : i + 5]) for i in range(len(words) - 4)])
+
+
+def test_against_brute_force(spark, tmp_path):
+    """Every stage by plain Python on what the stage before kept: scores one by one, all pairs of sets, the secrets' patterns, and the
+    pieces of each document; with null ids and texts, empty and long texts, repeated rows and an extra column."""
+    from tokenizers import Tokenizer
+
+    import test_secrets as plain
+    from hearthline.llm import quality
+    from hearthline.llm.queries import tokenizer_file
+
+    rng = random.Random(7)
+    rows, labels = corpus(rng)
+    rows = rows[:240] + rows[-2:] + [rows[3], (901, "", "en", "s", 0), (902, "long " + " ".join(rng.choice(["an", "or", "the"]) + str(i) for i in range(6000)), "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).withColumn("rows", F.lit(1)).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).load()
+    kept = [r for r in rows if model.score(r[1] or "") >= 0.5]
+    found = {}
+    for r in kept:
+        if r[0] is not None:
+            found.setdefault(r[0], r)
+    ids, sets = sorted(found), {i: sets_of(found[i][1]) for i in found}
+    least = {i: i for i in ids}
+    for _ in ids:  # least reachable id, by passing it on along links
+        before = dict(least)
+        for i in ids:
+            for j in ids:
+                if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    least[i] = min(least[i], least[j])
+        if before == least:
+            break
+    single = [found[i] for i in ids if least[i] == i] + [r for r in kept if r[0] is None]
+    tokenizer = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    want = []
+    for r in single:
+        text, at, out = r[1] or "", 0, ""
+        for _, start, end in plain.everything(text):
+            if start >= at:
+                out += text[at:start] + "[SECRET]"
+            at = max(at, end)
+        n = len(tokenizer.encode(out + text[at:], add_special_tokens=False).ids) + 1
+        want += [(str(r[0]), k, min(2048, n - 2048 * k)) for k in range(-(-n // 2048))]
+    packed = P.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.piece, r.length) for r in packed) == sorted(want)
+    filled = {}
+    for r in packed:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in filled.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+
+
+def test_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
