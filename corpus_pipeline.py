@@ -50,7 +50,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL can express neither the learned classifier nor the tokenizer; tests compare the stages with brute force.
+#: SQL can express neither the learned classifier nor the tokenizer; tests/llm/test_pipeline.py compares run() with brute force on a small fixture.
 ORACLE_SQL = None
 
 QUERIES = {"pipeline": run}
