@@ -62,19 +62,23 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
         at[members] = k
     room = np.array([capacity - sum(lengths[i] for i in b) for b in bins], np.int64)
     alive = np.ones(len(bins), bool)
-    least, given_up, moved = -(-int(size.sum()) // capacity), set(), False
+    least, given_up, moved = -(-int(size.sum()) // capacity), np.zeros(len(bins), bool), False
+    failed: set[bytes] = set()  # contents of bins out of which this round found no step: what is alike fares alike
     while alive.sum() > least:
-        sources = [k for k in np.flatnonzero(alive & (room > UNDERFULL * capacity)).tolist() if k not in given_up]
-        if not sources:
+        sources = np.where(alive & ~given_up, room, 0)
+        source = int(sources.argmax())
+        if sources[source] <= UNDERFULL * capacity:
             if not moved:
                 break
-            given_up.clear()  # what was moved since may have opened a step
+            given_up[:] = False  # what was moved since may have opened a step
+            failed.clear()
             moved = False
             continue
-        source = max(sources, key=lambda k: (room[k], -k))
-        step = _step(size, at, np.where(alive & (room <= room[source]), room, 0), source)
+        contents = np.sort(size[at == source]).tobytes()
+        step = None if contents in failed else _step(size, at, np.where(alive & (room <= room[source]), room, 0), source)
         if step is None:
-            given_up.add(source)
+            given_up[source] = True
+            failed.add(contents)
             continue
         target, out, back = step
         gain = int(size[out].sum() - size[back].sum())
