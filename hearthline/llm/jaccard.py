@@ -344,8 +344,9 @@ def clustered(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs whose id is the least of their component, one row for each id; rows with null ids stay."""
     found = written(clustered(docs, id_column, text_column), "clustered")
-    ids = written(found.where(F.col(id_column) == F.col("component_id")).groupBy(id_column).agg(F.count("*").alias("rows")), "kept")
-    stay = docs.join(ids.select(F.col(id_column).cast(docs.schema[id_column].dataType)), id_column, "left_semi")
-    if not ids.where("rows > 1").isEmpty():
+    same = F.col(id_column) == F.col("component_id")
+    gone = written(found.where(~same).select(F.col(id_column).cast(docs.schema[id_column].dataType)).distinct(), "gone")  # fewer than stay
+    stay = docs.where(F.col(id_column).isNotNull()).join(broadcast_up_to(gone, BROADCAST_ROWS), id_column, "left_anti")
+    if not found.where(same).groupBy(id_column).agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
         stay = stay.dropDuplicates([id_column])
     return stay.select(*docs.columns).unionByName(docs.where(F.col(id_column).isNull()))
