@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from hearthline import api
 from hearthline.functions import extract, hashing, text, urls
 from hearthline.operators import jobs, links, registry as cities, replies, search, state
 from hearthline.plans.base import registry
@@ -294,3 +295,29 @@ def selector_map(spark, sf_dir):
     pages = views.read(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url")).alias("host"))
     known = pages.where(F.col("url").contains("1")).select("host", F.lit(".price").alias("selector")).distinct()
     return pages.select("page_id", "host").join(known, "host", "left")
+
+
+@query(C + " SELECT count(DISTINCT city) AS cities, count(*)::BIGINT AS sites, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status <> 'active') AS inactive FROM s WHERE city <> 'BRAZIL'")
+def api_city_delete(spark, sf_dir):
+    return api.statistics(api.delete_city(views.cities(spark, sf_dir), "BRAZIL", "AMERICA", confirm=True))
+
+
+@query(C + " SELECT city, url FROM s WHERE status = 'active' AND city IN ('CHINA', 'FRANCE', 'BRAZIL')")
+def api_city_sites(spark, sf_dir):
+    return api.sites(views.cities(spark, sf_dir), ["China", "France", "Brazil"])
+
+
+@query(f"{L}, {U.removeprefix('WITH ')} SELECT 'listings' AS what, 0::BIGINT AS n UNION ALL SELECT 'urls', count(*) FROM log")
+def api_cleanup(spark, sf_dir):
+    left, log, _ = api.cleanup(views.listings(spark, sf_dir), views.processed_urls(spark, sf_dir), properties=True)
+    count = lambda df, what: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+    return count(left, "listings").unionByName(count(log, "urls"))
+
+
+@query("SELECT 'property' AS kind, concat('/imovel/', p_size) AS pattern, count(*) AS n, least(count(*) / 10.0, 1)::DOUBLE AS confidence FROM part GROUP BY p_size HAVING count(*) >= 2")
+def api_learn(spark, sf_dir):
+    """Learned, exported, imported: of the patterns, the paths as they are."""
+    size = F.col("p_size").cast("string")
+    examples = views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("https://a.com/imovel/"), size).alias("url"), F.lit("property").alias("kind"))
+    path = api.export_patterns(api.learn_urls(examples), f"{shared_folder(spark)}/learned-{uuid.uuid4().hex}")
+    return api.import_patterns(spark, path).where(F.col("pattern").rlike(r"\A/imovel/\d+\z"))

@@ -143,3 +143,15 @@ def test_folds_keep_order(spark):
     row = training.folded(examples, "host").first()
     assert (row.n, row.text_length, row.has_gallery) == (3, ((10 + 5) // 2 + 8) // 2, True)
     assert training.selectors_by(examples, "host").first().selectors == {"price": [".a", ".b", ".c"]}
+
+
+def test_requests_that_are_refused(spark):
+    from hearthline import api
+
+    rows = make(spark, {"id": "a", "descricao": "casa", "valor": 5000.0})
+    page, totals = api.find(rows, q="casa")
+    assert [r.id for r in page.collect()] == ["a"] and totals.first().total == 1
+    for bad in (lambda: api.find(rows, q="x" * 201), lambda: api.find(rows, number=1001), lambda: api.find(rows, valor_min=5, valor_max=1), lambda: api.cleanup(rows, rows), lambda: api.delete_city(rows, "a"), lambda: api.city(rows, ""), lambda: api.forget_visits(rows, F.current_timestamp(), 0)):
+        with pytest.raises(ValueError):
+            bad()
+    assert api.cleanup(rows, rows, everything=True)[2].startswith("Banco de dados completamente limpo")
