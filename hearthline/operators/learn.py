@@ -81,9 +81,12 @@ def by_url_patterns(pages: DataFrame, learned: DataFrame) -> DataFrame:
     path = urls.path(F.col("url"))
     parts = F.split(path, "/")
     parent = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
-    begins = F.transform(F.sequence(F.lit(0), F.length(path)), lambda n: F.concat(F.substring(path, F.lit(1), n), F.lit("/*")))
+    # what patterns with a star begin with ends within the second part: general_forms makes no others
+    second, before = F.coalesce(F.get(parts, F.lit(2)), F.lit("")), F.concat(F.array_join(F.slice(parts, 1, 2), "/"), F.lit("/"))
+    begins = F.transform(F.sequence(F.lit(0), F.length(second)), lambda n: F.concat(before, F.substring(second, F.lit(1), n), F.lit("/*")))
+    begins = F.when(F.size(parts) > 2, begins).otherwise(F.array().cast("array<string>"))
     exact = F.array_compact(F.array(path, urls.shape(path), F.when(F.element_at(parts, -1).rlike(r"^\d+\z"), F.concat(parent, F.lit("/{id}")))))
-    named = pages.select("id", F.explode(F.array_distinct(F.concat(F.filter(F.concat(exact, begins), lambda p: p.contains("/")), query_uses(urls.query(F.col("url")))))).alias("pattern"))
+    named = pages.select("id", F.explode_outer(F.array_distinct(F.concat(F.filter(F.concat(exact, begins), lambda p: p.contains("/")), query_uses(urls.query(F.col("url")))))).alias("pattern"))
     worth = F.when(F.col("pattern").contains("/"), F.col("confidence")).otherwise(0.8 * F.col("confidence"))
     of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, worth)), F.lit(0.0)).alias(kind)
     scores = named.join(learned.select("kind", "pattern", "confidence"), "pattern", "left").groupBy("id").agg(of("catalog"), of("property"))

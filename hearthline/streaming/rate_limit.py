@@ -3,28 +3,32 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def allowed(times: list[int], most: int, window: int) -> list[bool]:
-    out, start, count = [], None, 0
-    for t in times:
-        if start is None or t - start > window:
-            start, count = t, 0
-        out.append(count < most)
-        count += count < most
-    return out
-
-
 def limited(requests: DataFrame, most: int, window_seconds: int) -> DataFrame:
-    """requests: client, at (epoch microseconds), seq. Adds allowed. One client's requests are decided in order in one task."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "seq"])
-        return frame.assign(allowed=allowed(frame["at"].tolist(), most, window_seconds * 1_000_000))
-
-    return requests.groupBy("client").applyInPandas(run, "client long, at long, seq long, allowed boolean")
+    """requests: client, at (epoch microseconds), seq. Adds allowed. One client's requests are decided in order in one task, which reads
+    them as they come and keeps the open window only, however many there are. A null client counts as one; an empty table gives no
+    rows; requests of one moment go by seq."""
+    window = window_seconds * 1_000_000
+    dealt = requests.select("client", "at", "seq").repartition("client").sortWithinPartitions("client", "at", "seq")
+
+    def run(batches):
+        now, start, count, begun = None, None, 0, False
+        for batch in batches:
+            out = []
+            for client, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not begun or client != now:
+                    now, start, begun = client, None, True
+                if start is None or t - start > window:
+                    start, count = t, 0
+                out.append(count < most)
+                count += count < most
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], ["client", "at", "seq", "allowed"])
+
+    return dealt.mapInArrow(run, "client long, at long, seq long, allowed boolean")
 
 
 def limited_stream(requests: DataFrame, most: int, window_seconds: int) -> DataFrame:

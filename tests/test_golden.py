@@ -155,3 +155,13 @@ def test_requests_that_are_refused(spark):
         with pytest.raises(ValueError):
             bad()
     assert api.cleanup(rows, rows, everything=True)[2].startswith("Banco de dados completamente limpo")
+
+
+def test_rate_limit_at_its_bounds(spark):
+    from hearthline.streaming import rate_limit
+
+    rows = [(1, 0, 1), (1, 0, 2), (1, 10_000_000, 3), (1, 10_000_001, 4), (2, 5, 5), (None, 7, 6), (None, 8, 7), (None, 9, 8)]
+    requests = spark.createDataFrame(rows, "client long, at long, seq long").repartition(3)
+    got = {r.seq: r.allowed for r in rate_limit.limited(requests, 2, 10).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: True, 8: False}
+    assert rate_limit.limited(requests.limit(0), 2, 10).count() == 0
