@@ -59,9 +59,9 @@ def page_by_price(spark, sf_dir):
     return search.page(views.listings(spark, sf_dir), search.SearchFilter(), 3, 10).select("id")
 
 
-@query(C + " SELECT city, url FROM s WHERE status = 'active' AND city = 'BRAZIL'")
+@query(C + " SELECT city, url FROM s WHERE status = 'active' AND city = 'NATION_1'")
 def sites_by_city(spark, sf_dir):
-    return cities.sites_active(cities.by_key(views.cities(spark, sf_dir), "BRAZIL", "AMERICA"))
+    return cities.sites_active(cities.by_key(views.cities(spark, sf_dir), "NATION_1", "AMERICA"))
 
 
 @query(C + " SELECT city, count(*) FILTER (status = 'active') AS active_sites, count(*) FILTER (status = 'active') > 0 AS has_active, bool_or(url = 'Supplier#000000001') AS has_site FROM s GROUP BY city")
@@ -297,14 +297,14 @@ def selector_map(spark, sf_dir):
     return pages.select("page_id", "host").join(known, "host", "left")
 
 
-@query(C + " SELECT count(DISTINCT city) AS cities, count(*)::BIGINT AS sites, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status <> 'active') AS inactive FROM s WHERE city <> 'BRAZIL'")
+@query(C + " SELECT count(DISTINCT city) AS cities, count(*)::BIGINT AS sites, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status <> 'active') AS inactive FROM s WHERE city <> 'NATION_1'")
 def api_city_delete(spark, sf_dir):
-    return api.statistics(api.delete_city(views.cities(spark, sf_dir), "BRAZIL", "AMERICA", confirm=True))
+    return api.statistics(api.delete_city(views.cities(spark, sf_dir), "NATION_1", "AMERICA", confirm=True))
 
 
-@query(C + " SELECT city, url FROM s WHERE status = 'active' AND city IN ('CHINA', 'FRANCE', 'BRAZIL')")
+@query(C + " SELECT city, url FROM s WHERE status = 'active' AND city IN ('NATION_2', 'NATION_3', 'NATION_1')")
 def api_city_sites(spark, sf_dir):
-    return api.sites(views.cities(spark, sf_dir), ["China", "France", "Brazil"])
+    return api.sites(views.cities(spark, sf_dir), ["Nation_2", "Nation_3", "Nation_1"])
 
 
 @query(f"{L}, {U.removeprefix('WITH ')} SELECT 'listings' AS what, 0::BIGINT AS n UNION ALL SELECT 'urls', count(*) FROM log")

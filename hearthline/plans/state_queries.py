@@ -34,32 +34,32 @@ def scan_cities(spark, sf_dir):
     return _sites(views.cities(spark, sf_dir))
 
 
-@query(C + " SELECT DISTINCT city FROM s WHERE city = 'BRAZIL' AND region = 'AMERICA'")
+@query(C + " SELECT DISTINCT city FROM s WHERE city = 'NATION_1' AND region = 'AMERICA'")
 def city_by_key(spark, sf_dir):
-    return cities.by_key(views.cities(spark, sf_dir), "BRAZIL", "america").select("city")
+    return cities.by_key(views.cities(spark, sf_dir), "NATION_1", "america").select("city")
 
 
-@query(C + " SELECT DISTINCT city FROM s WHERE regexp_matches(city, '(?i)^(brazil|ira.)$')")
+@query(C + " SELECT DISTINCT city FROM s WHERE regexp_matches(city, '(?i)^(nation_1|nation_2.)$')")
 def city_by_names(spark, sf_dir):
-    return cities.by_names(views.cities(spark, sf_dir), ["brazil", "ira."]).select("city")
+    return cities.by_names(views.cities(spark, sf_dir), ["nation_1", "nation_2."]).select("city")
 
 
-@query(C + " SELECT city, url FROM s WHERE status = 'active' AND city IN ('BRAZIL', 'CHINA')")
+@query(C + " SELECT city, url FROM s WHERE status = 'active' AND city IN ('NATION_1', 'NATION_2')")
 def sites_by_cities(spark, sf_dir):
-    return cities.sites_active(cities.by_names(views.cities(spark, sf_dir), ["Brazil", "China"]))
+    return cities.sites_active(cities.by_names(views.cities(spark, sf_dir), ["Nation_1", "Nation_2"]))
 
 
-@query(C + " SELECT city, region, url, status, balance FROM s WHERE city <> 'BRAZIL'")
+@query(C + " SELECT city, region, url, status, balance FROM s WHERE city <> 'NATION_1'")
 def delete_city(spark, sf_dir):
-    return _sites(cities.without_city(views.cities(spark, sf_dir), "BRAZIL", "AMERICA"))
+    return _sites(cities.without_city(views.cities(spark, sf_dir), "NATION_1", "AMERICA"))
 
 
-@query(C + " SELECT city, region, url, status, balance FROM s UNION ALL SELECT DISTINCT city, region, 'novo', 'active', 0 FROM s WHERE city = 'BRAZIL'")
+@query(C + " SELECT city, region, url, status, balance FROM s UNION ALL SELECT DISTINCT city, region, 'novo', 'active', 0 FROM s WHERE city = 'NATION_1'")
 def site_add(spark, sf_dir):
     found = views.cities(spark, sf_dir)
     kind = found.schema["sites"].dataType.elementType["balance"].dataType
     site = F.struct(F.lit("novo").alias("url"), F.lit("active").alias("status"), F.lit(0).cast(kind).alias("balance"))
-    return _sites(cities.with_site(found, "BRAZIL", site))
+    return _sites(cities.with_site(found, "NATION_1", site))
 
 
 @query(C + f" SELECT city, region, url, status, balance FROM s WHERE url <> '{SITE}'")
@@ -89,10 +89,10 @@ def crawl_seed_select(spark, sf_dir):
     return cities.seeds(views.cities(spark, sf_dir), views.read(spark, sf_dir, "supplier").select(F.col("s_name").alias("url")), ["Atlantis"])
 
 
-@query(C + " SELECT city, count(*) FILTER (city <> 'BRAZIL' OR status = 'active') AS total_sites FROM s GROUP BY city")
+@query(C + " SELECT city, count(*) FILTER (city <> 'NATION_1' OR status = 'active') AS total_sites FROM s GROUP BY city")
 def upsert_city(spark, sf_dir):
     found = views.cities(spark, sf_dir)
-    changed = found.where("city = 'BRAZIL'").withColumn("sites", cities.active(F.col("sites")))
+    changed = found.where("city = 'NATION_1'").withColumn("sites", cities.active(F.col("sites")))
     return cities.upserted(found, changed).select("city", "total_sites")
 
 
