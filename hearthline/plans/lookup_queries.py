@@ -11,7 +11,7 @@ from hearthline.functions import extract, hashing, text, urls
 from hearthline.operators import jobs, links, registry as cities, replies, search, state
 from hearthline.plans.base import registry
 from hearthline.plans.state_queries import PRINTS, SITE
-from hearthline.queries import AS_OF, C, L, NORM, U
+from hearthline.queries import AS_OF, C, L, U
 from hearthline.sources import files, views
 from hearthline.sources.shared import shared_folder
 
