@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import bm25, byte_bpe, html_text, jaccard, licenses, packing, quality, secrets, sentence_pieces, token_store, vectors
+from hearthline.llm import alignment, bm25, byte_bpe, html_text, jaccard, licenses, packing, quality, secrets, sentence_pieces, token_store, vectors
 from hearthline.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.clustered(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bm25": op9_bm25,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_alignment": op11_alignment,
     "op12_sentence_pieces": op12_sentence_pieces,
 }
 #: At the scale of the oracle's tables all pairs of a label can be compared, and reached vectors listed, in SQL.
