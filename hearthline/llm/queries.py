@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import alignment, bm25, byte_bpe, html_text, jaccard, licenses, packing, quality, secrets, sentence_pieces, token_store, vectors
+from hearthline.llm import alignment, bm25, byte_bpe, html_text, jaccard, licenses, packing, quality, secrets, sentence_pieces, spellings, token_store, vectors
 from hearthline.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -82,6 +86,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_alignment": op11_alignment,
     "op12_sentence_pieces": op12_sentence_pieces,
+    "op13_spellings": op13_spellings,
 }
 #: At the scale of the oracle's tables all pairs of a label can be compared, and reached vectors listed, in SQL.
 OP6_SQL = """

@@ -36,7 +36,7 @@ def brute_force(texts):
             docs.append(([], [], [], Counter()))
             continue
         ends_a, ends_b = np.cumsum([len(t) for t in left]), np.cumsum([len(t) for t in right])
-        both = sorted(set(ends_a) & set(ends_b))
+        both = np.intersect1d(ends_a, ends_b)
         groups = defaultdict(lambda: ([], []))
         for side, (ids, ends) in enumerate(((x, ends_a), (y, ends_b))):
             for i, end in zip(ids, ends, strict=True):
