@@ -12,7 +12,7 @@ from hearthline.operators import jobs, links, registry as cities, replies, searc
 from hearthline.plans.base import registry
 from hearthline.plans.state_queries import PRINTS, SITE
 from hearthline.queries import AS_OF, C, L, U
-from hearthline.sources import files, views
+from hearthline.sources import archive, files, views
 from hearthline.sources.shared import shared_folder
 
 QUERIES, ORACLES, query = registry()
@@ -260,7 +260,23 @@ QUERIES["export_patterns"], ORACLES["export_patterns"] = src_patterns_json, ORAC
 
 @query("SELECT page_id, url, html FROM pages")
 def src_pages(spark, sf_dir):
-    return files.supplied(views.read(spark, sf_dir, "pages"), files.PAGES)
+    """An archive of the pages is written and read through its data source."""
+    path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    archive.write(files.supplied(views.read(spark, sf_dir, "pages"), files.PAGES), path)
+    return files.supplied(archive.read(spark, path), files.PAGES)
+
+
+HOST_SQL = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
+
+
+@query(f"WITH h AS (SELECT page_id, {HOST_SQL} AS host FROM pages) SELECT host, page_id FROM h WHERE host IN (SELECT min(host) FROM h UNION ALL SELECT max(host) FROM h)")
+def src_pages_of_hosts(spark, sf_dir):
+    """Of an archive only what holds two hosts is read, and no page is decoded."""
+    path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    pages = views.read(spark, sf_dir, "pages")
+    archive.write(pages, path)
+    asked = pages.agg(F.min(urls.host(F.col("url"))), F.max(urls.host(F.col("url")))).first()
+    return archive.read(spark, path, ("page_id", "host")).where(F.col("host").isin(*asked))
 
 
 @query(f"{L} SELECT md5(descricao) AS key, concat('{{\"quartos\": ', quartos, '}}') AS reply FROM l")
