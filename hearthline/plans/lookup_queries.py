@@ -91,11 +91,6 @@ def fp_lookup(spark, sf_dir):
     return state.fingerprints(views.processed_urls(spark, sf_dir).where("url = 'u7'")).select("url", "hash", "change_detected")
 
 
-@query(PRINTS + " SELECT url, hash, epoch_us(last_crawled) AS last_crawled FROM f")
-def upsert_fingerprint(spark, sf_dir):
-    return state.fingerprints(views.processed_urls(spark, sf_dir)).select("url", "hash", F.unix_micros(F.col("last_crawled").cast("timestamp")).alias("last_crawled"))
-
-
 def _customer_urls(spark, sf_dir):
     return views.read(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("url"))
 
@@ -179,18 +174,6 @@ def validation_stats(spark, sf_dir):
     return found.withColumns({c: F.round(c, 9) for c in ("avg_confidence", "property_rate")})
 
 
-@query("SELECT p_size % 3 AS clear_what, CASE p_size % 3 WHEN 0 THEN 'Nenhuma operação de limpeza realizada' WHEN 1 THEN 'Propriedades limpas com sucesso' ELSE 'Banco de dados completamente limpo (propriedades + URLs)' END AS message, count(*) AS n FROM part GROUP BY ALL")
-def cleanup_database(spark, sf_dir):
-    what = F.col("p_size") % 3
-    told = jobs.cleanup(what == 1, F.lit(False), what == 2)[2]
-    return views.read(spark, sf_dir, "part").select(what.alias("clear_what"), told.alias("message")).groupBy("clear_what", "message").agg(F.count("*").alias("n"))
-
-
-@query(f"{L} SELECT id, valor FROM l WHERE false")
-def clear_listings(spark, sf_dir):
-    return jobs.cleared(views.listings(spark, sf_dir).select("id", "valor"))
-
-
 def _jobs(spark, sf_dir):
     """Orders as discovery jobs, their items as cities."""
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "queued").otherwise("running")

@@ -89,13 +89,6 @@ def crawl_seed_select(spark, sf_dir):
     return cities.seeds(views.cities(spark, sf_dir), views.read(spark, sf_dir, "supplier").select(F.col("s_name").alias("url")), ["Atlantis"])
 
 
-@query(C + " SELECT city, count(*) FILTER (city <> 'NATION_1' OR status = 'active') AS total_sites FROM s GROUP BY city")
-def upsert_city(spark, sf_dir):
-    found = views.cities(spark, sf_dir)
-    changed = found.where("city = 'NATION_1'").withColumn("sites", cities.active(F.col("sites")))
-    return cities.upserted(found, changed).select("city", "total_sites")
-
-
 @query(r"SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, count(*) AS pages FROM pages GROUP BY 1")
 def crawl_stats(spark, sf_dir):
     return cities.counts_by_host(views.read(spark, sf_dir, "pages"), urls.host(F.col("url")))

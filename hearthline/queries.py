@@ -150,12 +150,6 @@ def listing_hash(spark, sf_dir):
     return views.listings(spark, sf_dir).select("id", hashing.listing_hash().alias("hash"))
 
 
-@query(f"{L} SELECT hash, min(id) AS id FROM (SELECT id, {HASH} AS hash FROM l) GROUP BY hash")
-def save_listing_dedup(spark, sf_dir):
-    """The first listing of each hash, as an aggregate that combines before the shuffle."""
-    return views.listings(spark, sf_dir).select("id", hashing.listing_hash().alias("hash")).groupBy("hash").agg(F.min("id").alias("id"))
-
-
 @query("SELECT n_name AS city, sha256(concat('city:', lower(n_name), '|state:', upper(r_name))) AS hash FROM nation JOIN region ON n_regionkey = r_regionkey")
 def city_hash(spark, sf_dir):
     return views.read(spark, sf_dir, "nation").join(F.broadcast(views.read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("city"), hashing.city_hash(F.col("n_name"), F.col("r_name")).alias("hash"))
@@ -262,11 +256,6 @@ def city_by_region(spark, sf_dir):
     return views.cities(spark, sf_dir).where(F.col("region").rlike("(?iu)america")).select("city")
 
 
-@query(U + " SELECT url, seq, status FROM last")
-def upsert_processed_url(spark, sf_dir):
-    return state.latest(views.processed_urls(spark, sf_dir)).select("url", "seq", "status")
-
-
 @query(U + " SELECT url, seq, coalesce(lag(hash) OVER (PARTITION BY url ORDER BY processed_at, seq) <> hash, true) AS change_detected FROM log")
 def change_detect(spark, sf_dir):
     return state.changes(views.processed_urls(spark, sf_dir)).select("url", "seq", "change_detected")
