@@ -24,6 +24,7 @@ import hashlib
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import small_batches, text_or_empty, written
+from hearthline.llm.sentence_pieces import Memo
 from hearthline.llm.word_tokens import _byte_letters
 
 STRIPES, ROWS = 32, 128
@@ -44,13 +46,14 @@ _SPACE = "▁"
 _WHITE = r"\s\x1c-\x1f\x85᠎​⁠﻿"
 _CHUNKS = re.compile(f"(?<=[^{_WHITE}])(?= )")
 _WHITE_THEN_SPACE = re.compile(f"[{_WHITE}] ")
-_LONG = 200
+#: Groups of more pairs than this are reduced to pairs of distinct ids.
+LARGE = 4096
 
 
 class Aligner:
     """Both vocabularies. max_memo bounds the number of remembered chunks."""
 
-    def __init__(self, path_a: str, path_b: str, max_memo: int = 150_000) -> None:
+    def __init__(self, path_a: str, path_b: str, max_memo: int = 200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -70,8 +73,10 @@ class Aligner:
         pairs = {p[i : i + 2] for p in texts for i in range(len(p) - 1)}
         #: Whether chunks are encoded as they are within their texts.
         self.cut = not any(pair[1] == _SPACE != pair[0] for pair in pairs) and self.b.normalize("a  b ") == "▁a▁▁b▁"
-        self.max_memo = max_memo
-        self.memo: dict[str, tuple | None] = {}
+        self.lengths_a, self.lengths_b = (np.array([len(t) for t in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        #: Decimal ids with what may follow them: another of the group, the other side, the next group, nothing.
+        self.shown = [f"{i}{after}" for after in (",", "|", ";", "") for i in range(max(n_a, n_b))]
+        self.memo = Memo(max_memo)
 
     def chunks(self, text: str) -> list[str]:
         text = f" {text}"
@@ -81,55 +86,82 @@ class Aligner:
             return _CHUNKS.split(text)
         return [f" {part}" for part in text[1:].split(" ")]
 
-    def _aligned(self, chunk: str, a: list[int], b: list[int]) -> tuple | None:
-        """(n_a, n_b, n_groups, n_links, groups as text, pairs a * width + b, their multiplicities), the last two as bytes."""
-        bytes_a, bytes_b, width = self.bytes_a, self.bytes_b, self.width
-        whole = chunk.encode("utf-8", "replace")
-        parts_a, parts_b = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            return None
-        groups, pairs, times, n_links = [], [], [], 0
-        i = j = from_a = from_b = end_a = end_b = 0
-        while i < len(a):
-            end_a += len(parts_a[i])
-            i += 1
-            while end_b < end_a:
-                end_b += len(parts_b[j])
-                j += 1
-            if end_a == end_b:
-                x, y = a[from_a:i], b[from_b:j]
-                from_a, from_b = i, j
-                groups.append(",".join(map(str, x)) + "|" + ",".join(map(str, y)))
-                n_links += len(x) * len(y)
-                if len(x) * len(y) <= 64:
-                    pairs += [p * width + q for p in x for q in y]
-                    times += [1] * (len(x) * len(y))
-                else:
-                    p, n_p = np.unique(x, return_counts=True)
-                    q, n_q = np.unique(y, return_counts=True)
-                    pairs += (p[:, None] * width + q).ravel().tolist()
-                    times += (n_p[:, None] * n_q).ravel().tolist()
-        return len(a), len(b), len(groups), n_links, ";".join(groups), np.array(pairs, "<u8").tobytes(), np.array(times, "<i8").tobytes()
+    def _joins(self, chunks: list[bytes], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Whether the tokens of both sides of each chunk join to its bytes."""
+        whole, sizes = b"".join(chunks), np.array([len(c) for c in chunks])
+        same = True
+        for side, lengths, all_ids in ((self.bytes_a, self.lengths_a, a), (self.bytes_b, self.lengths_b, b)):
+            flat = list(chain.from_iterable(all_ids))
+            starts = np.cumsum([0, *map(len, all_ids)])[:-1]
+            same = same and bool((np.add.reduceat(lengths[flat], starts) == sizes).all()) and b"".join(map(side.__getitem__, flat)) == whole
+        if same:
+            return np.ones(len(chunks), bool)
+        joined = lambda side, ids: b"".join([side[i] for i in ids])
+        return np.array([joined(self.bytes_a, x) == joined(self.bytes_b, y) == c for c, x, y in zip(chunks, a, b, strict=True)], bool)
+
+    def _aligned(self, chunks: list[str]) -> dict[str, tuple | None]:
+        """Of each chunk (n_a, n_b, n_groups, n_links, groups as text, pairs a * width + b and their multiplicities as bytes); None if
+        its tokens do not join to it."""
+        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        b = [ids or [self.space] for ids in self.b.encode([c[1:] for c in chunks], num_threads=1)]
+        good = self._joins([c.encode("utf-8", "replace") for c in chunks], a, b)
+        out: dict[str, tuple | None] = dict.fromkeys(chunks)
+        held = [(c, x, y) for c, x, y, ok in zip(chunks, a, b, good.tolist(), strict=True) if ok]
+        for start in range(0, len(held), 20_000):
+            some = held[start : start + 20_000]
+            out.update(zip([c for c, _, _ in some], self._groups([x for _, x, _ in some], [y for _, _, y in some]), strict=True))
+        return out
+
+    def _groups(self, a: list[list[int]], b: list[list[int]]) -> list[tuple]:
+        """What _aligned() tells of chunks with these ids, all of them at once: their bytes are thought of one after the other."""
+        ids = [np.array(list(chain.from_iterable(side)), np.int64) for side in (a, b)]
+        ends = [np.cumsum(lengths[x]) for lengths, x in zip((self.lengths_a, self.lengths_b), ids, strict=True)]
+        cuts = np.intersect1d(*ends, assume_unique=True)
+        group = [np.searchsorted(cuts, e) for e in ends]
+        size = [np.bincount(g, minlength=len(cuts)) for g in group]
+        first = [np.cumsum(n) - n for n in size]
+        chunk_ends = [np.cumsum([len(x) for x in side]) for side in (a, b)]
+        group_ends = group[0][chunk_ends[0] - 1] + 1  # of chunks: they end with a group
+        # the text: ids in the order of group and side, each with what follows it
+        last = [np.append(g[1:] != g[:-1], True) for g in group]
+        after = [last[0] * 1, last[1] * 2]
+        after[1][chunk_ends[1] - 1] = 3
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        shown = np.concatenate([ids[k] + after[k] * (len(self.shown) // 4) for k in (0, 1)])[order]
+        texts = list(map(self.shown.__getitem__, shown.tolist()))
+        # the pairs: each A token with all B tokens of its group; of large groups distinct ids with multiplicities
+        n_pairs = size[0] * size[1]
+        large = np.flatnonzero(n_pairs > LARGE)
+        each = np.where(n_pairs > LARGE, 0, size[1])[group[0]]
+        of_a = np.repeat(np.arange(len(ids[0])), each)
+        place = np.arange(len(of_a)) - np.repeat(np.cumsum(each) - each, each)
+        keys = ids[0][of_a] * self.width + ids[1][first[1][group[0][of_a]] + place]
+        times, owner = np.ones(len(keys), np.int64), group[0][of_a]
+        for g in large.tolist():
+            (x, n_x), (y, n_y) = (np.unique(ids[k][first[k][g] : first[k][g] + size[k][g]], return_counts=True) for k in (0, 1))
+            keys, times = np.append(keys, (x[:, None] * self.width + y).ravel()), np.append(times, (n_x[:, None] * n_y).ravel())
+            owner = np.append(owner, np.full(len(x) * len(y), g))
+        if len(large):
+            order = np.argsort(owner, kind="stable")
+            keys, times, owner = keys[order], times[order], owner[order]
+        key_ends = np.searchsorted(owner, group_ends)
+        n_links = np.diff(np.concatenate(([0], np.cumsum(n_pairs)))[np.concatenate(([0], group_ends))])
+        keys, times = keys.astype("<u8").tobytes(), times.astype("<i8").tobytes()
+        text_ends = chunk_ends[0] + chunk_ends[1]
+        out, i, t, g = [], 0, 0, 0
+        for x, y, links, to_key, to_text, to_group in zip(a, b, n_links.tolist(), (8 * key_ends).tolist(), text_ends.tolist(), group_ends.tolist(), strict=True):
+            out.append((len(x), len(y), to_group - g, links, "".join(texts[t:to_text]), keys[i:to_key], times[i:to_key]))
+            i, t, g = to_key, to_text, to_group
+        return out
 
     def align_batch(self, texts: list[str]) -> list[list[tuple] | None]:
         """Of each text what its chunks hold; None without tokens."""
         cut = [self.chunks(t) if t and _SPACE not in t else [] for t in texts]
-        wanted = set().union(*cut)
-        fresh = [c for c in wanted if c not in self.memo]
-        if len(self.memo) + len(fresh) > self.max_memo:
-            self.memo.clear()
-            fresh = list(wanted)
-        a = self.a.encode_batch_fast(fresh, add_special_tokens=False)
-        b = self.b.encode([c[1:] for c in fresh], num_threads=1)
-        for chunk, x, y in zip(fresh, a, b, strict=True):
-            self.memo[chunk] = self._aligned(chunk, x.ids, y or [self.space])
+        memo = self.memo.of(set(chain.from_iterable(cut)), self._aligned)
         out = []
         for chunks in cut:
-            found = [self.memo[c] for c in chunks]
+            found = [memo[c] for c in chunks]
             out.append(found if found and None not in found else None)
-        for chunk in fresh:
-            if len(chunk) > _LONG:
-                del self.memo[chunk]
         return out
 
 
