@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.functions import extract, hashing, text
+from hearthline.functions.once import computed_once
 from hearthline.operators import listings, select
 
 # Selectors by field, in the order in which they are tried.
@@ -142,15 +143,16 @@ def gathered(pages: DataFrame, cards: str | None = None) -> DataFrame:
 
 def extracted(found: DataFrame) -> DataFrame:
     """Listings of gathered pages: page_id, card, url and the fields."""
-    base = found.select("page_id", "card", "url", address().alias("endereco"), price().alias("valor_texto"), description().alias("descricao"), F.element_at("listed", F.lit(FEATURE_ITEMS)).alias("items"))
+    base = computed_once(found.select("page_id", "card", "url", address().alias("endereco"), price().alias("valor_texto"), description().alias("descricao"), F.element_at("listed", F.lit(FEATURE_ITEMS)).alias("items")))
     city, quarter = listings.location(F.concat_ws(" ", "endereco", "descricao"))
     items = F.filter("items", lambda t: (F.octet_length(t) > 3) & (F.octet_length(t) < 50))
-    return base.select(
+    fields = base.select(
         "page_id", "card", "url", "endereco", "valor_texto", "descricao",
         extract.value(F.col("valor_texto")).alias("valor"), extract.rooms(F.col("descricao")).alias("quartos"), extract.baths(F.col("descricao")).alias("banheiros"),
         extract.area(F.col("descricao")).alias("area_total"), extract.kind(F.concat_ws(" ", "descricao", "endereco")).alias("tipo_imovel"),
         city.alias("cidade"), quarter.alias("bairro"), extract.cep(F.col("endereco")).alias("cep"), F.concat(listings.features(F.col("descricao")), items).alias("caracteristicas"),
     )
+    return computed_once(fields)
 
 
 # ---- tiers of selectors, learned for a host or generic ------------------------------------------
@@ -208,7 +210,7 @@ def enhanced(found: DataFrame, learned: str | None = None) -> DataFrame:
     is known of the host) before the generic ones; and sources, a map from field to where its text is from."""
     of = lambda kind: F.try_element_at(learned, F.lit(kind)) if learned else None
     both = {kind: chosen(kind, of(kind)) for kind in GENERIC}
-    base = found.select("page_id", "card", "url", "text", F.element_at("listed", F.lit(ENHANCED_ITEMS)).alias("items"), *[v[0].alias(f"_{kind}") for kind, v in both.items()], F.create_map(*[x for kind, v in both.items() for x in (F.lit(kind), v[1])]).alias("sources"))
+    base = computed_once(found.select("page_id", "card", "url", "text", F.element_at("listed", F.lit(ENHANCED_ITEMS)).alias("items"), *[v[0].alias(f"_{kind}") for kind, v in both.items()], F.create_map(*[x for kind, v in both.items() for x in (F.lit(kind), v[1])]).alias("sources")))
     area = F.replace(F.regexp_extract("_area", r"(\d+(?:[,.]\d+)?)\s*m[²2]", 1), F.lit(","), F.lit(".")).try_cast("double")
     is_feature = lambda t: (F.octet_length(t) > 3) & (F.octet_length(t) < 100) & ~F.upper(t).isin(*NO_FEATURES) & ~F.upper(t).rlike(r"HTTP|WWW\.|R\$")
     items = F.filter("items", is_feature)
@@ -217,12 +219,13 @@ def enhanced(found: DataFrame, learned: str | None = None) -> DataFrame:
     distinct = F.filter(given, lambda t, i: F.array_position(F.transform(given, F.upper), F.upper(t)) == i + 1)
     city, quarter = listings.location(F.col("_address"))
     city = F.when(city == "", listings.known_city(F.col("text"))).otherwise(city)
-    return base.select(
+    fields = base.select(
         "page_id", "card", "url", listings.squeezed(F.col("_address")).alias("endereco"), listings.squeezed(F.col("_price")).alias("valor_texto"), listings.squeezed(F.col("_description")).alias("descricao"),
         extract.value(F.col("_price")).alias("valor"), _bounded(F.col("_rooms"), 20).alias("quartos"), _bounded(F.col("_bathrooms"), 15).alias("banheiros"),
         F.when(area.between(10, 10_000), area).otherwise(0.0).alias("area_total"), extract.kind(F.when(F.col("_type") == "", F.concat_ws(" ", "_description", "_address")).otherwise(F.col("_type"))).alias("tipo_imovel"),
         city.alias("cidade"), quarter.alias("bairro"), extract.cep(F.concat_ws(" ", "_address", "text")).alias("cep"), F.slice(distinct, 1, 20).alias("caracteristicas"), "sources",
     )
+    return computed_once(fields)
 
 
 def selector_success(listings_of: DataFrame) -> DataFrame:
@@ -235,14 +238,15 @@ def selector_success(listings_of: DataFrame) -> DataFrame:
 
 def from_texts(rows: DataFrame) -> DataFrame:
     """rows: id, endereco, cidade, descricao, valor_texto, url as found. The same with all fields that they give away."""
-    clean = rows.withColumns({c: listings.squeezed(F.coalesce(F.col(c), F.lit(""))) for c in ("endereco", "cidade", "descricao", "valor_texto")})
+    clean = computed_once(rows.withColumns({c: listings.squeezed(F.coalesce(F.col(c), F.lit(""))) for c in ("endereco", "cidade", "descricao", "valor_texto")}))
     city, quarter = listings.location(F.col("endereco"))
     words = ("piscina", "churrasqueira", "garagem", "jardim", "varanda", "sacada")
-    return clean.select(
+    fields = clean.select(
         "id", "endereco", F.when(F.col("cidade") == "", city).otherwise(F.col("cidade")).alias("cidade"), quarter.alias("bairro"), extract.cep(F.col("endereco")).alias("cep"), "descricao", "valor_texto",
         extract.value(F.col("valor_texto")).alias("valor"), extract.rooms(F.col("descricao")).alias("quartos"), extract.baths(F.col("descricao")).alias("banheiros"), extract.area(F.col("descricao")).alias("area_total"),
         extract.kind(F.concat_ws(" ", "descricao", "endereco")).alias("tipo_imovel"), "url", extract.features(F.col("descricao"), words).alias("caracteristicas"),
     )
+    return computed_once(fields)
 
 
 def first_said(*selectors: str) -> Column:
@@ -269,7 +273,7 @@ def catalog_items(pages: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(first_said(".preco", ".price", ".valor", ".value"), F.lit("")), F.regexp_extract("text", PRICE_SAID, 0)).alias("valor_texto"),
         F.coalesce(F.nullif(first_said(".descricao", ".description", ".details", ".info"), F.lit("")), F.when((F.octet_length(whole) > 50) & (F.octet_length(whole) < 500), whole), F.lit("")).alias("descricao"),
     )
-    cards = _item(said.where((F.col("endereco") != "") | (F.col("valor_texto") != "")), F.concat_ws(" ", "descricao", "text"))
+    cards = _item(computed_once(said).where((F.col("endereco") != "") | (F.col("valor_texto") != "")), F.concat_ws(" ", "descricao", "text"))
     texts = select.gathered(pages).join(cards.select("page_id").distinct(), "page_id", "left_anti")
     blocks = F.filter(F.transform(F.slice(F.regexp_extract_all("text", F.lit(r"(?is)(R\$\s*[\d.,]+.*?(?=R\$|\z))"), 1), 1, 15), F.trim), lambda b: F.octet_length(b) >= 10)
     plain = texts.select("page_id", "url", F.posexplode(blocks).alias("card", "text")).select(
@@ -287,10 +291,11 @@ def address_of_block(block: Column) -> Column:
 
 
 def _item(rows: DataFrame, numbers: Column) -> DataFrame:
-    return rows.select(
+    fields = computed_once(rows).select(
         "page_id", "card", "url", "endereco", "valor_texto", "descricao", listings.known_city(F.concat_ws(" ", "endereco", "descricao")).alias("cidade"), extract.value(F.col("valor_texto")).alias("valor"),
         extract.kind(F.concat_ws(" ", "descricao", "endereco")).alias("tipo_imovel"), extract.rooms(numbers).alias("quartos"), extract.baths(numbers).alias("banheiros"), extract.area(numbers).alias("area_total"),
     )
+    return computed_once(fields)
 
 
 def fingerprints(pages: DataFrame) -> DataFrame:

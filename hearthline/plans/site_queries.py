@@ -3,11 +3,15 @@ markup is read; on views.site_pages oracle SQL says what each page's fields are,
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hearthline.operators import crawls, discovery, extraction, marked, markup, pages, select, training
 from hearthline.plans.base import registry
 from hearthline.sources import views
+from hearthline.sources.shared import shared_folder
+from hearthline.streaming import incremental
 
 QUERIES, ORACLES, query = registry()
 
@@ -330,12 +334,44 @@ def incremental_run(spark, sf_dir):
     return visits.select("page_id", "reason", F.col("hash").isNotNull().alias("printed"))
 
 
-@query()
+#: Pages of one listing, and those of them whose listing is without errors, as the incremental crawl tells them.
+SINGLE, VALID = "(page_id % 2 = 1 AND described)", "(page_id % 2 = 1 AND described AND NOT (size * 3 < 10 AND kind <> 'Terreno'))"
+
+
+@query(SAID + f" SELECT page_id, address AS endereco, price AS valor, (size % 6)::INT AS quartos, kind AS tipo_imovel FROM s WHERE {VALID} AND page_id % 3 > 0")
 def pipe_incremental(spark, sf_dir):
     site = _site(spark, sf_dir)
     return _rows(crawls.incremental(site, _log(site), F.to_timestamp(F.lit("2024-01-20 00:00:00")))[1])
 
 
+@query(SAID + f""", v AS (SELECT l_partkey AS page_id, year(l_shipdate::DATE) // 2 AS round, max(l_shipdate::DATE) AS moment FROM lineitem GROUP BY ALL),
+  r AS (SELECT s.page_id, moment, row_number() OVER (PARTITION BY s.page_id ORDER BY round) AS k, described AND size > 25 AS edited, CASE WHEN {VALID} THEN 'success' WHEN {SINGLE} THEN 'failed' ELSE 'rejected' END AS status FROM s JOIN v USING (page_id)),
+  w(page_id, k, processed_at, changed, n, status) AS (SELECT page_id, k, moment, true, 1, status FROM r WHERE k = 1 UNION ALL
+   SELECT r.page_id, r.k, CASE WHEN go THEN r.moment ELSE processed_at END, CASE WHEN go THEN edited ELSE changed END, n + go::INT, r.status
+   FROM (SELECT r.*, w.processed_at, w.changed, w.n, NOT (r.status = 'success' AND r.moment - w.processed_at <= 200 OR r.moment - w.processed_at < 500 OR NOT w.changed AND r.moment - w.processed_at < 1000) AS go FROM w JOIN r ON r.page_id = w.page_id AND r.k = w.k + 1) r)
+  SELECT page_id, processed_at, changed AS change_detected, status, CASE WHEN status <> 'success' THEN 0 WHEN edited THEN n ELSE 1 END::BIGINT AS listings
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k DESC) AS last FROM w) JOIN (SELECT DISTINCT page_id, edited FROM r) USING (page_id) WHERE last = 1""")
+def incremental_stream(spark, sf_dir):
+    """Each shipment fetches the page of its part; the stream runs after every second year, over what has come since. Some pages say
+    something new each time."""
+    folder = f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}"
+    shipped = views.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("page_id"), F.col("l_shipdate").cast("date").alias("day"))
+    rounds = shipped.groupBy("page_id", F.floor(F.year("day") / 2).cast("long").alias("round")).agg(F.max("day").cast("timestamp").alias("visited_at"))
+    edited = views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), (F.col("p_size") > 25).alias("edited"))
+    html = F.when(F.col("edited"), F.regexp_replace("html", F.lit("Ótima"), F.concat(F.lit("Parte "), F.col("round").cast("string"), F.lit(". Ótima")))).otherwise(F.col("html"))
+    visits = rounds.join(_site(spark, sf_dir), "page_id").join(edited, "page_id").select(F.col("page_id").cast("long"), "url", html.alias("html"), "visited_at", "round")
+    visits.write.parquet(f"{folder}/fetched")
+    fetched = spark.read.parquet(f"{folder}/fetched")
+    crawl = incremental.Crawl(spark, folder, recent="INTERVAL 200 DAYS", max_age="INTERVAL 500 DAYS", buckets=4)
+    stream = spark.readStream.schema(fetched.schema).parquet(f"{folder}/visits")
+    low, high = fetched.agg(F.min("round"), F.max("round")).first()
+    for number in range(low or 0, (high or -1) + 1):
+        fetched.where(F.col("round") == number).write.mode("append").parquet(f"{folder}/visits")
+        crawl.start(stream).awaitTermination()
+    saved = crawl.listings.read().groupBy("page_id").agg(F.count("*").alias("listings"))
+    return crawl.urls.read().join(saved, "page_id", "left").select("page_id", F.col("processed_at").cast("date").alias("processed_at"), "change_detected", "status", F.coalesce("listings", F.lit(0)).alias("listings"))
+
+
 def _graph(spark, sf_dir):
     """Nations as pages: each links to the next of its region and to a listing of its own."""
     nation = views.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
