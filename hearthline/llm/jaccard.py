@@ -217,6 +217,20 @@ def _lists(slim: DataFrame, nodes: DataFrame, counters: str) -> DataFrame:
     return several.select("key", "part", "node", n(F.col("at")).alias("n"), rest(F.col("at")).alias("rest"), head.alias("head"))
 
 
+#: Sizes are classed by powers of this.
+CLASS = 1.05
+
+
+def _class(n):
+    return F.floor(F.log(n) / F.log(F.lit(CLASS))).cast("int")
+
+
+def _partners(n, rest):
+    """The classes of sizes that a partner of an entry may have: near enough, and small enough for what is left from the entry on."""
+    low, high = _class(0.75 * n), _class(F.least(n / 0.75, 7 * rest / 3 - n))
+    return F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
 def _close(a, b):
     """What a pair that meets in a list must fulfil: sizes near enough, and enough shingles left from the first common one on."""
     return 7 * F.least(a["rest"], b["rest"]) >= 3 * (a["n"] + b["n"])
@@ -239,22 +253,22 @@ def _verified(pairs: DataFrame, slim: DataFrame) -> DataFrame:
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
-        known: dict[int, np.ndarray] = {}  # sets of the last ids; rows come sorted by one of both
+        known: dict[str, np.ndarray] = {}  # sets of the last texts (an id may have several); rows come sorted by one of both ids
         room = KNOWN
 
-        def of(node, text):
+        def of(text):
             nonlocal room
-            if node not in known:
+            if text not in known:
                 if room < 0:
                     known.clear()
                     room = KNOWN
-                known[node] = shingles(text)
-                room -= len(known[node])
-            return known[node]
+                known[text] = shingles(text)
+                room -= len(known[text])
+            return known[text]
 
         for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            yield batch.select([0, 1]).filter(pa.array([linked(of(i, s), of(j, t)) for i, j, s, t in zip(a, b, x, y, strict=True)], pa.bool_()))
+            x, y = (batch.column(i).to_pylist() for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array([linked(of(s), of(t)) for s, t in zip(x, y, strict=True)], pa.bool_()))
 
     out = written(both.mapInArrow(run, "a long, b long"), "links")
     forget(pairs, wanted)
@@ -277,7 +291,8 @@ def links_and_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     main = heads.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("rest")).alias("place"), "node", "n", "rest")).alias("head"))
     first = written(to_head(lists).unionByName(to_head(heads.join(main, "key"))).groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
     same = real.where("n > 0 and doc_id is not null").join(sets.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    shared_ids = same.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b <> c").select(F.col("b").alias("a"), F.col("c").alias("b"))
+    several = same.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most")).where("least <> most")
+    shared_ids = same.join(several, "a").where("b <> least").select(F.col("least").alias("a"), "b").distinct()
     # each node with the one that it meets as the head of most lists
     best = written(first.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select("top.a", "b"), "best")
     links = written(_verified(best, slim).unionByName(shared_ids), "links")
@@ -288,11 +303,13 @@ def links_and_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("several")).where("several > 1").select("key", F.col("top.component").alias("main"))
     members = written(open_lists.join(main, "key").withColumn("in_main", F.col("component") == F.col("main")).drop("main"), "members")
     forget(lists)
-    x, y = members.where("not in_main").alias("x"), members.alias("y")
+    # a list is joined by the sizes that a pair may have, so entries that are too different, or too late in their sets, never meet
+    sized_members = members.withColumn("class", _class(F.col("n")))
+    x, y = members.where("not in_main").withColumn("class", F.explode(_partners(F.col("n"), F.col("rest")))).alias("x"), sized_members.alias("y")
     once = F.col("y.in_main") | (F.col("x.node") < F.col("y.node"))
     x_y = lambda kind, column: kind(f"x.{column}", f"y.{column}")
     near_places = 7 * x_y(F.least, "rest") >= 3 * (F.col("x.n") + F.col("y.n"))
-    crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & near_places)
+    crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & once & near_places)
     counted = crossed.groupBy(x_y(F.least, "node").alias("a"), x_y(F.greatest, "node").alias("b")).agg(F.count("*").alias("shared"), F.min("x.node").alias("of"))
     second = written(counted.join(best, ["a", "b"], "left_anti"), "pairs")
     forget(members, first, best)

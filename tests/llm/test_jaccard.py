@@ -95,3 +95,43 @@ def test_candidates_lose_no_pair_at_the_threshold():
             for i, k in enumerate(sa):
                 met += [qa[i] == qb[j] for j in np.flatnonzero(sb == k)]
             assert any(met)
+
+
+def test_ids_with_several_texts_in_any_order(spark, docs_of):
+    rng = random.Random(4)
+    words = [f"v{i}" for i in range(300)]
+    a, b, c = ([rng.choice(words) for _ in range(60)] for _ in range(3))
+    near = lambda t, i: " ".join(t[:-i] + [f"new{i}"] * i)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, near(b, 1)), (11, near(a, 2)), (5, " ".join(c)), (20, near(c, 1)), (21, near(c, 1)), (30, "apart " * 3)]
+    for some in (rows, rows[::-1], rows[3:] + rows[:3]):
+        ids, texts = zip(*some, strict=True)
+        got = {(r.doc_id, r.component_id) for r in J.clustered(docs_of(texts, ids)).collect()}
+        assert got == {(5, 5), (9, 5), (11, 5), (20, 5), (21, 5), (30, 30)}
+
+
+def test_shared_ids_against_all_pairs(spark, docs_of):
+    rng = random.Random(8)
+    words = [f"u{i}" for i in range(200)]
+    texts = near_copies(rng, words, 40, 50)
+    ids = [rng.randint(0, len(texts) // 2) for _ in texts]
+    got = sorted(tuple(r) for r in J.clustered(docs_of(texts, ids).repartition(3)).collect())
+    assert got == expected(ids, texts)
+
+
+def test_partner_classes_hold_all_that_may_link(spark):
+    entries = spark.range(1, 90).selectExpr("cast(id AS int) AS n").selectExpr("n", "explode(sequence(0, n - cast(ceil(0.75 * n) AS int))) AS place").selectExpr("n", "n - place AS rest")
+    classes = {(r.n, r.rest): set(r.c) for r in entries.select("n", "rest", J._partners(J.F.col("n"), J.F.col("rest")).alias("c")).collect()}
+    own = {r.n: r.c for r in entries.select("n", J._class(J.F.col("n")).alias("c")).distinct().collect()}
+    for (n, rest), found in classes.items():
+        for m in own:
+            if 4 * min(n, m) >= 3 * max(n, m) and 7 * min(rest, m) >= 3 * (n + m):
+                assert own[m] in found
+
+
+def test_documents_of_one_template(spark, docs_of):
+    """A long passage in common, too little to link: none of the pairs that share it is compared."""
+    rng = random.Random(6)
+    template = " ".join(f"t{rng.randint(0, 999)}" for _ in range(200))
+    texts = [template + " " + " ".join(f"own{i}x{k}" for k in range(75)) for i in range(300)] + [template + " own0x0 own0x1"] * 2
+    got = {r.doc_id: r.component_id for r in J.clustered(docs_of(texts)).collect()}
+    assert [got[i] for i in range(300)] == list(range(300)) and got[300] == got[301] == 300
