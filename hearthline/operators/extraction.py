@@ -136,9 +136,13 @@ def description() -> Column:
     return F.coalesce(listings.squeezed(select.first(DESCRIPTION, listings.like_description)), F.when(listings.like_description(meta), listings.squeezed(meta)), text.truncate(most, 3000))
 
 
+#: What extracted() needs of a page: texts, lists and attributes, as select.gathered takes them.
+NEEDS = (BASIC_TEXTS, ("p", "div", "span, td, li", FEATURE_ITEMS), ((META, "content"),))
+
+
 def gathered(pages: DataFrame, cards: str | None = None) -> DataFrame:
     """What extracted() needs of pages, or of each of their cards."""
-    return select.gathered(pages, BASIC_TEXTS, ("p", "div", "span, td, li", FEATURE_ITEMS), ((META, "content"),), cards)
+    return select.gathered(pages, *NEEDS, cards)
 
 
 def extracted(found: DataFrame) -> DataFrame:
@@ -298,10 +302,16 @@ def _item(rows: DataFrame, numbers: Column) -> DataFrame:
     return computed_once(fields)
 
 
+PRINT_NEEDS = ((), tuple(dict.fromkeys(s for group in PRINTED.values() for s in group)), ())
+
+
 def fingerprints(pages: DataFrame) -> DataFrame:
     """page_id, hash of all prices, addresses and descriptions that a page shows."""
-    lists = tuple(dict.fromkeys(s for group in PRINTED.values() for s in group))
-    found = select.gathered(pages, (), lists)
+    return printed(select.gathered(pages, *PRINT_NEEDS))
+
+
+def printed(found: DataFrame) -> DataFrame:
+    """The same of pages that are gathered already, with PRINT_NEEDS at least."""
     each = lambda kind, good: F.filter(F.flatten(F.array(*[F.element_at("listed", F.lit(s)) for s in PRINTED[kind]])), lambda t: (t != "") & good(t))
     prices = F.array_distinct(F.concat(each("prices", listings.like_price), F.regexp_extract_all("text", F.lit(f"({PRICE_SAID})"), 1)))
     addresses = F.array_distinct(F.concat(each("addresses", lambda t: F.octet_length(t) > 10), F.regexp_extract_all("text", F.lit(STREET_NUMBER.replace("(?iu)", "(?iu)(") + ")"), 1)))

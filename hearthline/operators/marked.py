@@ -41,9 +41,17 @@ _TEXTS = tuple(
 )
 
 
+#: What the scores need of a page: texts, lists and attributes, as select.gathered takes them.
+NEEDS = (_TEXTS, (), tuple((s, "src") for s in PHOTOS))
+
+
 def gathered(found: DataFrame) -> DataFrame:
     """page_id, url, text as written, lower, title (both in lower case), and what the scores need."""
-    rows = select.gathered(found, _TEXTS, (), tuple((s, "src") for s in PHOTOS))
+    return told(select.gathered(found, *NEEDS))
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """The same of pages that are gathered already, with NEEDS at least."""
     return rows.withColumns({"lower": F.lower("text"), "title": F.lower(F.coalesce(select.said("title"), F.lit("")))})
 
 

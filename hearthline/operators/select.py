@@ -191,6 +191,11 @@ def gathered(pages: DataFrame, texts: tuple[str, ...] = (), lists: tuple[str, ..
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
 
 
+def needs(*some: tuple[tuple, tuple, tuple]) -> tuple[tuple, tuple, tuple]:
+    """What several readers need of a page, each thing once, so that it is parsed once for all of them."""
+    return tuple(tuple(dict.fromkeys(x for part in some for x in part[k])) for k in range(3))
+
+
 def elements(pages: DataFrame, selector: str, attributes: tuple[str, ...]) -> DataFrame:
     """page_id, card, url, text and the attributes of each element of a selector, empty where it lacks one."""
     names = ["page_id", "card", "url", "text", *attributes]

@@ -6,13 +6,16 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.functions import urls
 from hearthline.operators import learn, markup, select
 from hearthline.operators import pages as rules
+from hearthline.sources.shared import kept
 
 # Selectors that are tried on reference pages, by field.
 PROBED = {
@@ -86,47 +89,100 @@ def selectors_by(examples: DataFrame, key: str) -> DataFrame:
     return lists.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("kind", F.col("all.selector").alias("list")))).alias("selectors"))
 
 
-def folded(examples: DataFrame, key: str, truncated: bool = True) -> DataFrame:
+#: Numbers that are folded are from 0 up to below this.
+MOST = 1 << 62
+
+
+class Halves:
+    """What a run of numbers does to the running half x before it: each number a makes x the integer part of (x + a) / 2.
+
+    That is associative: after a, then b, x is the integer part of (x + a + 2 b) / 4. So n numbers make it that of (x + total) / 2**n,
+    and once 2**n is beyond all numbers only two values are left, low and, from x = jump on, low + 1. A run is as small as a number,
+    however long it is, and runs combine in order."""
+
+    __slots__ = ("n", "total", "low", "jump")
+
+    def __init__(self, n: int = 0, total: int = 0, low: int = 0, jump: int = MOST) -> None:
+        self.n, self.total, self.low, self.jump = n, total, low, jump
+
+    def add(self, number: int) -> None:
+        if self.n < 62:
+            self.total += number << self.n
+            self.n += 1
+            if self.n == 62:
+                self.low, rest = divmod(self.total, MOST)
+                self.jump = MOST - rest
+        else:
+            low, high = (self.low + number) // 2, (self.low + 1 + number) // 2
+            self.low, self.jump = low, self.jump if high > low else MOST
+
+    def of(self, x: int) -> int:
+        return (x + self.total) >> self.n if self.n < 62 else self.low + (x >= self.jump)
+
+
+def folded(examples: DataFrame, key: str) -> DataFrame:
     """key, n and, in the order of seq, each number as the running half of the sum with the next (an integer each time), and each flag
-    if it ever was. The order decides, so a key's examples go through one task, one after the other, none of them kept."""
+    if it ever was. The order decides; examples are dealt by ranges of key and seq, so a key with many goes through many tasks, each
+    of which sums its run up, and runs, one for each task, are combined in order. Numbers are 0 or more; examples of one seq are
+    taken in the order of their numbers."""
     kind = examples.schema[key].dataType.simpleString()
-    dealt = examples.select(key, "seq", *NUMBERS, *FLAGS).repartition(key).sortWithinPartitions(key, "seq")
+    dealt = examples.select(key, "seq", *NUMBERS, *FLAGS).repartitionByRange(key, "seq", *NUMBERS).sortWithinPartitions(key, "seq", *NUMBERS)
+    width = len(NUMBERS)
+
+    def runs(batches):
+        place = TaskContext.get().partitionId()
+        begun, now, firsts, halves, flags, n, rows = False, None, [], [], [], 0, []
 
-    def run(batches):
-        now, state = None, None
-        rows = []
+        def row():
+            # totals take more than 64 bits
+            return (now, place, n, firsts, [[str(h.total), str(h.low), str(h.jump)] for h in halves], flags)
 
         def out():
-            done = [pa.array(c) for c in zip(*rows, strict=True)]
+            done = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             rows.clear()
-            return pa.RecordBatch.from_arrays(done, [key, "n", *NUMBERS, *FLAGS])
+            return pa.RecordBatch.from_arrays(done, ["key", "place", "n", "firsts", "halves", "flags"])
 
         for batch in batches:
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.string())), pa.list_(pa.bool_())]
             for value, _, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                numbers, flags = rest[: len(NUMBERS)], rest[len(NUMBERS) :]
-                if state is None or value != now:
-                    if state is not None:
-                        rows.append((now, *state[0:1], *state[1], *state[2]))
-                    now, state = value, [1, list(numbers), list(flags)]
-                else:
-                    state[0] += 1
-                    state[1] = [(a + b) // 2 for a, b in zip(state[1], numbers, strict=True)]
-                    state[2] = [a or b for a, b in zip(state[2], flags, strict=True)]
+                if not begun or value != now:
+                    if begun:
+                        rows.append(row())
+                    begun, now, n = True, value, 1
+                    firsts, halves, flags = rest[:width], [Halves() for _ in NUMBERS], rest[width:]
+                    continue
+                n += 1
+                for h, a in zip(halves, rest, strict=False):
+                    h.add(a)
+                flags = [a or b for a, b in zip(flags, rest[width:], strict=True)]
             if len(rows) > 1000:
                 yield out()
-        if state is not None:
-            rows.append((now, state[0], *state[1], *state[2]))
-        if rows:
+        if begun:
+            rows.append(row())
             yield out()
 
+    def combined(value, frame):
+        frame = frame.sort_values("place")  # a row for each task that had the key
+        state = None
+        for n, firsts, halves in zip(frame["n"], frame["firsts"], frame["halves"], strict=True):
+            if state is None:
+                state = list(firsts)
+            else:
+                state = [(x + a) // 2 for x, a in zip(state, firsts, strict=True)]
+            state = [Halves(min(int(n) - 1, 62), *map(int, h)).of(int(x)) for x, h in zip(state, halves, strict=True)]
+        flags = [bool(any(f[k] for f in frame["flags"])) for k in range(len(FLAGS))]
+        return pd.DataFrame([[value[0], int(frame["n"].sum()), *map(int, state), *flags]], columns=[key, "n", *NUMBERS, *FLAGS])
+
+    chunks = dealt.mapInArrow(runs, f"key {kind}, place int, n long, firsts array<long>, halves array<array<string>>, flags array<boolean>")
     schema = f"`{key}` {kind}, n long, " + ", ".join([*[f"{c} long" for c in NUMBERS], *[f"{c} boolean" for c in FLAGS]])
-    return dealt.mapInArrow(run, schema)
+    return chunks.groupBy("key").applyInPandas(combined, schema)
 
 
 def by_host(pages: DataFrame) -> DataFrame:
     """host, n, confidence, numbers, flags, selectors: what reference pages (in the order of their ids) teach of their hosts. One page
     alone counts 0.5; else 0.3, and a tenth for each more, 0.95 at most."""
-    examples = reference_pages(pages).withColumn("seq", F.col("page_id"))
+    # read by both aggregates, and sampled for ranges: pages are parsed once
+    examples = kept(reference_pages(pages).withColumn("seq", F.col("page_id")), "examples")
     confidence = F.when(F.col("n") == 1, 0.5).otherwise(learn.reference_confidence(F.col("n")))
     return folded(examples, "host").withColumn("confidence", confidence).join(selectors_by(examples, "host"), "host", "left")
 

@@ -344,7 +344,7 @@ def pipe_incremental(spark, sf_dir):
     return _rows(crawls.incremental(site, _log(site), F.to_timestamp(F.lit("2024-01-20 00:00:00")))[1])
 
 
-@query(SAID + f""", v AS (SELECT l_partkey AS page_id, year(l_shipdate::DATE) // 2 AS round, max(l_shipdate::DATE) AS moment FROM lineitem GROUP BY ALL),
+@query(SAID.replace("WITH s", "WITH RECURSIVE s", 1) + f""", v AS (SELECT l_partkey AS page_id, year(l_shipdate::DATE) // 2 AS round, max(l_shipdate::DATE) AS moment FROM lineitem GROUP BY ALL),
   r AS (SELECT s.page_id, moment, row_number() OVER (PARTITION BY s.page_id ORDER BY round) AS k, described AND size > 25 AS edited, CASE WHEN {VALID} THEN 'success' WHEN {SINGLE} THEN 'failed' ELSE 'rejected' END AS status FROM s JOIN v USING (page_id)),
   w(page_id, k, processed_at, changed, n, status) AS (SELECT page_id, k, moment, true, 1, status FROM r WHERE k = 1 UNION ALL
    SELECT r.page_id, r.k, CASE WHEN go THEN r.moment ELSE processed_at END, CASE WHEN go THEN edited ELSE changed END, n + go::INT, r.status
@@ -363,10 +363,10 @@ def incremental_stream(spark, sf_dir):
     visits.write.parquet(f"{folder}/fetched")
     fetched = spark.read.parquet(f"{folder}/fetched")
     crawl = incremental.Crawl(spark, folder, recent="INTERVAL 200 DAYS", max_age="INTERVAL 500 DAYS", buckets=4)
-    stream = spark.readStream.schema(fetched.schema).parquet(f"{folder}/visits")
     low, high = fetched.agg(F.min("round"), F.max("round")).first()
     for number in range(low or 0, (high or -1) + 1):
         fetched.where(F.col("round") == number).write.mode("append").parquet(f"{folder}/visits")
+        stream = spark.readStream.schema(fetched.schema).parquet(f"{folder}/visits")
         crawl.start(stream).awaitTermination()
     saved = crawl.listings.read().groupBy("page_id").agg(F.count("*").alias("listings"))
     return crawl.urls.read().join(saved, "page_id", "left").select("page_id", F.col("processed_at").cast("date").alias("processed_at"), "change_detected", "status", F.coalesce("listings", F.lit(0)).alias("listings"))

@@ -11,7 +11,7 @@ from hearthline.operators import state
 from hearthline.plans.base import registry
 from hearthline.queries import AS_OF, C, U
 from hearthline.sources import views
-from hearthline.streaming import changes, rate_limit
+from hearthline.streaming import cache, changes, rate_limit
 from hearthline.streaming.run import drained
 
 QUERIES, ORACLES, query = registry()
@@ -164,3 +164,32 @@ def change_detect_stream(spark, sf_dir):
 def rate_limit_stream(spark, sf_dir):
     requests = _stream(spark, sf_dir).select(F.col("user_id").cast("long").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("long").alias("seq"))
     return drained(rate_limit.limited_stream(requests, 3, 86_400), "limits").select("seq", "allowed")
+
+
+CACHED = """WITH RECURSIVE e AS (SELECT user_id AS owner, event_type AS key, epoch_us(ts) AS moment, event_id AS seq, ts < (SELECT min(ts) + INTERVAL 3 DAY FROM events) AS early FROM events),
+  r AS (SELECT owner, key, moment, seq, row_number() OVER (PARTITION BY owner, key ORDER BY moment, seq) AS k FROM e WHERE NOT early),
+  b AS (SELECT owner, key, max(moment) AS put FROM e WHERE early GROUP BY ALL),
+  w(owner, key, seq, k, put, outcome) AS (SELECT owner, key, 0, 0, put, '' FROM b UNION ALL SELECT r.owner, r.key, r.seq, 1, r.moment, 'miss' FROM r WHERE k = 1 AND (owner, key) NOT IN (SELECT (owner, key) FROM b)
+   UNION ALL SELECT r.owner, r.key, r.seq, r.k, CASE WHEN r.moment - w.put <= 86400000000 THEN w.put ELSE r.moment END, CASE WHEN r.moment - w.put <= 86400000000 THEN 'hit' ELSE 'expired' END FROM w JOIN r ON r.owner = w.owner AND r.key = w.key AND r.k = w.k + 1)"""
+
+
+def _cached(spark, sf_dir):
+    """Requests of events after the third day, to a cache that begins with what was asked for in the first three."""
+    events = views.read(spark, sf_dir, "events")
+    third = events.agg(F.min("ts") + F.expr("INTERVAL 3 DAYS")).first()[0]
+    named = lambda df: df.select(F.col("user_id").cast("long").alias("owner"), F.col("event_type").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("long").alias("seq"), "ts")
+    known = named(events).where(F.col("ts") < F.lit(third)).groupBy("owner", "key").agg(F.max("at").alias("put"))
+    asked = named(_stream(spark, sf_dir)).where(F.col("ts") >= F.lit(third))
+    with cache.rocks(spark):
+        return drained(cache.cached(asked, 86_400, known), "cache")
+
+
+@query(CACHED + " SELECT seq, outcome FROM w WHERE k > 0")
+def ttl_cache_stream(spark, sf_dir):
+    return _cached(spark, sf_dir).select("seq", "outcome")
+
+
+@query(CACHED + " SELECT owner, count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (outcome = 'miss') AS misses, count(*) FILTER (outcome = 'expired') AS expired FROM w WHERE k > 0 GROUP BY owner")
+def ttl_cache_counts(spark, sf_dir):
+    """The counters that each owner's state holds in the end."""
+    return _cached(spark, sf_dir).groupBy("owner").agg(*[F.max(c).alias(c) for c in ("hits", "misses", "expired")])

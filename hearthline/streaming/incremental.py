@@ -30,6 +30,8 @@ class Crawl:
 
     def batch(self, visits: DataFrame, number: int) -> None:
         """visits: page_id, url, html, visited_at. Of several visits to a url within a batch the last counts."""
+        if visits.isEmpty():
+            return
         mark = f"{self.name}-{number}"
         fields = F.struct("page_id", "html", "visited_at")
         pages = visits.groupBy("url").agg(F.max_by(fields, F.struct("visited_at", "page_id")).alias("last")).select("url", "last.*")

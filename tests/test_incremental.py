@@ -31,25 +31,19 @@ def test_batches_decide_by_what_is_known(spark, tmp_path):
     assert crawl.listings.read().count() == n > 0
 
 
-def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+def test_a_batch_cut_between_the_stores_and_run_again(spark, tmp_path, monkeypatch):
     crawl = Crawl(spark, f"file://{tmp_path}/c", buckets=2)
-    crawl.batch(visits(spark, FIRST), 0)
-    before = state(crawl)
-    crawl.batch(visits(spark, LATER), 0)
-    assert state(crawl) == before
-
-
-def test_a_batch_cut_between_the_stores_ends_alike(spark, tmp_path, monkeypatch):
-    whole, cut = (Crawl(spark, f"file://{tmp_path}/{n}", buckets=2) for n in ("whole", "cut"))
-    for crawl in (whole, cut):
-        crawl.batch(visits(spark, FIRST, "page_id between 1 and 10"), 0)
-    whole.batch(visits(spark, LATER), 1)
     with monkeypatch.context() as m:
-        m.setattr(cut.urls, "merge", lambda *_: (_ for _ in ()).throw(RuntimeError("cut")))
+        m.setattr(crawl.urls, "merge", lambda *_: (_ for _ in ()).throw(RuntimeError("cut")))
         with pytest.raises(RuntimeError):
-            cut.batch(visits(spark, LATER), 1)
-    cut.batch(visits(spark, LATER), 1)
-    assert state(cut) == state(whole)
+            crawl.batch(visits(spark, FIRST), 0)
+    saved = state(crawl)[1]
+    assert state(crawl)[0] == [] and saved
+    crawl.batch(visits(spark, FIRST), 0)
+    whole = state(crawl)
+    assert whole[1] == saved and len(whole[0]) == 20
+    crawl.batch(visits(spark, LATER), 0)
+    assert state(crawl) == whole
 
 
 def test_repeated_visits_and_an_empty_batch(spark, tmp_path):
