@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hearthline.functions import urls
 from hearthline.operators import learn, markup, select
 from hearthline.operators import pages as rules
+from hearthline.sources import files
 from hearthline.sources.shared import kept
 
 # Selectors that are tried on reference pages, by field.
@@ -341,3 +342,25 @@ def retrain(validated: DataFrame, least: float = 0.6) -> DataFrame:
     once = validated.groupBy("url").agg(F.max(F.col("accepted") & (F.col("confidence") > least)).alias("good"))
     counts = once.agg(F.count("*").alias("urls"), F.count_if("good").alias("successful"), F.count_if(~F.col("good")).alias("failed"))
     return counts.withColumn("retrain", F.col("failed") > F.floor(F.col("successful") / 2))
+
+
+# ---- whole trainings ----------------------------------------------------------------------------
+
+
+def train_reference(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """domain, hosts, n, confidence, numbers, flags, selectors: what the pages of reference urls (lines: line, as in a reference file)
+    teach of their base domains. A line that comes twice counts once; urls without a page teach nothing."""
+    named = files.reference_urls(lines).select("url").distinct()
+    return by_base_domain(by_host(pages.join(named, "url", "left_semi").select("page_id", "url", "html")))
+
+
+def train_content(pages: DataFrame) -> DataFrame:
+    """One row of what valid pages share, as shared_by_pages gives it, with how many were looked at. Each page is parsed once."""
+    looked = kept(analysed(pages), "analysed")
+    return shared_by_pages(looked).crossJoin(F.broadcast(looked.agg(F.count("*").alias("pages"))))  # one row each
+
+
+def train_with_model(pages: DataFrame, suggested: DataFrame, least: float = 0.7) -> DataFrame:
+    """domain, hosts, n, confidence, numbers, flags, selectors: what pages teach of their hosts, a model's selectors before it, hosts of
+    one base domain as one."""
+    return by_base_domain(kept(with_model(by_host(pages), suggested, least), "hosts"))

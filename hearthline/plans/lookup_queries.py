@@ -238,7 +238,14 @@ def src_patterns_json(spark, sf_dir):
     return files.import_patterns(spark, path)
 
 
-QUERIES["export_patterns"], ORACLES["export_patterns"] = src_patterns_json, ORACLES["src_patterns_json"]
+@query("""SELECT concat('{"kind":"property","pattern":"', p_type, '","n":', count(*), ',"confidence":', least(count(*) / 10.0, 1)::DOUBLE, '}') AS line FROM part GROUP BY p_type""")
+def export_patterns(spark, sf_dir):
+    """The lines of the exported file, which an earlier export does not add to."""
+    path = f"{shared_folder(spark)}/patterns-{uuid.uuid4().hex}"
+    learned = views.read(spark, sf_dir, "part").groupBy(F.lit("property").alias("kind"), F.col("p_type").alias("pattern")).agg(F.count("*").alias("n")).withColumn("confidence", F.least(F.col("n") / 10.0, F.lit(1.0)))
+    files.export_patterns(learned.limit(1), path)
+    files.export_patterns(learned, path)
+    return files.lines(spark, path)
 
 
 @query("SELECT page_id, url, html FROM pages")
@@ -269,10 +276,20 @@ def src_llm(spark, sf_dir):
     return files.supplied(replied, files.REPLIES)
 
 
-@query("SELECT '8080' AS port, 'mongodb://localhost:27017' AS store, 'configs/sites.json' AS sites_file")
+@query("""SELECT n_nationkey AS deployment, CASE WHEN n_nationkey % 5 IN (1, 2) THEN (8000 + n_nationkey)::VARCHAR ELSE '8080' END AS port,
+  CASE WHEN n_nationkey % 5 = 3 THEN concat('mongodb://', n_name, ':27017/a#b') ELSE 'mongodb://localhost:27017' END AS store, CASE WHEN n_nationkey % 5 = 4 THEN concat(n_name, '.json') ELSE 'configs/sites.json' END AS sites_file FROM nation""")
 def src_env_config(spark, sf_dir):
-    found = files.Settings.of(spark)
-    return spark.createDataFrame([(found.port, found.store, found.sites_file)], "port string, store string, sites_file string")
+    """Settings files of deployments, one for each nation; what they leave out is as the session says, or by default."""
+    n, name = F.col("n_nationkey"), F.col("n_name")
+    line = (
+        F.when(n % 5 == 1, F.concat(F.lit("PORT="), (8000 + n).cast("string"), F.lit("  # own")))
+        .when(n % 5 == 2, F.concat(F.lit("PORT=1\nexport PORT = '"), (8000 + n).cast("string"), F.lit("'")))
+        .when(n % 5 == 3, F.concat(F.lit('MONGO_URI="mongodb://'), name, F.lit(':27017/a#b"')))
+        .when(n % 5 == 4, F.concat(F.lit("#PORT=1\nSITES_FILE="), name, F.lit(".json\nOTHER=x\nPORT=")))
+        .otherwise(F.lit("# nothing\n\n"))
+    )
+    texts = views.read(spark, sf_dir, "nation").select(n.alias("deployment"), line.alias("text"))
+    return files.env_settings(texts, "deployment", files.Settings.of(spark))
 
 
 @query("SELECT p_partkey AS id, concat('{\"quartos\": ', p_size, '}') AS found FROM part")

@@ -275,20 +275,72 @@ def base_domain_consolidate(spark, sf_dir):
 
 
 def _suggested(spark, sf_dir):
-    """What a model suggests for the hosts of the view."""
-    rows = [("site0.com.br", 1, "price", ".novo", 0.9), ("site0.com.br", 2, "price", ".preco", 0.8), ("site1.com.br", 1, "price", ".fraco", 0.5)]
-    return spark.createDataFrame(rows, "host string, seq int, kind string, selector string, confidence double")
+    """What a model suggests for the hosts of the view: from each page a selector of prices, some surer than others."""
+    return views.read(spark, sf_dir, "part").select(
+        F.concat(F.lit("site"), (F.col("p_partkey") % 7).cast("string"), F.lit(".com.br")).alias("host"), F.col("p_partkey").alias("seq"), F.lit("price").alias("kind"),
+        F.concat(F.lit(".s"), F.col("p_size").cast("string")).alias("selector"), (F.col("p_size") / 50).alias("confidence"),
+    )
+
+
+#: Hosts with what pages and a model teach of them.
+TAUGHT = SAID + """, h AS (SELECT concat('site', site, '.com.br') AS host, count(*) AS n, bool_or(page_id % 2 = 0) AS priced, bool_or(page_id % 3 = 0) AS addressed FROM s GROUP BY ALL),
+  f AS (SELECT concat('site', site, '.com.br') AS host, concat('.s', size) AS selector, min(page_id) AS seen FROM s WHERE size / 50.0 > 0.7 GROUP BY ALL),
+  m AS (SELECT host, string_agg(selector, ',' ORDER BY seen) AS suggested FROM f GROUP BY host),
+  t AS (SELECT host, n, concat_ws(',', suggested, CASE WHEN priced THEN '.preco,[class*=''preco'']' END) AS price, CASE WHEN addressed THEN '.endereco,[class*=''endereco'']' ELSE '' END AS address,
+    CASE WHEN n = 1 THEN 0.5 ELSE least(0.3 + (n - 1) * 0.1, 0.95) END AS own FROM h LEFT JOIN m USING (host))"""
 
 
-@query(SAID + ", h AS (SELECT concat('site', site, '.com.br') AS host, site, count(*) AS n FROM s GROUP BY ALL), c AS (SELECT *, CASE WHEN n = 1 THEN 0.5 ELSE least(0.3 + (n - 1) * 0.1, 0.95) END AS x FROM h) SELECT host, CASE site WHEN 0 THEN '.novo,.preco,[class*=''preco'']' ELSE '.preco,[class*=''preco'']' END AS price, round(CASE WHEN site < 2 THEN (x + 0.9) / 2 ELSE x END, 9)::DOUBLE AS confidence FROM c")
+def _listed(kind: str):
+    return F.coalesce(F.array_join(F.try_element_at("selectors", F.lit(kind)), ","), F.lit("")).alias(kind)
+
+
+@query(TAUGHT + " SELECT host, price, round((own + 0.9) / 2, 9)::DOUBLE AS confidence FROM t")
 def ai_selector_merge(spark, sf_dir):
     found = training.with_model(training.by_host(_site(spark, sf_dir)), _suggested(spark, sf_dir))
-    return found.select("host", F.array_join(F.element_at("selectors", F.lit("price")), ",").alias("price"), F.round("confidence", 9).alias("confidence"))
+    return found.select("host", _listed("price"), F.round("confidence", 9).alias("confidence"))
+
 
+def _learned(found):
+    counts = ("title_length", "price_count", "phone_count", "email_count")
+    return found.select("domain", "hosts", "n", F.round("confidence", 9).alias("confidence"), *counts, *training.FLAGS, _listed("price"), _listed("address"))
 
-QUERIES["pipe_train_reference"], ORACLES["pipe_train_reference"] = base_domain_consolidate, ORACLES["base_domain_consolidate"]
-QUERIES["pipe_train_content"], ORACLES["pipe_train_content"] = docfreq_consolidate, ORACLES["docfreq_consolidate"]
-QUERIES["pipe_train_ai"], ORACLES["pipe_train_ai"] = ai_selector_merge, ORACLES["ai_selector_merge"]
+
+LEARNED = "12::BIGINT AS title_length, 1::BIGINT AS price_count, 0::BIGINT AS phone_count, 0::BIGINT AS email_count, false AS has_gallery, true AS has_contact_form, false AS has_pagination, false AS has_filters"
+
+
+@query(TAUGHT + f" SELECT host AS domain, 1::BIGINT AS hosts, n, round((own + 0.9) / 2, 9)::DOUBLE AS confidence, {LEARNED}, price, address FROM t")
+def pipe_train_ai(spark, sf_dir):
+    return _learned(training.train_with_model(_site(spark, sf_dir), _suggested(spark, sf_dir)))
+
+
+@query(SAID + f""", h AS (SELECT concat('site', site, '.com.br') AS domain, count(*) AS n, bool_or(page_id % 2 = 0) AS priced, bool_or(page_id % 3 = 0) AS addressed FROM s WHERE size <= 40 GROUP BY ALL)
+  SELECT domain, 1::BIGINT AS hosts, n, round(CASE WHEN n = 1 THEN 0.5 ELSE least(0.3 + (n - 1) * 0.1, 0.95) END, 9)::DOUBLE AS confidence, {LEARNED},
+  CASE WHEN priced THEN '.preco,[class*=''preco'']' ELSE '' END AS price, CASE WHEN addressed THEN '.endereco,[class*=''endereco'']' ELSE '' END AS address FROM h""")
+def pipe_train_reference(spark, sf_dir):
+    """A reference file that names each page, most of them twice, and has some commented out."""
+    site = _site(spark, sf_dir)
+    sizes = views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), "p_size")
+    named = site.join(sizes, "page_id").select(F.concat(F.when(F.col("p_size") > 40, F.lit("# ")).otherwise(F.lit("")), F.col("page_id").cast("string"), F.lit("|"), F.col("url")).alias("line"), "url")
+    lines = named.select("line").unionByName(named.where(~F.col("line").startswith("#")).select(F.concat(F.lit(" "), F.col("url")).alias("line")))
+    return _learned(training.train_reference(lines, site))
+
+
+FILLED = "<h2 class=\"titulo\">Mais</h2><p>{0}</p></body>"
+
+
+@query(SAID + """, v AS (SELECT * FROM s WHERE size > 10), n AS (SELECT count(*) AS valid, greatest(1, count(*) * 30 // 100) AS least FROM v),
+  w AS (SELECT 'casa' AS word, count(*) FILTER (kind = 'Casa') AS c FROM v UNION ALL SELECT 'apartamento', count(*) FILTER (kind = 'Apartamento') FROM v UNION ALL SELECT 'terreno', count(*) FILTER (kind = 'Terreno') FROM v
+    UNION ALL SELECT unnest(['banheiros', 'm²']), count(*) FILTER (described) FROM v UNION ALL SELECT unnest(['quartos', 'piscina', 'venda']), count(*) FROM v),
+  e AS (SELECT unnest(['h1', 'h2', '.titulo']) AS sel, count(*) AS c FROM v UNION ALL SELECT '.descricao', count(*) FILTER (described) FROM v)
+  SELECT (SELECT count(*) FROM s) AS pages, valid AS valid_pages, (SELECT string_agg(sel, ',' ORDER BY sel) FROM e WHERE c >= least) AS common_selectors, (SELECT string_agg(word, ',' ORDER BY word) FROM w WHERE c >= least) AS common_keywords,
+  (SELECT CASE WHEN bool_or(page_id % 2 = 0) THEN '.preco,[class*=''preco'']' ELSE '' END FROM v) AS price_selectors FROM n""")
+def pipe_train_content(spark, sf_dir):
+    """Pages of more words are valid, the others too short."""
+    sizes = views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), "p_size")
+    longer = F.replace("html", F.lit("</body>"), F.lit(FILLED.format("palavra " * 60)))
+    filled = _site(spark, sf_dir).join(sizes, "page_id").select("page_id", "url", F.when(F.col("p_size") > 10, longer).otherwise(F.col("html")).alias("html"))
+    lists = ("common_selectors", "common_keywords", "price_selectors")
+    return training.train_content(filled).select("pages", "valid_pages", *[F.array_join(c, ",").alias(c) for c in lists])
 
 
 # ---- crawls -------------------------------------------------------------------------------------

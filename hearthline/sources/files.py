@@ -79,3 +79,20 @@ def candidate_sites(cities: DataFrame, guesses) -> DataFrame:
 def searched_sites(results: DataFrame, good: Column) -> DataFrame:
     """url: of search results (link, title) those that are good, without query, each once."""
     return supplied(results, RESULTS).where(good).select(urls.for_search(F.col("link")).alias("url")).where("url <> ''").distinct()
+
+
+#: The names of settings in a file, and the fields of Settings that they give.
+NAMES = {"PORT": "port", "MONGO_URI": "store", "SITES_FILE": "sites_file"}
+
+
+def env_settings(texts: DataFrame, key: str, default: Settings) -> DataFrame:
+    """key and the fields of Settings, of the text of a settings file each: lines NAME=value, maybe after export, the last of a name
+    counts; values may be quoted, else what follows a blank and # goes; an empty value or a lacking name leaves the default."""
+    pattern = r"(?m)^[ \t]*(?:export[ \t]+)?%s[ \t]*=[ \t]*(.*)$"
+    columns = []
+    for name, field in NAMES.items():
+        last = F.trim(F.coalesce(F.try_element_at(F.regexp_extract_all("text", F.lit(pattern % name), 1), F.lit(-1)), F.lit("")))
+        quoted = F.regexp_extract(last, r"""^("([^"]*)"|'([^']*)')""", 0)
+        value = F.when(quoted != "", F.regexp_replace(quoted, r"""^["']|["']$""", "")).otherwise(F.trim(F.regexp_replace(last, r"\s#.*$|^#.*$", "")))
+        columns.append(F.when(value != "", value).otherwise(getattr(default, field)).alias(field))
+    return texts.select(key, *columns)
