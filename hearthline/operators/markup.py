@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hearthline.functions import urls
 from hearthline.operators import pages as rules
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -30,7 +31,8 @@ class _Page(HTMLParser):
         self.url, self.open, self.texts = url, [], []
         self.classes: list[str] = []
         self.filled: dict[str, None] = {}
-        self.links: dict[str, None] = {}
+        #: Addresses of anchors, of buttons and forms, of attributes: each group in the order of the page.
+        self.found: tuple[list[str], list[str], list[str]] = ([], [], [])
         self.counts = dict.fromkeys(("a", "img", "div", "form"), 0)
         self.photos = 0
 
@@ -43,13 +45,21 @@ class _Page(HTMLParser):
         names = [f".{c}" for c in own] + ([f"#{given['id']}"] if given.get("id") else [])
         if tag == "img" and "src" in given:
             self.photos += sum(any(g in held for _, held in self.open) for g in GALLERIES)
-        address = given.get("href") if tag == "a" else given.get("action") if tag == "form" else None
-        for found in [address, *[given.get(a) for a in LINK_ATTRIBUTES]]:
-            if found:
-                self.links.setdefault(_joined(self.url, found))
+        if tag == "a":
+            self.found[0].append(given.get("href", ""))
+        elif tag == "form":
+            self.found[1].append(given.get("action", ""))
+        if tag in ("button", "input", "form"):
+            self.found[1].append(opened(given.get("onclick", "")))
+        self.found[2].extend(given.get(a, "") for a in LINK_ATTRIBUTES)
         if tag not in VOID:
             self.open.append((tag, names))
 
+    def links(self) -> list[str]:
+        """Absolute addresses, each once: anchors first, then buttons and forms, then attributes."""
+        given = (x.strip() for group in self.found for x in group)
+        return [x for x in dict.fromkeys(_joined(self.url, x) for x in given if x and not x.startswith("#")) if x]
+
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
@@ -64,6 +74,16 @@ class _Page(HTMLParser):
                     self.filled.setdefault(name)
 
 
+def opened(onclick: str) -> str:
+    """The address that a script opens: what is in quotes behind the first opening that it has; empty if there is none."""
+    for begin in urls.ONCLICK:
+        _, there, rest = onclick.partition(begin)
+        address, closed, _ = rest.partition(begin[-1])
+        if there and closed and address:
+            return "" if address.strip().startswith(("#", "javascript:")) else address.strip()
+    return ""
+
+
 def _joined(base: str, link: str) -> str:
     try:
         return urljoin(base, link.strip())
@@ -82,8 +102,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                 page = _Page(url or "")
                 page.feed(html or "")
                 page.close()
-                links = [x for x in page.links if x]
-                rows.append((page_id, url, "".join(page.texts), *page.counts.values(), page.photos, page.classes, list(page.filled), links))
+                rows.append((page_id, url, "".join(page.texts), *page.counts.values(), page.photos, page.classes, list(page.filled), page.links()))
             kinds = [batch.schema.field(0).type, pa.string(), pa.string(), *[pa.int32()] * 5, *[pa.list_(pa.string())] * 3]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], NAMES)

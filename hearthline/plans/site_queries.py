@@ -181,6 +181,16 @@ def cls_fused_known(spark, sf_dir):
     return views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), accepted.alias("accepted"), F.round(confidence, 9).alias("confidence"))
 
 
+@query(SAID + """, h AS (SELECT site, count(*) AS n, (bool_or(page_id % 2 = 0)::INT + bool_or(page_id % 3 = 0)::INT + bool_or(described)::INT + 1) AS expected, CASE WHEN count(*) = 1 THEN 0.5 ELSE least(0.3 + (count(*) - 1) * 0.1, 0.95) END AS trust FROM s WHERE site < 4 GROUP BY site)
+  SELECT page_id, site < 4 AS known, true AS accepted, round(CASE WHEN site < 4 THEN (((page_id % 2 = 0)::INT + (page_id % 3 = 0)::INT + described::INT + 1) / expected * trust + 0.8) / 2 WHEN page_id % 2 = 0 OR page_id % 3 = 0 THEN 0.8 / 1.2 ELSE 0.6 END, 9)::DOUBLE AS confidence
+  FROM s LEFT JOIN h USING (site)""")
+def cls_fused_pages(spark, sf_dir):
+    """Pages of four hosts by what was learned of these, of the others by their words and markup."""
+    site = _site(spark, sf_dir)
+    learned = training.by_host(site.where(F.col("url").rlike("//site[0-3]\\.")))
+    return crawls.fused_kinds(site, learned).withColumn("confidence", F.round("confidence", 9))
+
+
 CONTENT = "CASE p_size % 3 WHEN 0 THEN 'property' WHEN 1 THEN 'catalog' END"
 
 

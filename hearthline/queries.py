@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.functions import extract, hashing, text, urls
-from hearthline.operators import classify, frontier, learn, quality, registry, search, state
+from hearthline.operators import classify, frontier, learn, markup, quality, registry, search, state
 from hearthline.sources import views
 from hearthline.streaming import rate_limit
 
@@ -292,8 +292,18 @@ def rate_limit_window(spark, sf_dir):
     return rate_limit.limited(events, 3, 86_400).select("seq", "allowed")
 
 
-@query("""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages""")
+@query("""WITH s AS (SELECT p_partkey AS page_id, p_size AS size, concat('https://site', p_partkey % 7, '.com.br') AS host FROM part),
+  k AS (SELECT page_id, unnest([(0, concat(host, '/b', size)), (1, concat(host, '/lista/c?x=1&y=2')), (2, CASE WHEN page_id % 2 = 1 THEN concat(host, '/b1') END), (3, concat(host, '/e')), (4, concat(host, '/d', page_id % 3)),
+    (5, 'https://outro.com/f'), (6, concat(host, '/fim')), (7, concat(host, '/c')), (8, concat(host, '/g'))]) AS x FROM s),
+  f AS (SELECT page_id, x[2] AS link, min(x[1]) AS place FROM k WHERE x[2] IS NOT NULL GROUP BY ALL)
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY place) - 1 AS "at", link FROM f""")
 def links_all(spark, sf_dir):
+    """All addresses of a page that may be clicked, in whatever form, each once."""
+    return markup.links(markup.parsed(views.clickable_pages(spark, sf_dir))).withColumn("at", F.col("at").cast("long"))
+
+
+@query("""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages""")
+def links_quoted(spark, sf_dir):
     return frontier.links(views.read(spark, sf_dir, "pages"))
 
 

@@ -74,6 +74,21 @@ SITE = {
 SITE_SQL = "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in SITE.items()) + " FROM part"
 
 
+#: Pages with an address in each form that a page may have one: quoted, bare, behind other attributes, in scripts, forms and data.
+CLICKABLE = {
+    "page_id": "p_partkey",
+    "url": "concat('https://site', cast(p_partkey % 7 as varchar), '.com.br/lista/')",
+    "html": """concat('<body data-url="/fim"><A CLASS=x HREF=/b', cast(p_size as varchar), '>1</A><a href=', chr(39), 'c?x=1&amp;y=2', chr(39), '>2</a><a href="', case when p_partkey % 2 = 0 then '#topo' else '/b1' end, '">3</a>',
+ '<button onclick="window.location=', chr(39), '/d', cast(p_partkey % 3 as varchar), chr(39), '">4</button><form action="/e"><input onclick="window.open(', chr(39), 'https://outro.com/f', chr(39), ')"></form>',
+ '<div data-link=" /g " data-href="/c" onclick="window.location=', chr(39), '/nunca', chr(39), '"></div><a href="/e">5</a><a>6</a><button onclick="alert(1)">7</button></body>')""",
+}
+CLICKABLE_SQL = "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in CLICKABLE.items()) + " FROM part"
+
+
+def clickable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _viewed(spark, sf_dir, CLICKABLE)
+
+
 def _viewed(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
     return read(spark, sf_dir, "part").selectExpr(*[f"{sql.replace('as varchar', 'as string')} AS {name}" for name, sql in columns.items()])
 
