@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hearthline.functions import urls
-from hearthline.operators import links
+from hearthline.operators import links, schedule
 from hearthline.plans.base import registry, sql_any
 from hearthline.sources import views
 
@@ -133,3 +135,36 @@ def union_strategies_distinct(spark, sf_dir):
     sites = views.read(spark, sf_dir, "supplier").join(F.broadcast(views.read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     one = sites.select(F.col("n_name").alias("city"), F.col("s_name").alias("url"), (F.col("s_suppkey") % 3).alias("strategy"), F.col("s_suppkey").alias("at"))
     return links.distinct_by_strategy(one.unionByName(one.withColumn("strategy", F.lit(4).cast(one.schema["strategy"].dataType))), 20)
+
+
+SCHEDULED = f"""{K}, g AS (SELECT id, link, {HOST.format('link')} AS host, id % 4 AS depth, CASE WHEN {sql_any('lower(link)', links.PRIORITY)} THEN 0 WHEN {sql_any('lower(link)', links.LOW)} THEN 2 ELSE 1 END AS place
+  FROM k WHERE NOT {sql_any('lower(link)', links.SKIPPED)} AND id % 4 <= 2),
+  t AS (SELECT id, host, (row_number() OVER (PARTITION BY host ORDER BY place, depth, id) - 1) // 2 * 3 AS start FROM g)"""
+
+
+def _fetched(spark, sf_dir):
+    return views.links(spark, sf_dir).select("id", F.col("link").alias("url"), (F.col("id") % 4).alias("depth"))
+
+
+@query(SCHEDULED + " SELECT id, host, start FROM t")
+def fetch_schedule(spark, sf_dir):
+    """When each url is fetched, by two at once for a host and three seconds between."""
+    return schedule.polite(_fetched(spark, sf_dir), slots=2, delay=3, max_depth=2).select("id", "host", "start")
+
+
+@query(SCHEDULED + " SELECT host, count(*) AS urls, max(start) AS last FROM t WHERE start < 60 GROUP BY host")
+def fetch_budget(spark, sf_dir):
+    """What a minute's crawl fetches of each host."""
+    timed = schedule.polite(_fetched(spark, sf_dir), slots=2, delay=3, horizon=60, max_depth=2)
+    return timed.groupBy("host").agg(F.count("*").alias("urls"), F.max("start").alias("last"))
+
+
+@query(f"{K} SELECT count(*) AS found, count(*) FILTER ({sql_any('lower(link)', links.SKIPPED)}) AS skipped, count(*) FILTER (NOT {sql_any('lower(link)', links.SKIPPED)}) AS read, count(*) FILTER (NOT {sql_any('lower(link)', links.SKIPPED)} AND {sql_any('lower(link)', links.PRIORITY)}) AS priority FROM k")
+def crawl_counts(spark, sf_dir):
+    """What the stages of a crawl let through, counted while it runs."""
+    url = F.col("link")
+    found, first = schedule.watched(views.links(spark, sf_dir).select("id", "link"), f"found-{uuid.uuid4().hex}", skipped=links.skipped(url))
+    read, second = schedule.watched(found.where(~links.skipped(url)), f"read-{uuid.uuid4().hex}", priority=links.priority(url))
+    read.write.format("noop").mode("overwrite").save()
+    counts = (first.get["rows"], first.get["skipped"], second.get["rows"], second.get["priority"])
+    return spark.createDataFrame([counts], "found long, skipped long, read long, priority long")
