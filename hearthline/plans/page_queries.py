@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hearthline.functions import urls
 from hearthline.operators import learn, pages
 from hearthline.plans.base import registry, sql_any, sql_count, sql_hits, sql_matches
 from hearthline.sources import views
@@ -147,3 +148,25 @@ def _labelled(spark, sf_dir):
 def conf_examples(spark, sf_dir):
     n = (F.col("p_partkey") % 15).cast("int")
     return views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), learn.url_confidence(n).alias("by_url"), learn.content_confidence(n).alias("by_content"), F.round(learn.reference_confidence(n), 9).alias("by_reference"))
+
+
+@query(f"{R}, q AS (SELECT id, unnest(string_split(pattern, '/')) AS part FROM r) SELECT id, part, count(*) AS n FROM q WHERE part <> '' AND NOT contains(part, '{{') GROUP BY ALL")
+def ref_required_parts(spark, sf_dir):
+    """The segments that a reference path must have, each with how many times."""
+    found = views.page_texts(spark, sf_dir).select("id", F.explode(pages.required_parts(pages.reference_path(F.col("url")))).alias("part"))
+    return found.groupBy("id", "part").agg(F.count("*").alias("n"))
+
+
+@query(f"{R}, q AS (SELECT id, unnest(list_filter({list(pages.KIND_WORDS)!r}, lambda w: contains(lower(pattern), w))) AS word FROM r) SELECT word, count(*) AS paths FROM q GROUP BY word")
+def ref_keywords(spark, sf_dir):
+    """How many reference paths speak of each kind of listing."""
+    found = views.page_texts(spark, sf_dir).select(F.explode(pages.keywords(pages.reference_path(F.col("url")))).alias("word"))
+    return found.groupBy("word").agg(F.count("*").alias("paths"))
+
+
+@query(f"""WITH q AS (SELECT id, regexp_extract(link, '^[^?#]*\\?([^#]*)', 1) AS q FROM ({views.LINK_SQL}))
+  SELECT id, array_to_string(list_filter([CASE WHEN regexp_matches(q, 'page=|pagina=') THEN 'has_pagination' END, CASE WHEN regexp_matches(q, 'filtro|filter') THEN 'has_filters' END, CASE WHEN regexp_matches(q, 'ordenar|sort') THEN 'has_sorting' END,
+  CASE WHEN regexp_matches(q, 'busca|search|q=') THEN 'has_search' END], lambda x: x IS NOT NULL), ',') AS uses FROM q""")
+def query_features(spark, sf_dir):
+    """What each link's query string is used for."""
+    return views.links(spark, sf_dir).select("id", F.array_join(learn.query_uses(urls.query(F.col("link"))), ",").alias("uses"))
