@@ -130,3 +130,71 @@ def by_reference(pages: DataFrame, learned: DataFrame) -> DataFrame:
     no = F.col("excluded") | (F.size(page_rules.keywords(F.col("path"))) == 0)
     scored = named.join(best, "pattern").select("id", F.round(F.when(no, 0.0).otherwise(score), 9).alias("confidence"))
     return scored.withColumn("accepted", F.col("confidence") >= 0.6)
+
+
+#: What a path may have in place of a pattern's {id}, and what else is a number in either.
+NUMBER, SLOT = r"\d+", r"((?:\d|\{id\})+)"
+
+
+def _slots(path: Column) -> tuple[Column, Column]:
+    """A path with each of its numbers (or {id}) as one mark, and these."""
+    return F.regexp_replace(path, SLOT, "{id}"), F.regexp_extract_all(path, F.lit(SLOT), F.lit(1))
+
+
+def _fits(paths: DataFrame, patterns: DataFrame) -> DataFrame:
+    """path, pattern: which distinct paths are a pattern as a whole, with digits for each {id}. A path and a pattern of it have the same
+    shape; a shape has few masks (which of its numbers a pattern has {id} for), and with these both are told by equality."""
+    shape, slots = _slots(F.col("pattern"))
+    wild = F.transform(slots, lambda s: s.contains("{id}"))
+    masked = F.transform(slots, lambda s: F.when(~s.contains("{id}"), s).otherwise("*"))
+    known = patterns.select("pattern", shape.alias("shape"), wild.alias("wild"), masked.alias("numbers"))
+    masks = known.select("shape", "wild").distinct()
+    shape, slots = _slots(F.col("path"))
+    ours = paths.select("path", shape.alias("shape"), slots.alias("slots")).join(masks, "shape")
+    ours = ours.withColumn("numbers", F.zip_with("slots", "wild", lambda s, w: F.when(~w, s).otherwise("*")))
+    met = ours.join(known, ["shape", "wild", "numbers"])
+    # numbers that are partly given (1{id}), and paths that hold a brace, are told by the pattern itself
+    regex = F.concat(F.lit(r"\A\Q"), F.replace("pattern", F.lit("{id}"), F.lit(r"\E" + NUMBER + r"\Q")), F.lit(r"\E\z"))
+    return met.where(F.regexp_like("path", regex)).select("path", "pattern")
+
+
+def _named_alike(names: DataFrame, bases: DataFrame) -> DataFrame:
+    """host, base, known, weight: which learned base domains (known) have the same name as a host's base (0.4), lie in the host's name
+    or hold its base (0.2). Parts of names meet names by equality, of those lengths only that occur."""
+    lengths = lambda rows, name: rows.agg(F.collect_set(F.length(name)).alias("lengths"))  # noqa: E731  one row, a number for each length
+
+    def parts(rows: DataFrame, name: str, of: DataFrame) -> DataFrame:
+        whole = F.col(name)
+        each = F.transform("lengths", lambda n: F.when(n > F.length(whole), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(whole) - n + 1), lambda k: F.substring(whole, k, n))))
+        return rows.crossJoin(F.broadcast(of)).select(name, F.explode(F.array_distinct(F.flatten(each))).alias("part"))
+
+    hosts, ours = names.select("host").distinct(), names.select("base").distinct()
+    within = parts(hosts, "host", lengths(bases, "known")).join(bases, F.col("part") == F.col("known")).select("host", "known").join(names, "host")
+    around = parts(bases, "known", lengths(ours, "base")).join(ours, F.col("part") == F.col("base")).select("base", "known").join(names, "base")
+    met = within.select("host", "base", "known").unionByName(around.select("host", "base", "known")).distinct()
+    return met.withColumn("weight", F.when(F.col("base") == F.col("known"), 0.4).otherwise(0.2))
+
+
+def best_reference(pages: DataFrame, learned: DataFrame) -> DataFrame:
+    """pages: id, url; learned: name, domain, pattern, confidence. Per page: id, name of the learned pattern with the highest score, and
+    the score: 0.4 for the same base domain, or 0.2 for a name within the other, 0.3 for its path, 0.3 of the confidence. Equal scores go
+    by name; without learned patterns both are null.
+
+    No page meets all patterns: a pattern that is best is best among those that share what it scores for, so each page takes the best of
+    all, of its path, of its host and of both, each found by equality. The best of less is never above what its pattern really scores."""
+    host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    rows = pages.select("id", host.alias("host"), urls.base_domain(host).alias("base"), urls.path(F.col("url")).alias("path"))
+    learned = learned.select("name", urls.base_domain(F.col("domain")).alias("known"), "pattern", (F.col("confidence") * 0.3).alias("sure"))
+    best = lambda points: F.min(F.struct((-F.round(points + F.col("sure"), 9)).alias("less"), "name"))
+    names = rows.select("host", "base").distinct()
+    met = _named_alike(names, learned.select("known").distinct()).join(learned, "known").select("host", "weight", "name", "pattern", "sure")
+    fits = _fits(rows.select("path").distinct(), learned.select("pattern").distinct())
+    of_all = learned.agg(best(F.lit(0.0)).alias("of_all"))  # one row
+    of_path = fits.join(learned.groupBy("pattern").agg(best(F.lit(0.3)).alias("b")), "pattern").groupBy("path").agg(F.min("b").alias("of_path"))
+    of_host = met.groupBy("host").agg(best(F.col("weight")).alias("of_host"))
+    both = met.groupBy("host", "pattern").agg(best(F.col("weight") + 0.3).alias("b"))
+    met_paths = rows.select("host", "path").distinct().join(fits, "path").join(both, ["host", "pattern"])
+    of_both = met_paths.groupBy("host", "path").agg(F.min("b").alias("of_both"))
+    found = rows.join(of_path, "path", "left").join(of_host, "host", "left").join(of_both, ["host", "path"], "left").crossJoin(F.broadcast(of_all))
+    chosen = found.select("id", F.least("of_all", "of_path", "of_host", "of_both").alias("best"))
+    return chosen.select("id", F.col("best.name").alias("name"), (-F.col("best.less")).alias("score"))

@@ -170,3 +170,23 @@ def ref_keywords(spark, sf_dir):
 def query_features(spark, sf_dir):
     """What each link's query string is used for."""
     return views.links(spark, sf_dir).select("id", F.array_join(learn.query_uses(urls.query(F.col("link"))), ",").alias("uses"))
+
+
+HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+WHOLE = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+BASE = "CASE WHEN ends_with({0}, '.br') THEN array_to_string(list_slice(string_split(regexp_replace({0}, '^www\\.', ''), '.'), -3, -1), '.') ELSE array_to_string(list_slice(string_split(regexp_replace({0}, '^www\\.', ''), '.'), -2, -1), '.') END"
+
+
+@query(rf"""{P}, r AS (SELECT id, {HOST} AS host, {WHOLE} AS path FROM p), s AS (SELECT id, host, path, {BASE.format('host')} AS base FROM r),
+  n AS (SELECT concat(host, ' ', regexp_replace(path, '\d+', '{{id}}', 'g')) AS name, host AS domain, base AS known, regexp_replace(path, '\d+', '{{id}}', 'g') AS pattern, least(0.3 + (count(*) - 1) * 0.1, 0.95)::DOUBLE AS confidence FROM s GROUP BY ALL),
+  d AS (SELECT DISTINCT host, base, path FROM s),
+  m AS (SELECT host, path, name, round(CASE WHEN base = known THEN 0.4 WHEN contains(host, known) OR contains(known, base) THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN regexp_full_match(path, replace(regexp_replace(pattern, '([.*+?()|\[\]])', '\\\1', 'g'), '{{id}}', '\d+')) THEN 0.3 ELSE 0 END::DOUBLE + 0.3 * confidence, 9) AS score FROM d, n),
+  b AS (SELECT host, path, name, score FROM m QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY score DESC, name) = 1)
+  SELECT id, name, score FROM s JOIN b USING (host, path)""")
+def ref_match(spark, sf_dir):
+    """The best reference pattern of each page, of patterns learned from all."""
+    found = views.page_texts(spark, sf_dir).select("id", "url")
+    host, pattern = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), urls.shape(urls.path(F.col("url")))
+    counted = found.groupBy(host.alias("domain"), pattern.alias("pattern")).agg(F.count("*").alias("n"))
+    learned = counted.select(F.concat_ws(" ", "domain", "pattern").alias("name"), "domain", "pattern", learn.reference_confidence(F.col("n")).alias("confidence"))
+    return learn.best_reference(found, learned)

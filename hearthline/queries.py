@@ -292,6 +292,13 @@ def rate_limit_window(spark, sf_dir):
     return rate_limit.limited(events, 3, 86_400).select("seq", "allowed")
 
 
+@query(ORACLES["rate_limit_window"])
+def rate_limit_jumps(spark, sf_dir):
+    """The same rows, with each client's requests dealt to many tasks."""
+    events = views.read(spark, sf_dir, "events").select(F.col("user_id").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"))
+    return rate_limit.by_jumps(events, 3, 86_400).select("seq", "allowed")
+
+
 @query("""WITH s AS (SELECT p_partkey AS page_id, p_size AS size, concat('https://site', p_partkey % 7, '.com.br') AS host FROM part),
   k AS (SELECT page_id, unnest([(0, concat(host, '/b', size)), (1, concat(host, '/lista/c?x=1&y=2')), (2, CASE WHEN page_id % 2 = 1 THEN concat(host, '/b1') END), (3, concat(host, '/e')), (4, concat(host, '/d', page_id % 3)),
     (5, 'https://outro.com/f'), (6, concat(host, '/fim')), (7, concat(host, '/c')), (8, concat(host, '/g'))]) AS x FROM s),

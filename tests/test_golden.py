@@ -165,3 +165,55 @@ def test_rate_limit_at_its_bounds(spark):
     got = {r.seq: r.allowed for r in rate_limit.limited(requests, 2, 10).collect()}
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: True, 8: False}
     assert rate_limit.limited(requests.limit(0), 2, 10).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1_000_000])
+def test_rate_limit_by_jumps_is_the_rate_limit(spark, hot):
+    import random
+
+    from hearthline.streaming import rate_limit
+
+    rng = random.Random(hot)
+    clients = [1] * 5 + [2, 3, None, None]
+    rows = [(rng.choice(clients), rng.randrange(0, 400) * 500_000, k) for k in range(900)] + [(4, 7, 1000), (5, 0, 1001), (5, 10_000_000, 1002), (5, 10_000_001, 1003), (0, 3, 1004)]
+    requests = spark.createDataFrame(rows, "client long, at long, seq long").repartition(5)
+    want, start, count = {}, {}, {}
+    for client, at, seq in sorted(rows, key=lambda r: r[1:]):
+        if client not in start or at - start[client] > 10_000_000:
+            start[client], count[client] = at, 0
+        want[seq] = (client, at, count[client] < 2)
+        count[client] += want[seq][2]
+    got = rate_limit.limited(requests, 2, 10, hot=hot).collect()
+    assert {r.seq: (r.client, r.at, r.allowed) for r in got} == want and len(got) == len(rows)
+    assert rate_limit.by_jumps(requests.limit(0), 2, 10).count() == 0
+
+
+def test_best_reference_pattern_against_all_pairs(spark):
+    import re
+
+    from hearthline.operators import learn
+
+    def base(host):
+        parts = re.sub(r"^www\.", "", host).split(".")
+        return ".".join(parts[-3:] if parts[-1] == "br" else parts[-2:])
+
+    hosts = ["www.casa.com.br", "casa.com.br", "lar.casa.com.br", "minhacasa.com", "casa.com", "a.com", "outro.org", "com.br", ""]
+    paths = ["/imovel/12", "/imovel/7", "/v2/imovel/12", "/imovel-12.html", "/imovelx12", "/imovel/{id}", "/a1", "/a12", "/", "", "/venda/3/4", "/venda/3/5"]
+    patterns = ["/imovel/{id}", "/imovel/12", "/v2/imovel/{id}", "/imovel-{id}.html", "/a1{id}", "/a{id}", "/venda/3/{id}", "/venda/{id}/4", "/venda/{id}/{id}", "", "/x"]
+    pages = [(k, f"https://{h}{p}?q=1") for k, (h, p) in enumerate((h, p) for h in hosts for p in paths)]
+    learned = [(f"{d}|{p}", d, p, (7 * k % 10) / 10) for k, (d, p) in enumerate((d, p) for d in hosts for p in patterns if (len(d) + len(p)) % 3)]
+    want = {}
+    for k, url in pages:
+        host, path = re.match(r"https://([^/?#]*)([^?#]*)", url).groups()
+        scores = []
+        for name, domain, pattern, sure in learned:
+            points = 0.4 if base(host) == base(domain) else 0.2 if base(domain) in host or base(host) in base(domain) else 0.0
+            points += 0.3 * bool(re.fullmatch(re.escape(pattern).replace(r"\{id\}", r"[0-9]+"), path))
+            scores.append((-round(points + 0.3 * sure, 9), name))
+        want[k] = min(scores)
+    learned = spark.createDataFrame(learned, "name string, domain string, pattern string, confidence double")
+    pages = spark.createDataFrame(pages, "id long, url string")
+    out = learn.best_reference(pages, learned)
+    assert {r.id: (-r.score, r.name) for r in out.collect()} == want
+    assert {(r.name, r.score) for r in learn.best_reference(pages, learned.limit(0)).collect()} == {(None, None)}
+    assert learn.best_reference(pages.limit(0), learned).count() == 0
