@@ -1,11 +1,15 @@
 """Main text of web pages, with a site style tree deciding on branches that markup alone leaves open.
 
 Pages are read by a tolerant tokeniser into blocks: runs of text between block-level tags, each with its style path (tags and
-classes from the root). Some branches are boilerplate by their markup: by tag, because they are hidden, or by a word of their
-class, id or role (no-sidebar, with-ads, category-privacy are no such words). Where a page has article or main elements, the text
-is what lies in them.
-
-A word is only a hint on an article or main that is not within an article, and on what contains one. Such an article or main is
+classes from the root). Some branches are boilerplate by their markup: by tag, because they are hidden, or by a name (a class, an id
+or a role) that says so as a whole: all its words are words of boilerplate or neutral ones (related-posts, site-footer, share), or one
+never names anything else (ad-leaderboard). Such a word beside others (related-work, share-price, warning-signs; no-sidebar and
+category-privacy too) marks nothing, and the tree decides as on every other branch. Names that say so as a whole drop a branch
+whatever its importance, as comments, teasers and adverts differ from page to page like the text does. A form that holds an article
+or main, or most of a page's text and FORM_CHARS of it or more, is the page and not a form. Where a page has article or main elements,
+the text is what lies in them.
+
+A name is only a hint on an article or main that is not within an article, and on what contains one. Such an article or main is
 read if its style is important over MIN_PAGES pages or more, or if the page's other articles have headings at most; what contains
 one is read if all that leaves headings at most (those with the fewest hints around them first), with the open branches unless
 an article without such a hint was found.
@@ -87,7 +91,7 @@ CLOSES = {
     "th": ({"td", "th", "p"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-BOILERPLATE_TAGS = frozenset("nav footer aside form head button select dialog menu search svg math object canvas audio video fieldset".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside head button select dialog menu search svg math object canvas audio video fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class, an id or a role that mark boilerplate.
 BOILERPLATE_WORDS = frozenset(
@@ -97,6 +101,23 @@ BOILERPLATE_WORDS = frozenset(
     " paywall popup privacy promo promoted promotion recommendations recommended related reply respond search share sharing sidebar"
     " signup skip social sponsor sponsored subscribe subscription teaser toolbar trending warning widget".split()
 )
+#: Of these, those that name boilerplate whatever stands beside them.
+SURE_WORDS = frozenset(
+    "ad ads adsense advert adverts advertisement advertising advertorial breadcrumb breadcrumbs commentlist contentinfo disqus gdpr"
+    " navbar newsletter pagination paywall popup sidebar".split()
+)
+#: Words for parts, places and sizes, which say nothing of their own beside a word of boilerplate.
+NEUTRAL_WORDS = frozenset(
+    "a above after all and area article articles author avatar bar before below block body bottom box btn button buttons card cards"
+    " center class col column component container content count cta date desktop div el element elements entry entries first fixed"
+    " float foot footer for full global group head header heading hidden holder home icon icons id in info inline inner is item items"
+    " js label large last layer layout left level line link links list lists lg local main mark md media message messages meta mini"
+    " mobile module name new node of on open outer page pages panel parent part placeholder popular post posts primary region right"
+    " row rows secondary sect section sections site slot sm small sticky stories story sub tab tabs tertiary text the thread title to"
+    " top tray ui unit user view visible wp wrap wrapper xl xs you your zone".split()
+)
+#: A form with so many characters and most of a page's text is the page.
+FORM_CHARS = 200
 
 
 @dataclass(slots=True, eq=False)
@@ -105,10 +126,11 @@ class Element:
     path: str
     state: str  # "out": boilerplate by markup, "in": within article or main, "head": a header within one, "open": neither
     children: list[str]
-    hints: tuple[Element, ...] = ()  # this and those above that a word marks
+    hints: tuple[Element, ...] = ()  # this and those above that a name marks, and forms
     inside: bool = False  # within an article
     main: bool = False  # an article or main, not within an article
     holds: bool = False  # contains one, and is not within an article
+    form: bool = False  # a form that no name marks
 
 
 @dataclass(slots=True)
@@ -128,22 +150,28 @@ class Block:
         return self.path.rsplit(">", 1)[-1].split(".", 1)[0] in HEADINGS
 
 
+def boilerplate(name: str) -> bool:
+    """Whether a class, an id or a role says as a whole that it names boilerplate."""
+    words = set(_WORD.findall(_QUALIFIED.sub(" ", name.lower())))
+    marking = words & BOILERPLATE_WORDS
+    return bool(marking) and (not SURE_WORDS.isdisjoint(marking) or words <= BOILERPLATE_WORDS | NEUTRAL_WORDS)
+
+
 def _marked(attrs: str) -> tuple[str, bool, bool]:
-    """A style suffix of the classes, whether the element is hidden, and whether a word marks it as boilerplate."""
+    """A style suffix of the classes, whether the element is hidden, and whether a name marks it as boilerplate."""
     if not attrs:
         return "", False, False
     found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTR.finditer(attrs)}
-    classes, named = found.get("class", ""), " ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""))).lower()
-    words = _WORD.findall(_QUALIFIED.sub(" ", named))
+    classes, named = found.get("class", ""), " ".join((found.get("class", ""), found.get("id", ""), found.get("role", "")))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     names = sorted(set(classes.split())) or ([re.sub(r"\d+", "0", found["id"])] if found.get("id") else [])
-    return "".join("." + n.replace(">", "") for n in names), hidden, not BOILERPLATE_WORDS.isdisjoint(words)
+    return "".join("." + n.replace(">", "") for n in names), hidden, any(map(boilerplate, named.split()))
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
     """(blocks in page order, (path, child styles) of each element that markup does not drop)."""
     root = Element("", "", "open", [])
-    stack, blocks, elements, held = [root], [], [], []
+    stack, blocks, elements, held, forms = [root], [], [], [], []
 
     def flush() -> None:
         text = " ".join("".join(held).split())
@@ -213,8 +241,11 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             if not attrs.endswith("/") or block:
                 inside = above.inside or above.tag == "article"
                 new = Element(tag, above.path if deep else f"{above.path}>{style}" if above.path else style, state, [], above.hints, inside, main and not inside)
-                if hinted and tag not in ("html", "body"):
+                new.form = tag == "form" and not hinted
+                if (hinted and tag not in ("html", "body")) or new.form:
                     new.hints = (*above.hints, new)
+                if new.form:
+                    forms.append(new)
                 stack.append(new)
                 there[tag] += 1
         elif found["end"]:
@@ -236,6 +267,15 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
     if root.children:
         elements.append(root)
     dropped = lambda hints: any(not (e.main or e.holds) for e in hints)
+    if forms:
+        sizes, total = Counter(), 0
+        for b in blocks:
+            if b.state != "out" and not dropped([e for e in b.hints if not e.form]):
+                total += len(b.text)
+                sizes.update({e: len(b.text) for e in b.hints if e.form})
+        pages = {e for e in forms if e.holds or (sizes[e] >= FORM_CHARS and 2 * sizes[e] > total)}
+        for x in (*blocks, *elements) if pages else ():
+            x.hints = tuple(e for e in x.hints if e not in pages)
     for b in blocks:
         if b.hints and dropped(b.hints):
             b.state = "out"

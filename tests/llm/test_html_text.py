@@ -125,3 +125,87 @@ def test_ids_ties_and_clashing_columns(spark):
     rows = [(None, None, "<p>A</p>", 1), (1, "http://h/a", "<p>A</p>", 2), (1, "http://h/a", "<p>A</p>", 2), (2, "http://h/b", None, 3), (3, "http://h/c", "<p>" + "word " * 300_000 + "</p>", 4)]
     out = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert sorted((r.page_id or 0, r.text[:4], r.n_chars) for r in out) == [(0, "A", 1), (1, "A", 1), (1, "A", 1), (2, "", 0), (3, "word", 1_499_999)]
+
+
+NAMES = [
+    ("related-work", False), ("warning-signs", False), ("share-price", False), ("search-algorithms", False), ("no-sidebar", False), ("footer-theory", False), ("story", False), ("", False),
+    ("ad", True), ("ad-leaderboard", True), ("Ad_Slot_3", True), ("site-footer", True), ("related-posts", True), ("comment-17", True), ("share", True), ("cookie-notice", True), ("main-menu", True), ("sidebar-history", True),
+]
+
+
+@pytest.mark.parametrize("name, marks", NAMES)
+def test_names_mark_boilerplate_as_a_whole(spark, name, marks):
+    assert H.boilerplate(name) == marks
+    for kind in ("class", "id", "role"):
+        assert H.main_text(f"<article><p>Intro.</p><section {kind}='{name}'>Part.</section></article>") == ("Intro." if marks else "Intro.\n\nPart.")
+        assert H.main_text(f"<p>Intro.</p><section {kind}='{name}'>Part.</section>") == ("Intro." if marks else "Intro.\n\nPart.")
+
+
+def test_the_tree_decides_where_a_word_stands_beside_others(spark):
+    page = "<article><p>Story {0}.</p><div class='related-work'>Others did {0}.</div><div class='share-price'>Ask us</div></article>"
+    assert texts_of(spark, [page.format(i) for i in range(9)]) == [f"Story {i}.\n\nOthers did {i}." for i in range(9)]
+    assert texts_of(spark, [page.format(i) for i in range(3)])[0] == "Story 0.\n\nOthers did 0.\n\nAsk us"
+
+
+def test_a_form_around_the_page_is_no_form(spark):
+    long = "A sentence of the story, which goes on for a while. " * 5
+    assert H.main_text(f"<form action='/x'><div>{long}</div><button>Go</button></form><p>End.</p>") == f"{long.strip()}\n\nEnd."
+    assert H.main_text("<form><nav>menu</nav><article><p>Story.</p><form><p>Your name</p></form></article></form>") == "Story."
+    assert H.main_text("<form id='aspnetForm'><main>Story.</main><div>x</div></form>") == "Story."
+    assert H.main_text(f"<p>{long}{long}</p><form>{long}</form>") == (long + long).strip()
+    assert H.main_text("<form>Name Password</form>") == H.main_text(f"<form class='search-form'>{long}</form>") == ""
+    assert H.main_text(f"<article><p>Story.</p><form>{long}</form></article>").startswith("Story.")
+    page = "<form><div class='top'>Welcome</div><p>Story {0} goes on " + "and on and on " * 20 + "until {0}.</p></form>"
+    assert [t.split()[:2] for t in texts_of(spark, [page.format(i) for i in range(9)])] == [["Story", str(i)] for i in range(9)]
+
+
+class Node:
+    def __init__(self):
+        self.pages, self.texts, self.shapes, self.below = 0, [], [], set()
+
+
+def plain_tree(pages):
+    """The importance of each style of one host, from its distinct pages: entropies as the method has them, in plain Python."""
+    from math import log
+
+    entropy = lambda values: sum(-(n / len(values)) * log(n / len(values)) for n in (values.count(v) for v in set(values)))
+    nodes = {}
+    for page in {tuple((b.path, b.text) for b in H.parse(p)[0] if b.state != "out"): p for p in pages}.values():
+        blocks, elements = H.parse(page)
+        kept = {(b.path, b.text) for b in blocks if b.state != "out"}
+        for style in {a for path, _ in kept for a in H.ancestors(path)}:
+            nodes.setdefault(style, Node()).pages += 1
+        for path, text in kept:
+            nodes[path].texts.append(text)
+        for path, shape in set(elements):
+            nodes.setdefault(path, Node()).shapes.append(shape)
+    leaf = {}
+    for style, node in nodes.items():
+        if node.texts:
+            m = len(node.texts)
+            # each content's entropy over the blocks of its style is that of its even spread over the pages that hold it
+            leaf[style] = (m, 1 - sum(log(node.texts.count(t)) for t in set(node.texts)) / len(set(node.texts)) / log(m) if m > 1 else 1.0)
+    out = {}
+    for style, node in nodes.items():
+        below = [v for s, v in leaf.items() if s == style or s.startswith(style + ">")]
+        if not below or not node.pages:
+            continue
+        mean = sum(m * v for m, v in below) / sum(m for m, _ in below)
+        if node.shapes:
+            share = H.GAMMA ** len(set(node.shapes))
+            variety = entropy(node.shapes) / log(len(node.shapes)) if len(node.shapes) > 1 else 1.0
+            mean = (1 - share) * variety + share * mean
+        out[style] = mean
+    return out
+
+
+def test_importance_against_a_plain_tree(spark):
+    import random
+
+    rng = random.Random(5)
+    part = lambda i: rng.choice([f"<p>Text {i} {rng.random()}</p>", "<p>Same</p>", "<div class='a'>Menu<i>x</i></div>", f"<div class='b'><p>{i % 3}</p><p>{i % 2}</p></div>", "<section><div>Deep</div></section>", ""])
+    pages = ["<body>" + "".join(part(i) for _ in range(rng.randrange(1, 7))) + "</body>" for i in range(40)]
+    pages += pages[:10]
+    rows = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.style: r.importance for r in H.style_tree(rows).collect()}
+    assert got == pytest.approx(plain_tree(pages), abs=1e-9) and len(got) > 5
