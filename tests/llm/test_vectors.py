@@ -90,3 +90,22 @@ def test_recall_of_planted_pairs_at_production_settings(spark):
     found = sum(got.values())
     assert all(got[i] <= similar[i].sum() for i in range(n))
     assert similar.sum() >= 2 * planted and found >= 0.998 * similar.sum()
+
+
+@pytest.mark.parametrize("dim", [1, 3, 64, 100, 130])
+def test_stored_codes_say_what_the_turned_vectors_say(dim):
+    rng = np.random.default_rng(dim)
+    x, y = V.unit(rng.standard_normal((40, dim))), V.unit(rng.standard_normal((30, dim)))
+    a, b = V.encoded(x), V.encoded(y)
+    turn = V.rotations(dim, 1)[0].T
+    level = sum((np.unpackbits(b.planes[:, p].copy().view(np.uint8), axis=1, bitorder="little")[:, :dim].astype(int) << p) for p in range(V.PLANES))
+    rounded = b.stats[:, 1:2] + b.stats[:, 2:3] * level
+    assert np.allclose(np.linalg.norm(rounded - y @ turn, axis=1), b.stats[:, 3])
+    code = np.where(x @ turn >= 0, 1, -1) / np.sqrt(dim)
+    assert np.allclose((code * (x @ turn)).sum(axis=1), a.stats[:, 0])
+    for threshold in (-0.5, 0.0, 0.5, 0.9):
+        factor = a.stats[:, :1]
+        bound = V.EPSILON * np.sqrt(np.maximum(0, 1 - factor**2) / (factor**2 * max(1, dim - 1))) + b.stats[:, 3] / factor
+        assert (V.open_pairs(a, b, threshold) == (code @ rounded.T / factor + bound >= threshold - 1e-6)).mean() > 0.999
+        assert V.open_pairs(a, b, threshold)[x @ y.T >= threshold].all()
+    assert len(a.signs[0].tobytes() + a.planes[0].tobytes() + a.stats[0].tobytes()) == (1 + V.PLANES) * 8 * -(-dim // 64) + 32
