@@ -36,7 +36,7 @@ from hearthline.llm.components import components
 
 RECALL, EPSILON, TILE, BLOCK = 0.9999, 4.5, 1024, 512
 #: Bits of a component of the vector that a code is compared with.
-PLANES = 4
+PLANES = 6
 #: Cut blocks are broadcast up to so many rows, and joined beyond.
 BROADCAST_ROWS = 50_000
 
