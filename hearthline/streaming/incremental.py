@@ -38,10 +38,11 @@ class Crawl:
         known = self.urls.lookup(visits.select("url"))
         decided, listings = crawls.incremental(pages, known, F.col("visited_at"), self.recent, self.max_age)
         self.listings.merge(listings, FIRST, ("page_id",), mark)
-        read = decided.where("reason = 'process'").join(pages.select("page_id", F.col("visited_at").alias("processed_at")), "page_id")
+        # sorted joins: these tables have a row for each page, and packed files make them look small enough to be sent to every task
+        read = decided.where("reason = 'process'").join(pages.select("page_id", F.col("visited_at").alias("processed_at")).hint("merge"), "page_id")
         before = known.select("url", F.col("hash").alias("hash_before"))
         changed = F.col("hash_before").isNull() | ~F.col("hash_before").eqNullSafe(F.col("hash"))
-        self.urls.merge(read.join(before, "url", "left").withColumn("change_detected", changed), LAST, ("processed_at",), mark)
+        self.urls.merge(read.join(before.hint("merge"), "url", "left").withColumn("change_detected", changed), LAST, ("processed_at",), mark)
 
     def start(self, visits: DataFrame) -> StreamingQuery:
         """Takes a stream of visits up to what its source holds now; started again, it goes on from there."""
