@@ -11,7 +11,7 @@ QUERIES, ORACLES, query = registry()
 
 
 def _parsed(spark, sf_dir):
-    return markup.parsed(views.read(spark, sf_dir, "pages"))
+    return markup.parsed(views.pages(spark, sf_dir))
 
 
 SITE = "p_partkey AS page_id FROM part"

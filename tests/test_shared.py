@@ -52,3 +52,10 @@ def test_analysis_of_a_page(spark):
     assert row.keywords == ["casa", "venda"]
     assert (empty.words, empty.keywords, empty.valid) == (0, [], False)
 
+
+
+def test_pages_of_one_file_are_dealt_out(spark):
+    """A file with one group of rows is one task's, however many pages it holds."""
+    dealt = views.pages(spark, SF)
+    assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(dealt.collect()) == sorted(views.read(spark, SF, "pages").collect())
