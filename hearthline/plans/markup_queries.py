@@ -11,7 +11,7 @@ QUERIES, ORACLES, query = registry()
 
 
 def _parsed(spark, sf_dir):
-    return markup.parsed(views.pages(spark, sf_dir))
+    return markup.parsed(views.pages(spark, sf_dir), linked=False)
 
 
 SITE = "p_partkey AS page_id FROM part"
@@ -20,7 +20,7 @@ SITE = "p_partkey AS page_id FROM part"
 @query(f"""SELECT 1 AS price_count, 1 AS quartos_count, CASE WHEN p_partkey % 5 < 4 THEN 1 ELSE 0 END AS banheiros_count, 5 AS link_count, 0 AS image_count, 1 AS form_count, true AS has_pagination, false AS has_filters,
   2 + (p_partkey % 3 = 0)::INT + (p_partkey % 5 < 4)::INT AS div_count, {SITE}""")
 def page_features(spark, sf_dir):
-    found = markup.features(markup.parsed(views.site_pages(spark, sf_dir)))
+    found = markup.features(markup.parsed(views.site_pages(spark, sf_dir), linked=False))
     return found.select("page_id", "price_count", "quartos_count", "banheiros_count", "link_count", "image_count", "form_count", "has_pagination", "has_filters", "div_count")
 
 
@@ -33,7 +33,7 @@ def page_features_any(spark, sf_dir):
 @query(f"SELECT NULL::VARCHAR AS kind, {SITE}")
 def cls_structure_basic(spark, sf_dir):
     """One card and pagination are too little for a catalogue, and there are no details or photos."""
-    return markup.structure(markup.parsed(views.site_pages(spark, sf_dir)))
+    return markup.structure(markup.parsed(views.site_pages(spark, sf_dir), linked=False))
 
 
 @query()

@@ -1,8 +1,11 @@
 """What pages share: read once, and as counted by hand."""
 
 import os
+from urllib.parse import urljoin
 
-from hearthline.operators import training
+import pytest
+
+from hearthline.operators import markup, training
 from hearthline.plans import site_queries
 from hearthline.sources import views
 
@@ -59,3 +62,21 @@ def test_pages_of_one_file_are_dealt_out(spark):
     dealt = views.pages(spark, SF)
     assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(dealt.collect()) == sorted(views.read(spark, SF, "pages").collect())
+
+
+def test_content_is_learned_of_pages_parsed_once(spark):
+    assert reads(site_queries.content_learn(spark, SF)) == 1
+    plan = site_queries.content_features_agg(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("base", ["https://a.com.br/x/y?z", "http://a.com", "HTTPS://A.com/x", "https://u@a.com:80/x", "", "a/b", "https://a.com/;p", "https://a.com?q"])
+def test_links_are_joined_as_the_library_does(base):
+    for link in ("/b", "/b/", "/b/c?d=1&e=2", "/b?", "/b//c", "//c/d", "/b/../c", "/b;c", "/b#c", "b", "?x=1", "/", "https://d/e", "/b?c=d?e", "/é"):
+        assert markup._joined(base, link) == urljoin(base, link)
+
+
+def test_elements_with_text_and_their_order(spark):
+    html = "<div class='a'><p class='b'></p>x<p class='c'><b id='d'>y</b></p></div><i class='e'> </i><u class='a f'>z</u></x>"
+    row = markup.parsed(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), linked=False).first()
+    assert row.filled == [".a", ".c", "#d", ".f"] and "links" not in row
