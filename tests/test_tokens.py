@@ -1,6 +1,8 @@
 """Tags and texts by pattern against html.parser, and how pages are dealt out and handed on."""
 
+import gc
 import os
+import weakref
 
 import pytest
 
@@ -68,3 +70,41 @@ def test_links_of_three_kinds_from_one_table(spark):
     links = discovery.links_of(site)
     for each in (discovery.listing_links, discovery.pagination_links, discovery.catalog_links):
         assert sorted(each(None, found=links).collect()) == sorted(each(site).collect()) != []
+
+
+@pytest.mark.parametrize("html", [*PLAIN, *ODD, *[a + b for a in PLAIN for b in ODD], "<p><!-- a>b --></p>", "<p><!-- a<b --></p>", "<a b='x>y'>z</a>", "<script/>x</script>", "a>b<p>c>d</p>"])
+def test_cut_at_brackets_like_the_pattern(html):
+    assert tokens.tokens(html) == tokens.matched(html)
+
+
+def test_plain_pages_are_cut_and_not_matched(spark, monkeypatch):
+    """A tag's spelling is read once for all pages; the pattern is not walked over a plain page."""
+    site = [r.html for r in views.site_pages(spark, SF).limit(20).collect()]
+    want = [tokens.matched(html) for html in site]
+    monkeypatch.setattr(tokens, "matched", lambda _: pytest.fail("left to the pattern"))
+    assert [tokens.tokens(html) for html in site] == want
+    longest = "<a href='" + "x" * tokens.LONGEST + "'>"
+    assert tokens.tokens(longest)[0][2] == {"href": "x" * tokens.LONGEST} and not any(len(k) > tokens.LONGEST for k in (*tokens._tags, *tokens._known))
+
+
+def test_a_page_is_freed_without_a_search_for_cycles():
+    """Pages leave memory as soon as they are done with."""
+    gc.disable()
+    try:
+        page = select.Page("<div><p>a</p><br>b</div>")
+        gone = weakref.ref(page)
+        element = page.find("p")[0]
+        del page
+        assert gone() is None and element.text() == "a"
+    finally:
+        gc.enable()
+
+
+def test_catalog_links_meet_once(spark):
+    """The rows of a page are brought together once, and only addresses whose label fits are resolved."""
+    found = discovery.catalog_links(views.site_pages(spark, SF))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the pages dealt out, and the links
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange ") == 2
+    pages = spark.createDataFrame([(1, "https://a.com/x", "<a href='/b'>Nada</a><a href='/c'>VENDA</a><a>Venda</a><a href='#'>Venda</a><a href='/d'>Casas</a><a href='/c'>Venda</a>")], "page_id long, url string, html string")
+    assert [tuple(r) for r in discovery.catalog_links(pages).orderBy("at").collect()] == [(1, 0, "https://a.com/c"), (1, 1, "https://a.com/d")]
