@@ -108,3 +108,20 @@ def test_catalog_links_meet_once(spark):
     assert plan.split("== Initial Plan ==")[-1].count("Exchange ") == 2
     pages = spark.createDataFrame([(1, "https://a.com/x", "<a href='/b'>Nada</a><a href='/c'>VENDA</a><a>Venda</a><a href='#'>Venda</a><a href='/d'>Casas</a><a href='/c'>Venda</a>")], "page_id long, url string, html string")
     assert [tuple(r) for r in discovery.catalog_links(pages).orderBy("at").collect()] == [(1, 0, "https://a.com/c"), (1, 1, "https://a.com/d")]
+
+
+def test_interactive_parses_a_page_once(spark):
+    """Buttons and forms are counted from one parse, as each counts alone; a form may be a button too."""
+    html = [
+        "<form class='search-form' id='busca'><input name='cidade' placeholder='Tipo'><select name='preco'></select><button>Buscar</button></form>",
+        "<button class='search'>x</button><input type='submit' value='Buscar' class='busca'><a role='button' id='pesquisa' class='search' title='t'> </a><form><input name='x'></form>",
+        "<form action='/a'><input name='q'><input placeholder='city'></form><form><input name='q'><input name='size'><input type='submit' value='SEARCH'></form>",
+        "<p>nada</p>", None,
+    ]
+    pages = spark.createDataFrame([(k, f"https://a.com/{k}", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: (r.buttons, r.forms) for r in discovery.interactive(pages).collect()}
+    count = lambda found: {r["page_id"]: r["count"] for r in found.groupBy("page_id").count().collect()}
+    alone, forms = count(discovery.buttons(pages)), count(discovery.forms(pages))
+    assert got == {k: (alone.get(k, 0), forms.get(k, 0)) for k in range(len(html))} and got[0] == (1, 1) and got[3] == got[4] == (0, 0)
+    plan = discovery.interactive(views.site_pages(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
