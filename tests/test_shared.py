@@ -4,8 +4,9 @@ import os
 from urllib.parse import urljoin
 
 import pytest
+from pyspark.sql import functions as F
 
-from hearthline.operators import markup, training
+from hearthline.operators import markup, pages, training
 from hearthline.plans import site_queries
 from hearthline.sources import views
 
@@ -80,3 +81,28 @@ def test_elements_with_text_and_their_order(spark):
     html = "<div class='a'><p class='b'></p>x<p class='c'><b id='d'>y</b></p></div><i class='e'> </i><u class='a f'>z</u></x>"
     row = markup.parsed(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), linked=False).first()
     assert row.filled == [".a", ".c", "#d", ".f"] and "links" not in row
+
+
+def test_selectors_are_listed_where_first_seen(spark):
+    """Pages with equal lists count as one, by the first of them; order is that of pages and then of places."""
+    rows = [("h", 3, {"price": ["c", "a"]}), ("h", 1, {"price": ["b", "a"], "area": ["z"]}), ("h", 2, {"price": ["c", "a"]}), ("h", 5, {"price": ["d"]}), ("i", 1, {"price": ["d", "b"]}), ("i", 0, {})]
+    found = training.selectors_by(spark.createDataFrame(rows, "host string, seq long, selectors map<string,array<string>>"), "host")
+    assert {r.host: r.selectors for r in found.collect()} == {"h": {"price": ["b", "a", "c", "d"], "area": ["z"]}, "i": {"price": ["d", "b"]}}
+    # many pages' lists are counted by their numbers, without sorting them
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.rindex("HashAggregate(keys=[host")
+
+
+def test_reference_page_by_hand(spark):
+    html = "<title>Oi</title><p class='preco'>R$ 5,00</p><p class='price'>nada</p><i class='quartos'>2 quartos, quartos</i> A@B.com x@y PRÓXIMA ORDENAR"
+    pages = spark.createDataFrame([(1, "http://h/x", html), (2, "http://h/y", None), (3, "http://h/z", "m²m² iptu IPTU")], "page_id long, url string, html string")
+    one, two, three = training.reference_pages(pages).orderBy("page_id").collect()
+    assert (one.email_count, one.property_keywords, one.has_pagination, one.has_filters) == (1, 2, True, True)
+    assert one.selectors == {"price": [".preco", "[class*='preco']"], "rooms": [".quartos", "[class*='quartos']"]}
+    assert (two.email_count, two.property_keywords, two.has_pagination, two.selectors) == (0, 0, False, {}) and three.property_keywords == 4
+
+
+def test_parts_are_counted_as_they_divide(spark):
+    texts = ["", "aaaa", "aaa", "xaax", "éé", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(pages.count(F.col("t"), "aa").alias("n"), pages.count(F.col("t"), "é").alias("m")).collect()
+    assert [r.n for r in rows] == [0, 2, 1, 1, 0, None] and [r.m for r in rows] == [0, 0, 0, 0, 2, None]
