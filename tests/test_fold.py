@@ -1,6 +1,9 @@
 import random
 
+import duckdb
+
 from hearthline.operators import training
+from hearthline.plans import site_queries
 
 
 def sequential(numbers):
@@ -39,3 +42,14 @@ def test_a_hot_key_goes_through_many_tasks(spark):
         want[host] = (len(own), *numbers, *flags)
     assert got == want
     assert training.folded(examples.limit(0), "host").collect() == []
+
+
+def test_titles_are_as_long_as_the_sql_says(spark, tmp_path):
+    """Entities that are cut off or unknown to the SQL, as the driver's larger tables have them."""
+    titles = ["Tebeie$$$ und&amp;&amp;&amp", "token = &quot;6c2c", "a &lt;b&gt; &amp;amp; é&eacute;", "  x &#39; ", "\t y", ""]
+    rows = [(k, f"https://h{k % 5}.com/{k}", f"<html><head><title>{t}</title></head><body><p>x</p></body></html>") for k, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = site_queries.domain_pattern_fold(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(con.execute(site_queries.ORACLES["domain_pattern_fold"]).fetchall())
