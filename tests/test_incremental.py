@@ -3,6 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from hearthline.operators import crawls
+from hearthline.plans import site_queries
 from hearthline.sources import views
 from hearthline.streaming.incremental import Crawl
 
@@ -52,3 +54,15 @@ def test_repeated_visits_and_an_empty_batch(spark, tmp_path):
     assert state(crawl) == ([], [])
     crawl.batch(visits(spark, FIRST, "page_id between 1 and 3").unionByName(visits(spark, LATER, "page_id between 1 and 3")), 1)
     assert [r.processed_at for r in crawl.urls.read().collect()] == [LATER] * 3
+
+
+def test_pages_are_never_sent_to_every_task(spark, tmp_path):
+    """Made of a few packed bytes a row, tables with a row for each page look small enough for it at any size."""
+    fetched = site_queries._fetched(spark, SF)
+    assert "Broadcast" not in fetched._jdf.queryExecution().executedPlan().toString()
+    parts = {r.p_partkey: r.p_size for r in views.read(spark, SF, "part").collect()}
+    for r in fetched.where("html LIKE '%localização%'").collect():
+        assert (f"Parte {r.round}. Ótima" in r.html) == (parts[r.page_id] > 25)
+    log = spark.createDataFrame([], "url string, status string, processed_at timestamp, change_detected boolean")
+    decided, _ = crawls.incremental(views.site_pages(spark, SF).limit(5), log, F.lit(LATER))
+    assert "Broadcast" not in decided._jdf.queryExecution().executedPlan().toString()
