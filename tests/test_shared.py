@@ -57,6 +57,20 @@ def test_analysis_of_a_page(spark):
     assert (empty.words, empty.keywords, empty.valid) == (0, [], False)
 
 
+def test_an_analysis_has_the_elements_it_was_made_of(spark):
+    html = "<title>Oi</title><p class='preco x' id='p'>R$ 5,00</p><p class='preco'> </p><b class='preco'>R$ 6</b><div class='info'> 2 QUARTOS </div><div class='info'>nada</div>"
+    row = training.analysed(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), elements=True).first()
+    prices = [("R$ 5,00", ["preco", "x"], "p"), ("R$ 6", ["preco"], "")]
+    assert [tuple(e) for e in row.price_elements] == [(s, *p) for s in (".preco", "[class*='preco']") for p in prices]
+    assert [tuple(e) for e in row.detail_elements] == [(".info", "2 quartos", ["info"], "")]
+    assert (row.title, row.has_price, row.has_details, row.price_selectors, row.detail_selectors) == ("Oi", True, True, [".preco", "[class*='preco']"], [".info"])
+
+
+def test_analysis_gives_all_that_it_finds(spark):
+    found = site_queries.page_analyse(spark, SF)
+    assert {"title", "words", "price_elements", "detail_elements", "price_selectors", "detail_selectors", "selectors", "keywords", "valid"} <= set(found.columns)
+    assert found.where("keywords = '' OR words < 5").isEmpty()
+
 
 def test_pages_of_one_file_are_dealt_out(spark):
     """A file with one group of rows is one task's, however many pages it holds."""
