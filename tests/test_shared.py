@@ -72,6 +72,12 @@ def test_analysis_gives_all_that_it_finds(spark):
     assert found.where("keywords = '' OR words < 5").isEmpty()
 
 
+def test_consolidation_takes_valid_pages_and_gives_all_that_they_share(spark):
+    row = site_queries.docfreq_consolidate(spark, SF).first()
+    assert 0 < row.valid_pages < row.pages and row.least_words == row.typical_words // 2 and row.most_words == 3 * row.typical_words
+    assert {"h1", "h2", ".titulo"} <= set(row.common_selectors.split(",")) and {"quartos", "venda"} <= set(row.common_keywords.split(","))
+
+
 def test_pages_of_one_file_are_dealt_out(spark):
     """A file with one group of rows is one task's, however many pages it holds."""
     dealt = views.pages(spark, SF)
