@@ -1,14 +1,17 @@
 """Exact BM25 top-k: an inverted index per shard of documents, read by block-max WAND, merged under global statistics.
 
 Words are runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. A shard's index holds about SHARD_DOCS
-documents by falling length in blocks of BLOCK; per word it knows the highest term weight of all its list and of each block.
-WAND goes by a threshold, the k-th best score known. Of a query's lists in ascending order of their highest contributions, those
-that together stay below the threshold can't make a document a pivot; pivots are the documents of the other lists, and the lists
-below are not read at all. Pivots are then taken in bulk, not one by one, as numpy wants it: a block whose highest contributions
-of all words stay below the threshold is skipped before its entries are read; a pivot stays if what the upper lists give it and
-its block's bound of the lower ones reach the threshold; those that stay are scored in full from the highest bound down, raising
-the threshold, until a bound is below it. No document beyond can enter, so the top k is that of scoring everything. Document
-frequencies, document count and mean length are those of the whole table, so scores of all shards compare.
+documents by falling length in blocks of BLOCK; per word it knows the highest term weight of its list. The longest lists are kept
+as dense rows, DENSE of them at most: a group of queries meets these in one matrix product, which gives what frequent words give
+to each document, in single precision and so to within SLACK. Their contributions are bounds that hold for a document, not a list.
+WAND goes by a threshold, the k-th best score known. Of a query's other lists in ascending order of their highest contributions,
+those that together with the most that frequent words give to any document stay below the threshold can't make a document a pivot;
+pivots are the documents that what frequent words and the upper lists give them and the highest contributions of the lists below
+bring to the threshold. They are taken in bulk, not one by one, as numpy wants it: a block in which the most that frequent words
+give and the highest contributions of all other lists stay below the threshold is skipped before its entries are read; the lists
+below are read only if that costs less than reading the pivots; pivots are scored in full, in double precision, from the highest
+bound down, raising the threshold, until a bound is below it. No document beyond can enter, so the top k is that of scoring
+everything. Document frequencies, document count and mean length are those of the whole table, so scores of all shards compare.
 
 Shards are searched in two rounds, one of FIRST parts of the documents and then the others. The k-th best score of the first
 round is the threshold from which the second starts, so all shards share it, and how much leaves the second round follows the
@@ -34,7 +37,9 @@ from pyspark.sql.window import Window
 from hearthline.llm.common import forget, shared_folder, small_batches, text_or_empty, word_hashes, written
 
 K1, B = 1.2, 0.75
-SHARD_DOCS, BLOCK = 8192, 64
+SHARD_DOCS, BLOCK = 12288, 64
+#: Lists of a share of the documents or more become dense rows, so many at most; what these give is known to within SLACK.
+DENSE, SHARE, SLACK = 512, 1 / 32, 1e-3
 #: An index ends early with so many entries; the first round has one of so many parts of the documents.
 SHARD_ENTRIES, FIRST = 4_000_000, 16
 
@@ -54,7 +59,10 @@ def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one after the other."""
     size = end - begin
-    return np.repeat(begin - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+    ends = np.cumsum(size)
+    out = np.repeat(begin - ends + size, size)
+    out += np.arange(len(out))
+    return out
 
 
 class Index:
@@ -67,94 +75,104 @@ class Index:
         words, counts = [words[i] for i in by_length], [counts[i] for i in by_length]
         self.doc_begin = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
         doc = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(self.doc_begin))
-        word, tf = np.concatenate(words), np.concatenate(counts).astype(np.float64)
-        self.doc_weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
-        self.words, self.doc_word = np.unique(word, return_inverse=True)
+        tf = np.concatenate(counts).astype(np.float64)
+        self.doc_weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / mean_length)[doc])
+        del tf
+        self.words, self.doc_word = np.unique(np.concatenate(words), return_inverse=True)
+        self.doc_word = self.doc_word.astype(np.int32)
         order = np.argsort(self.doc_word, kind="stable")  # entries by word, documents ascending
         self.doc, self.weight = doc[order], self.doc_weight[order]
         of = self.doc_word[order]
+        del doc, order
         self.begin = np.searchsorted(of, np.arange(len(self.words) + 1))
         # runs of entries of one word in one block
         self.blocks = -(-len(words) // BLOCK)
-        place = of * self.blocks + self.doc // BLOCK
+        place = of.astype(np.int64) * self.blocks + self.doc // BLOCK
         self.run_begin = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)])) if len(place) else np.zeros(1, np.int64)
         self.run_block = (place[self.run_begin[:-1]] % self.blocks).astype(np.int32)
-        self.run_most = np.maximum.reduceat(self.weight, self.run_begin[:-1]) if len(place) else np.zeros(0)
+        del of, place
         self.word_run = np.searchsorted(self.run_begin, self.begin)
-        self.most = np.maximum.reduceat(self.weight, self.begin[:-1]) if len(place) else np.zeros(0)
+        self.most = np.maximum.reduceat(self.weight, self.begin[:-1]) if len(self.weight) else np.zeros(0)
         self.idf_of = np.zeros(len(self.words))
+        size = np.diff(self.begin)
+        dense = np.argsort(-size, kind="stable")[:DENSE]
+        dense = dense[size[dense] >= SHARE * len(words)]
+        self.row_of = np.full(len(self.words), -1)
+        self.row_of[dense] = np.arange(len(dense))
+        self.rows = np.zeros((len(dense), len(words)), np.float32)
+        for row, x, y in zip(self.rows, self.begin[dense].tolist(), self.begin[dense + 1].tolist(), strict=True):
+            row[self.doc[x:y]] = self.weight[x:y]
         self.entries_read = self.entries_asked = 0
 
     def top(self, query: np.ndarray, idf: np.ndarray, k: int, threshold: float = 0.0) -> list[tuple[float, int]]:
         """(score, doc id) of the k best documents with a word of the query and a score of the threshold or more."""
-        at = np.searchsorted(self.words, query)
+        return self.tops([query], [idf], k, [threshold])[0]
+
+    def tops(self, queries: list[np.ndarray], idfs: list[np.ndarray], k: int, thresholds: list[float]) -> list[list[tuple[float, int]]]:
+        """The same of each query of a group."""
+        if not len(self.words):
+            return [[] for _ in queries]
+        words, idf, of = np.concatenate(queries), np.concatenate(idfs), np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+        at = np.searchsorted(self.words, words)
         at[at == len(self.words)] = 0
-        here = self.words[at] == query if len(self.words) else np.zeros(len(query), bool)
-        at, idf = at[here], idf[here]
-        if not len(at):
-            return []
+        here = self.words[at] == words
+        at, idf, of = at[here], idf[here], of[here]
+        row = self.row_of[at]
+        asked = np.zeros((len(queries), len(self.rows)), np.float32)
+        asked[of[row >= 0], row[row >= 0]] = idf[row >= 0]
+        common = asked @ self.rows
+        self.entries_asked += int((self.begin[at + 1] - self.begin[at]).sum())
+        ends = np.searchsorted(of, np.arange(len(queries) + 1))
+        return [self._best(at[x:y], idf[x:y], row[x:y] < 0, k, t, c) if x < y else [] for x, y, t, c in zip(ends[:-1].tolist(), ends[1:].tolist(), thresholds, common, strict=True)]
+
+    def _best(self, at: np.ndarray, idf: np.ndarray, other: np.ndarray, k: int, threshold: float, common: np.ndarray) -> list[tuple[float, int]]:
+        """common: what frequent words give to each document; other: which of the query's words are not among these."""
+        self.idf_of[at] = idf
+        all_at = at
+        at, idf = at[other], idf[other]
         bound = idf * self.most[at]
         order = np.argsort(bound)
-        at, idf, bound = at[order], idf[order], bound[order]
-        below = np.cumsum(bound)
-        self.idf_of[at] = idf
-        self.entries_asked += int((self.begin[at + 1] - self.begin[at]).sum())
-        best: list[tuple[float, int]] = []
+        at, idf = at[order], idf[order]
+        below = np.concatenate(([0.0], np.cumsum(bound[order])))
         if threshold <= 0:
-            # a first threshold: the documents to which the words of the highest bounds give most
-            upper = np.arange(int(np.searchsorted(below, 0.7 * below[-1])), len(at))
-            docs, partial = self._given(at[upper], idf[upper], None)
-            if len(docs) > 2 * k:
-                docs = docs[np.argpartition(-partial, 2 * k)[: 2 * k]]
-            best = self._merged(best, docs, k)
-            threshold = best[-1][0] if len(best) == k else 0.0
-            seen = docs
+            # without a threshold no list is below it, and the k-th of what all lists give is a first one
+            lists, blocks = 0, None
         else:
-            seen = None
-        lists = int(np.searchsorted(below, threshold - 1e-6))  # so many lists never make a pivot
-        if lists < len(at):
-            best = self._pivots(at, idf, lists, k, threshold, best, seen)
-        self.idf_of[at] = 0.0
+            lists = max(0, int(np.searchsorted(below, threshold - SLACK - float(common.max()))) - 1)
+            blocks = np.maximum.reduceat(common, np.arange(0, len(common), BLOCK)) + below[-1] >= threshold - SLACK
+        best: list[tuple[float, int]] = []
+        if blocks is None or blocks.any():
+            best = self._pivots(at, idf, lists, below[lists], k, threshold, common, blocks)
+        self.idf_of[all_at] = 0.0
         return best
 
-    def _pivots(self, at, idf, lists: int, k: int, threshold: float, best: list, seen: np.ndarray | None) -> list[tuple[float, int]]:
-        lower, upper = self._block_bounds(at[:lists], idf[:lists]), self._block_bounds(at[lists:], idf[lists:])
-        docs, partial = self._given(at[lists:], idf[lists:], lower + upper >= threshold - 1e-6)
-        bound = partial + lower[docs // BLOCK]
-        keep = bound >= threshold - 1e-6
-        docs, bound, partial = docs[keep], bound[keep], partial[keep]
-        if seen is not None:
-            new = ~np.isin(docs, seen)
-            docs, bound, partial = docs[new], bound[new], partial[new]
+    def _pivots(self, at, idf, lists: int, lower: float, k: int, threshold: float, common: np.ndarray, blocks: np.ndarray | None) -> list[tuple[float, int]]:
+        partial = common + self._given(at[lists:], idf[lists:], blocks)
+        if threshold <= 0 and len(partial) > k:
+            threshold = max(0.0, float(np.partition(partial, len(partial) - k)[len(partial) - k]) - 2 * SLACK)
+        docs = np.flatnonzero((partial > 0) & (partial >= threshold - SLACK)) if not lists else np.flatnonzero(partial >= threshold - SLACK - lower)
         if lists and int((self.doc_begin[docs + 1] - self.doc_begin[docs]).sum()) > int((self.begin[at[:lists] + 1] - self.begin[at[:lists]]).sum()):
             # so many pivots stay that reading the lower lists, in these pivots' blocks, costs less than reading the documents
-            blocks = np.zeros(self.blocks, bool)
-            blocks[docs // BLOCK] = True
-            others, more = self._given(at[:lists], idf[:lists], blocks)
-            place = np.searchsorted(others, docs)
-            place[place == len(others)] = 0
-            bound = partial + np.where(others[place] == docs, more[place], 0.0) if len(others) else partial
-            if len(docs) > 2 * k:
-                keep = bound >= max(threshold, float(np.partition(bound, len(bound) - k)[len(bound) - k])) - 1e-6
-                docs, bound = docs[keep], bound[keep]
+            wanted = np.zeros(self.blocks, bool)
+            wanted[docs // BLOCK] = True
+            bound = partial[docs] + self._given(at[:lists], idf[:lists], wanted)[docs]
+            keep = bound >= threshold - SLACK
+            docs, bound = docs[keep], bound[keep]
+        else:
+            bound = partial[docs] + lower
         order = np.argsort(-bound)
         docs, bound = docs[order], bound[order]
+        best: list[tuple[float, int]] = []
         step, done = 4 * k, 0
-        while done < len(docs) and bound[done] >= threshold - 1e-6:
+        while done < len(docs) and bound[done] >= threshold - SLACK:
             best = self._merged(best, docs[done : done + step], k, threshold)
             if len(best) == k:
                 threshold = max(threshold, best[-1][0])
             done, step = done + step, 2 * step
         return best
 
-    def _block_bounds(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """Per block: the most that these lists can give to a document of it."""
-        first, last = self.word_run[at], self.word_run[at + 1]
-        runs = _ranges(first, last)
-        return np.bincount(self.run_block[runs], np.repeat(idf, last - first) * self.run_most[runs], self.blocks)
-
-    def _given(self, at: np.ndarray, idf: np.ndarray, blocks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """The documents of these lists, in the blocks wanted, and what the lists give to each."""
+    def _given(self, at: np.ndarray, idf: np.ndarray, blocks: np.ndarray | None) -> np.ndarray:
+        """What these lists give to each document, in the blocks wanted at least."""
         if blocks is None or 2 * blocks.sum() > self.blocks:
             begin, end = self.begin[at], self.begin[at + 1]
         else:
@@ -163,15 +181,11 @@ class Index:
             wanted = blocks[self.run_block[runs]]
             idf = np.repeat(idf, last - first)[wanted]
             begin, end = self.run_begin[runs[wanted]], self.run_begin[runs[wanted] + 1]
-        slices = list(map(slice, begin.tolist(), end.tolist()))
-        if not slices:
-            return np.zeros(0, np.int64), np.zeros(0)
-        doc, weight = np.concatenate([self.doc[x] for x in slices]), np.concatenate([self.weight[x] for x in slices])
-        weight *= np.repeat(idf, end - begin)
-        self.entries_read += len(doc)
-        given = np.bincount(doc, weight, len(self.doc_ids))
-        docs = np.flatnonzero(given)
-        return docs, given[docs]
+        if not len(begin):
+            return np.zeros(len(self.doc_ids))
+        entries = _ranges(begin, end)  # most lists are short by far
+        self.entries_read += len(entries)
+        return np.bincount(self.doc[entries], self.weight[entries] * np.repeat(idf, end - begin), len(self.doc_ids))
 
     def _merged(self, best: list, docs: np.ndarray, k: int, threshold: float = 0.0) -> list[tuple[float, int]]:
         """The k best of best and the documents, these scored in full."""
@@ -200,27 +214,30 @@ def _words(slim: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, words array<long>, counts array<int>")
 
 
-def _document_frequencies(slim: DataFrame) -> DataFrame:
-    """word, df; one task adds up its own words first, as many as fit."""
+def _counted(slim: DataFrame) -> DataFrame:
+    """word, df, length: in how many documents each word is, and, where word is null, how many documents there are and how long they
+    are together. Texts are read once for both; one task adds up its own words first, as many as fit."""
 
     def run(batches):
-        words, n = [], 0
+        words, n, documents, length = [], 0, 0, 0
 
         def out():
             found, df = np.unique(np.concatenate(words), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(df.astype(np.int64))], ["word", "df"])
+            nothing = pa.nulls(len(found), pa.int64())
+            return [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["word", "df", "length"]) for columns in ((found, df, nothing), ([None], [documents], [length]))]
 
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                words.append(terms(text)[0])
-                n += len(words[-1])
+                found, counts = terms(text)
+                words.append(found)
+                n, documents, length = n + len(found), documents + 1, length + int(counts.sum())
             if n > 4_000_000:
-                yield out()
-                words, n = [], 0
+                yield from out()
+                words, n, documents, length = [], 0, 0, 0
         if words:
-            yield out()
+            yield from out()
 
-    return slim.mapInArrow(run, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    return slim.mapInArrow(run, "word long, df long, length long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -229,12 +246,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "d
     small_batches(spark)
     plain = lambda df: df.select(df[id_column].cast("long").alias("doc_id"), text_or_empty(text_column).alias("text")).where("doc_id is not null")
     slim, asked = plain(docs), plain(queries)
-    sizes = _lengths(slim).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n, mean = sizes["n"], sizes["mean"] or 1.0
+    counted = written(_counted(slim), "frequencies")
+    sizes = counted.where("word IS NULL").first()
+    n, mean = (sizes["df"], sizes["length"] / sizes["df"] or 1.0) if sizes else (0, 1.0)
     wanted = _words(asked).select("doc_id", F.explode("words").alias("word")).distinct()
-    weights = wanted.join(_document_frequencies(slim), "word").select("doc_id", "word", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weights = wanted.join(counted, "word").select("doc_id", "word", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     prepared = weights.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "idf"))).alias("terms")).select(F.col("doc_id").alias("query_id"), F.col("terms.word").alias("words"), F.col("terms.idf").alias("idfs"), F.lit(0.0).alias("least"))
     prepared = _asked(prepared)
+    forget(counted)
     shards = max(1, -(-n // SHARD_DOCS))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     if shards == 1:
@@ -277,11 +296,11 @@ def _searched(part: DataFrame, asked: DataFrame, k: int, mean: float) -> DataFra
 
     def answered(ids, found):
         index = Index(np.array(ids, np.int64), [w for w, _ in found], [c for _, c in found], mean)
+        found.clear()  # the index has them
         for batch in queries():
             names, words, idfs, least = (batch.column(i) for i in range(4))
-            out: list[tuple] = []
-            for query_id, w, i, t in zip(names.to_pylist(), words, idfs, least.to_pylist(), strict=True):
-                out += [(query_id, doc_id, score) for score, doc_id in index.top(w.values.to_numpy(), i.values.to_numpy(), k, t)]
+            found = index.tops([w.values.to_numpy() for w in words], [i.values.to_numpy() for i in idfs], k, least.to_pylist())
+            out = [(query_id, doc_id, score) for query_id, best in zip(names.to_pylist(), found, strict=True) for score, doc_id in best]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "doc_id", "score"])
 
@@ -299,11 +318,3 @@ def _searched(part: DataFrame, asked: DataFrame, k: int, mean: float) -> DataFra
             yield from answered(ids, found)
 
     return part.mapInArrow(run, "query_id long, doc_id long, score double")
-
-
-def _lengths(slim: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(terms(t)[1].sum()) for t in batch.column(1).to_pylist()], pa.int64())], ["length"])
-
-    return slim.mapInArrow(run, "length long")

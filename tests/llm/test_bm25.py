@@ -54,3 +54,27 @@ def test_pruning_skips_blocks_and_changes_nothing(monkeypatch):
         idf = rng.uniform(0.1, 5, len(query))
         every = index.top(query, idf, 800)
         assert index.top(query, idf, 10) == every[:10]
+
+
+def test_frequent_words_cost_no_reading(monkeypatch):
+    """Their lists meet a group of queries as dense rows; less than half of what the lists hold is read, and the top stays that of all."""
+    rng = np.random.default_rng(5)
+    zipf = 1 / np.arange(1, 3001)
+    words = [np.unique(rng.choice(3000, rng.integers(20, 120), p=zipf / zipf.sum())) for _ in range(3000)]
+    counts = [rng.integers(1, 4, len(w)) for w in words]
+    df = np.bincount(np.concatenate(words), minlength=3000)
+    index = S.Index(np.arange(3000), words, counts, float(np.mean([c.sum() for c in counts])))
+    queries = [words[i] for i in range(0, 3000, 60)]
+    idfs = [np.log(1 + (3000 - df[q] + 0.5) / (df[q] + 0.5)) for q in queries]
+    every = index.tops(queries, idfs, 3000, [0.0] * len(queries))
+    index.entries_read = index.entries_asked = 0
+    assert index.tops(queries, idfs, 10, [0.0] * len(queries)) == [e[:10] for e in every]
+    least = [e[9][0] for e in every]
+    assert index.tops(queries, idfs, 10, least) == [e[:10] for e in every]
+    assert index.tops(queries, idfs, 10, [x + 1 for x in least]) == [[f for f in e[:10] if f[0] >= x + 1 - 1e-6] for x, e in zip(least, every, strict=True)]
+    assert 2 * index.entries_read < index.entries_asked
+
+
+def test_texts_are_counted_once(spark, docs_of):
+    rows = {r.word: (r.df, r.length) for r in S._counted(docs_of(["a b b", "a", ""]).select("doc_id", "text")).collect()}
+    assert rows.pop(None) == (3, 4) and sorted(rows.values()) == [(1, None), (2, None)]
